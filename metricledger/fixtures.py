@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from metricledger import schemas
 from metricledger.functions.expr_tools import ntz
 from metricledger.functions.scalars import prom_metric_name, resolve_job
-from metricledger.operators import enrich, upserts
+from metricledger.operators import enrich, otlp, upserts
 from metricledger.params import TimeRange
 from metricledger.plans.summary import usage_summary as summarize
 from metricledger.session import new_table_path
@@ -264,7 +264,7 @@ def otlp_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def otlp_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _otlp_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One export per order: a resource per line, one scope, one metric; the number of datapoints
     is the quantity modulo 4, so some metrics are empty."""
     rows = otlp_rows(table(spark, sf_dir, "lineitem"))
@@ -275,27 +275,14 @@ def otlp_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scope = F.struct(F.lit("scope").alias("scope"), F.array(metric).alias("metrics"))
     resource = F.struct(
-        F.col("line").alias("line"),
         F.col("attributes").alias("attributes"),
         F.array(scope).alias("scope_metrics"),
     )
-    ordered = (
-        rows.select("export_id", "line", "attributes", "name", "description", "unit", "data_type", "is_monotonic", "ts", "value")
-        .select("export_id", resource.alias("r"), F.col("line"))
-        .groupBy("export_id")
-        .agg(F.collect_list(F.struct(F.col("line"), F.col("r"))).alias("rs"))
-    )
     # An order has at most a handful of lines, so the list per export stays short.
-    by_line = F.array_sort("rs", lambda a, b: F.when(a["line"] < b["line"], -1).when(a["line"] > b["line"], 1).otherwise(0))
-    return ordered.select(
-        "export_id",
-        F.transform(
-            by_line,
-            lambda x: F.struct(
-                x["r"]["attributes"].alias("attributes"), x["r"]["scope_metrics"].alias("scope_metrics")
-            ),
-        ).alias("resource_metrics"),
-    )
+    return rows.groupBy("export_id").agg(F.collect_list(resource).alias("resource_metrics"))
+
+
+otlp_exports = _snapshot("otlp_exports", _otlp_exports)
 
 
 def flat_metrics(rows: DataFrame) -> DataFrame:
@@ -316,3 +303,12 @@ def flat_metrics(rows: DataFrame) -> DataFrame:
 def otlp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same exports in flat form, straight from the lines."""
     return flat_metrics(otlp_rows(table(spark, sf_dir, "lineitem")))
+
+
+def _unused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return otlp.otlp_unused(otlp_metrics(spark, sf_dir), usage_summary(spark, sf_dir))
+
+
+# The drop filter joins traffic to this table, so it is stored: the join then knows its size
+# before it decides whether the traffic has to be shuffled at all.
+unused_names = _snapshot("unused_names", _unused_names)

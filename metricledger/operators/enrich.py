@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricledger.functions import promql
+from metricledger.operators.filters import names_of, selector_names
 from metricledger.session import new_table_path
 
-IDENTITY_COLUMNS = ("fingerprint", "canonical", "label_matchers")
+IDENTITY_COLUMNS = ["fingerprint", "label_matchers", "metric_names"]
 
 
 @lru_cache(maxsize=8)
@@ -33,13 +34,17 @@ def _described(df: DataFrame, column: str) -> DataFrame:
 def expression_dictionary(log: DataFrame) -> DataFrame:
     """One row per distinct text with its identity, with and without ranges, and its matchers."""
     texts = log.select(F.coalesce(F.col("query_param"), F.lit("")).alias("query_param")).distinct()
-    return _described(texts, "query_param").select(
+    # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe.
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = texts if log.isStreaming else texts.repartition(tasks, "query_param")
+    return _described(spread, "query_param").select(
         "query_param",
         F.col("_d.canonical").alias("canonical"),
         promql.hash_identity(F.col("_d.canonical")).alias("fingerprint"),
         F.col("_d.canonical_any_range").alias("canonical_any_range"),
         promql.hash_identity(F.col("_d.canonical_any_range")).alias("fingerprint_any_range"),
         F.col("_d.matchers").alias("label_matchers"),
+        names_of(F.col("_d.matchers")).alias("metric_names"),
     )
 
 
@@ -69,12 +74,12 @@ def with_fingerprint(log: DataFrame, dictionary: DataFrame, ignore_ranges: bool
 
 
 def with_label_matchers(log: DataFrame, dictionary: DataFrame) -> DataFrame:
-    return _join_identity(log, dictionary, ["label_matchers"])
+    return _join_identity(log, dictionary, ["label_matchers", "metric_names"])
 
 
 def enrich(log: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Log with ``fingerprint`` and ``label_matchers``; invalid texts share ``''`` and NULL."""
-    joined = _join_identity(log, dictionary, ["fingerprint", "label_matchers"])
+    """Log with fingerprint, label matchers and metric names; invalid texts share ``''`` and NULL."""
+    joined = _join_identity(log, dictionary, IDENTITY_COLUMNS)
     return joined.withColumn("fingerprint", F.coalesce(F.col("fingerprint"), F.lit("")))
 
 
@@ -83,21 +88,16 @@ def enrich_inline(log: DataFrame) -> DataFrame:
 
     For streams and small batches; no shuffle, but repeated texts are worked out repeatedly.
     """
-    columns = ["fingerprint", "label_matchers"]
-    keep = [c for c in log.columns if c not in columns]
+    keep = [c for c in log.columns if c not in IDENTITY_COLUMNS]
     return _described(log, "query_param").select(
         *keep,
         promql.hash_identity(F.col("_d.canonical")).alias("fingerprint"),
         F.col("_d.matchers").alias("label_matchers"),
+        names_of(F.col("_d.matchers")).alias("metric_names"),
     )
 
 
-def metric_names(matchers: Column) -> Column:
-    """Distinct metric names of a query's selectors."""
-    names = F.transform(F.coalesce(matchers, F.array()), lambda m: m["__name__"])
-    return F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
-
-
 def metric_refs(log: DataFrame, key: str = "query_id") -> DataFrame:
     """(query, metric) pairs; the narrow table that answers "which queries name this metric"."""
-    return log.select(key, F.explode(metric_names(F.col("label_matchers"))).alias("metric"))
+    names = F.array_distinct(F.filter(selector_names(log), lambda n: n.isNotNull()))
+    return log.select(key, F.explode(names).alias("metric"))

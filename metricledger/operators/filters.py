@@ -54,15 +54,26 @@ def by_fingerprint(df: DataFrame, fingerprint: str | None) -> DataFrame:
     return df.where(F.col("fingerprint") == fingerprint) if fingerprint else df
 
 
-def references(matchers: Column, metric: str | Column, match: str = "any") -> Column:
-    """Whether a query's selectors name the metric: in ``any`` of them or in the ``first``."""
-    if match == "first":
-        return F.coalesce(F.get(matchers, F.lit(0))["__name__"] == metric, F.lit(False))
-    return F.coalesce(F.exists(matchers, lambda m: m["__name__"] == metric), F.lit(False))
+def selector_names(df: DataFrame) -> Column:
+    """Metric name of every selector, in order, NULL for a nameless one.
+
+    A stored log has them as a column of their own, which is far narrower than the matchers.
+    """
+    if "metric_names" in df.columns:
+        return F.col("metric_names")
+    return names_of(F.col("label_matchers"))
+
+
+def names_of(matchers: Column) -> Column:
+    return F.transform(matchers, lambda m: m["__name__"])
 
 
 def references_metric(df: DataFrame, metric: str | None, match: str = "any") -> DataFrame:
-    return df.where(references(F.col("label_matchers"), metric, match)) if metric else df
+    """Queries that name the metric in ``any`` selector or in the ``first``; no metric keeps all."""
+    if not metric:
+        return df
+    names = selector_names(df)
+    return df.where(F.get(names, F.lit(0)) == metric if match == "first" else F.array_contains(names, metric))
 
 
 def type_family(df: DataFrame, kind: str = "all") -> DataFrame:

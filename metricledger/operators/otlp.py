@@ -89,7 +89,7 @@ def otlp_catalog_items(metrics: DataFrame) -> DataFrame:
 
 # ---- unused lookup ------------------------------------------------------------------------
 def otlp_unused(metrics: DataFrame, summary: DataFrame) -> DataFrame:
-    """Names of exported metrics that are confirmed unused.
+    """Names of exported metrics that are confirmed unused, each once.
 
     Distinct names come first, so a metric that makes up much of the traffic is one row in the
     lookup join.
@@ -118,10 +118,12 @@ def mark_drops(
 ) -> DataFrame:
     """Flat metrics with ``dropped``: unused, and dropping is active for their job.
 
-    The names side holds each name once, so a hot metric is only hot on the traffic side, which
-    a broadcast leaves in place and the adaptive skew join splits.
+    Pass ``unused`` as a stored table: Spark then knows its size while it plans, and broadcasts
+    it below ``spark.sql.autoBroadcastJoinThreshold``, so the traffic is not shuffled. Beyond that
+    the names side still holds each name once, and a hot metric, hot only on the traffic side, is
+    split by the adaptive skew join.
     """
-    names = unused.select("metric_name").distinct().withColumn("_unused", F.lit(True))
+    names = unused.select("metric_name").withColumn("_unused", F.lit(True))
     hit = F.coalesce(F.col("_unused"), F.lit(False))
     return (
         metrics.join(names, "metric_name", "left")
@@ -151,7 +153,7 @@ def drop_unused_nested(
     """
     present = flatten_otlp(exports.select(key, "resource_metrics")).select(key, "metric_name").distinct()
     hits = (
-        present.join(unused.select("metric_name").distinct(), "metric_name")
+        present.join(unused.select("metric_name"), "metric_name")
         .groupBy(key)
         .agg(F.collect_list("metric_name").alias("_unused"))
     )

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricledger.params import PageRequest
+from metricledger.session import new_table_path
 
 DEFAULT_SIZE = 10
 MAX_SIZE = 100
 MAX_METADATA_SIZE = 10_000
+TOP_ROWS = 100_000  # pages that end beyond this many rows are cut from sorted files
 
 
 def sort_keys(
@@ -39,10 +41,39 @@ def clamp_page(page: int, size: int, cap: int = MAX_SIZE, default: int = DEFAULT
     return max(page, 1), min(size if size > 0 else default, cap)
 
 
-def paginate(df: DataFrame, page: int, size: int, cap: int = MAX_SIZE) -> DataFrame:
-    """Rows of one page of an ordered frame."""
+def paginate(df: DataFrame, keys: Sequence[Column], page: int, size: int, cap: int = MAX_SIZE) -> DataFrame:
+    """Rows of one page in the order of ``keys``.
+
+    A page near the front is a top-k. Top-k keeps all rows up to the page in one task, so a page
+    far behind is cut from the globally sorted rows instead.
+    """
     page, size = clamp_page(page, size, cap)
-    return df.offset((page - 1) * size).limit(size)
+    offset = (page - 1) * size
+    if offset + size <= TOP_ROWS:
+        return df.orderBy(*keys).offset(offset).limit(size)
+    return deep_page(df, keys, offset, size)
+
+
+def deep_page(df: DataFrame, keys: Sequence[Column], offset: int, size: int) -> DataFrame:
+    """Rows ``offset .. offset + size`` of the sorted frame, without passing the rows before
+    them through one task.
+
+    The sorted rows are written once with their partition and their place in it; counts per
+    partition, one small row each, then tell where every partition starts.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "sorted")
+    place = F.monotonically_increasing_id()
+    df.orderBy(*keys).withColumns(
+        {"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}
+    ).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.col("_place")
+    page = rows.join(F.broadcast(starts), "_part").where((at >= offset) & (at < offset + size))
+    return page.orderBy("_part", "_place").select(*df.columns)
 
 
 def total_pages(total: Column | int, size: int) -> Column | int:
@@ -87,7 +118,7 @@ def page_of(
 ) -> Page:
     """Sort, cut and count. ``counted`` replaces the row count where the total differs."""
     _, size = clamp_page(request.page, request.size, cap)
-    ordered = safe_order_by(rows, fields, default, request.sort_by, request.order, ties)
+    keys = sort_keys(fields, default, request.sort_by, request.order, ties)
     total = counted if counted is not None else rows.agg(F.count(F.lit(1)).alias("total"))
     counts = total.select(F.col("total"), total_pages(F.col("total"), size).alias("total_pages"))
-    return Page(paginate(ordered, request.page, request.size, cap), counts)
+    return Page(paginate(rows, keys, request.page, request.size, cap), counts)

@@ -35,7 +35,7 @@ def dashboard_counts(dashboards: DataFrame, tr: TimeRange) -> DataFrame:
 
 def query_counts(log: DataFrame, tr: TimeRange) -> DataFrame:
     """Queries per metric of their first selector; the rest of the selectors do not count here."""
-    first = F.get(F.col("label_matchers"), F.lit(0))["__name__"]
+    first = F.get(flt.selector_names(log), F.lit(0))
     return (
         flt.time_filter(log, tr)
         .select(first.alias("name"), "ts")

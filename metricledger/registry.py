@@ -518,7 +518,7 @@ def _unused(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("otlp_point_counts")
 def _otlp_point_counts(spark, sf):
-    return otlp.point_counts(fx.otlp_metrics(spark, sf), _unused(spark, sf), ALLOW, DENY)
+    return otlp.point_counts(fx.otlp_metrics(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY)
 
 
 @register("missing_job_count")
@@ -730,13 +730,13 @@ register("otlp_unused_names")(_unused)
 
 @register("otlp_drop_unused")
 def _otlp_drop_unused(spark, sf):
-    kept = otlp.drop_unused(fx.otlp_metrics(spark, sf), _unused(spark, sf), ALLOW, DENY)
+    kept = otlp.drop_unused(fx.otlp_metrics(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY)
     return kept.select("export_id", "line", "job", "metric_name", "points")
 
 
 @register("otlp_drop_unused_nested")
 def _otlp_drop_unused_nested(spark, sf):
-    trees = otlp.drop_unused_nested(fx.otlp_exports(spark, sf), _unused(spark, sf), ALLOW, DENY)
+    trees = otlp.drop_unused_nested(fx.otlp_exports(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY)
     return otlp.flatten_otlp(trees).select("export_id", "job", "metric_name", "points")
 
 
@@ -754,7 +754,7 @@ def _job_scope_rule(spark, sf):
 
 @register("otlp_dry_run")
 def _otlp_dry_run(spark, sf):
-    return otlp.dry_run(fx.otlp_metrics(spark, sf), _unused(spark, sf), ALLOW, DENY)
+    return otlp.dry_run(fx.otlp_metrics(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY)
 
 
 @register("catalog_seen_dedup")

@@ -29,6 +29,7 @@ QUERY_LOG = _struct(
     body_size=_I,
     fingerprint=_S,
     label_matchers=T.ArrayType(LABELS),
+    metric_names=T.ArrayType(_S),  # metric of every selector, in order; what the reads look at
     type=_S,
     step=_D,
     start_ts=_N,
