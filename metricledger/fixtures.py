@@ -112,14 +112,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], N
     return spark.read.parquet(_STORED[key])
 
 
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched log as stored, partitioned by day."""
+def ingest_log(spark: SparkSession, sf_dir: str, path: str) -> None:
+    raw = raw_query_log(spark, sf_dir)
+    append_query_log(enrich.enrich(raw, enrich.stored_dictionary(raw)), path)
 
-    def ingest(path: str) -> None:
-        raw = raw_query_log(spark, sf_dir)
-        append_query_log(enrich.enrich(raw, enrich.stored_dictionary(raw)), path)
 
-    return stored(spark, sf_dir, "query_log", ingest)
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched log as stored, partitioned by day."""
+    return stored(spark, sf_dir, "query_log", lambda path: ingest_log(spark, sf_dir, path))
 
 
 def empty(spark: SparkSession, schema) -> DataFrame:

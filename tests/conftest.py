@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -56,9 +57,8 @@ def make_log(spark):
             names = base["label_matchers"]
             base["metric_names"] = None if names is None else [m.get("__name__") for m in names]
             full.append(base)
-        columns = ["query_id", *schemas.QUERY_LOG.names]
-        schema = schemas.QUERY_LOG.add("query_id", "long") if "query_id" not in schemas.QUERY_LOG.names else schemas.QUERY_LOG
-        return spark.createDataFrame([tuple(r[c] for c in schema.names) for r in full], schema).select(*columns)
+        schema = T.StructType([T.StructField("query_id", T.LongType()), *schemas.QUERY_LOG.fields])
+        return spark.createDataFrame([tuple(r[c] for c in schema.names) for r in full], schema)
 
     return make
 

@@ -1,0 +1,166 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from metricledger.functions import scalars
+from metricledger.functions.expr_tools import ntz
+from metricledger.operators import filters as flt
+from metricledger.operators import maintenance
+from metricledger.operators.validate import check_queries, validate_queries
+from metricledger.params import TimeRange
+from metricledger.sources import query_log, usage_push
+from tests.conftest import BASE, plan_of
+
+GOOD = {
+    "query_param": "up",
+    "time_param": "2024-01-10T00:00:00Z",
+    "duration": 5_000_000,
+    "status_code": 200,
+    "body_size": 3,
+    "type": "instant",
+    "step": 0,
+}
+RANGE = {**GOOD, "type": "range", "start": "2024-01-09T00:00:00Z", "end": "2024-01-10T00:00:00Z"}
+
+
+def parse(spark, *bodies, strict=True):
+    lines = spark.createDataFrame([(b if isinstance(b, str) else json.dumps(b),) for b in bodies], "value string")
+    return query_log.parse_query_push(lines, strict, ntz(BASE))
+
+
+@pytest.mark.parametrize(
+    "change, error",
+    [
+        ({}, None),
+        ({"query_param": ""}, "missing query parameter"),
+        ({"body_size": -1}, "invalid body size"),
+        ({"duration": -1_000_000}, "invalid duration"),
+        ({"type": "stream"}, "invalid query type"),
+        ({"status_code": 0}, "invalid status code"),
+        ({"status_code": 299}, "invalid status code"),
+        ({"step": -1}, "invalid step"),
+    ],
+)
+def test_push_validation(spark, change, error):
+    row = check_queries(parse(spark, {**GOOD, **change}), ntz(BASE)).first()
+    assert row.error == error
+
+
+@pytest.mark.parametrize(
+    "change, error",
+    [
+        ({}, None),
+        ({"start": None}, "missing start parameter"),
+        ({"start": "0001-01-01T00:00:00Z"}, "missing start parameter"),
+        ({"end": None}, "missing end parameter"),
+        ({"end": "2024-01-08T00:00:00Z"}, "invalid range: end before start"),
+    ],
+)
+def test_range_validation(spark, change, error):
+    row = check_queries(parse(spark, {**RANGE, **change}), ntz(BASE)).first()
+    assert row.error == error
+    if error is None:
+        assert row.step == 15.0
+
+
+def test_instant_defaults(spark):
+    row = check_queries(parse(spark, {**GOOD, "time_param": None}), ntz(BASE)).first()
+    assert row.time_param == row.start_ts == row.end_ts == BASE
+    assert row.step == 0.0
+
+
+def test_bodies(spark):
+    rows = parse(spark, [GOOD, {**GOOD, "query_param": "down"}], {**GOOD, "odd": 1}, "not json", "[]").collect()
+    got = sorted((r.query_param, r.duration_ms, r.error or "") for r in rows)
+    assert ("down", 5, "") in got and ("up", 5, "") in got
+    assert ("up", 5, "unknown field odd") in got
+    assert sum(r.error == "invalid record" for r in rows) == 2
+    assert all(r.error is None for r in parse(spark, {**GOOD, "odd": 1}, strict=False).collect())
+
+
+def test_fail_batch_and_split(spark):
+    rows = parse(spark, GOOD, {**GOOD, "type": "x"}).drop("error").withColumn("push", F.lit(1))
+    more = parse(spark, GOOD).drop("error").withColumn("push", F.lit(2))
+    both = rows.unionByName(more)
+    assert validate_queries(both, ntz(BASE))[0].count() == 2
+    assert validate_queries(both, ntz(BASE), "fail_batch")[0].count() == 0
+    kept, bad = validate_queries(both, ntz(BASE), "fail_batch", "push")
+    assert [r.push for r in kept.collect()] == [2]
+    assert bad.count() == 1
+    with pytest.raises(ValueError):
+        validate_queries(both, ntz(BASE), "maybe")
+
+
+def test_response_stats(spark):
+    ok = '{"status":"success","data":{"stats":{"samples":{"totalQueryableSamples":7,"peakSamples":3}}}}'
+    bodies = [ok, ok.replace("success", "error"), "<html>", '{"status":"success"}', None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    got = {r.i: (r.total_queryable_samples, r.peak_samples) for r in query_log.parse_response_stats(df, "body").collect()}
+    assert got == {0: (7, 3), 1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+
+
+def test_usage_push(spark):
+    rule = {"prom_link": "p", "group_name": "g", "name": "r", "expression": "e"}
+    body = {"m": {"alertRules": [rule, {**rule, "name": "s"}], "recordingRules": [rule]}, "n": {"dashboards": [{"id": "d", "name": "D", "url": "u"}]}}
+    df = spark.createDataFrame([(json.dumps(body),)], "body string")
+    rules = sorted((r.serie, r.name, r.kind) for r in usage_push.flatten_rule_usage(df).collect())
+    assert rules == [("m", "r", "alert"), ("m", "r", "record"), ("m", "s", "alert")]
+    assert [tuple(r) for r in usage_push.flatten_dashboard_usage(df).collect()] == [("d", "n", "D", "u")]
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([({"X-A": "req", "B": ""}, {"x-a": "resp", "b": "two", "C": "3"})], "q map<string,string>, r map<string,string>")
+    got = df.select(scalars.extract_headers(F.col("q"), F.col("r"), ["x-a", "b", "missing", "x-a"]).alias("h")).first().h
+    assert got == {"x-a": "req", "b": "two"}
+
+
+@pytest.mark.parametrize(
+    "text, seconds",
+    [
+        ("2024-01-10T00:00:00Z", 0),
+        ("2024-01-10T02:00:00+02:00", 0),
+        ("2024-01-10T00:00:00.25Z", 0.25),
+        ("1704844800", 0),
+        ("1704844800.5", 0.5),
+        ("tomorrow", 60),
+        ("", 60),
+    ],
+)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_time_param(spark, text, seconds, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(text,)], "t string")
+        got = df.select(scalars.parse_time_param(F.col("t"), ntz(BASE + dt.timedelta(minutes=1))).alias("p")).first().p
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == BASE + dt.timedelta(seconds=seconds)
+
+
+def test_append_prunes_days(spark, make_log, tmp_path):
+    path = str(tmp_path / "log")
+    days = [dt.timedelta(days=d) for d in range(3)]
+    for batch in (days[:2], days[2:]):
+        query_log.append_query_log(make_log(*[{"ts": BASE + d} for d in batch]), path)
+    window = TimeRange(BASE + days[1], BASE + days[1] + dt.timedelta(hours=1))
+    rows = flt.time_filter(query_log.read_query_log(spark, path), window)
+    plan = plan_of(rows)
+    assert "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in plan
+    assert rows.count() == 1
+    assert len(rows.inputFiles()) >= 1
+
+
+def test_retention(spark, make_log, tmp_path):
+    path = str(tmp_path / "log")
+    hours = [0, 5, 20, 30, 50]
+    query_log.append_query_log(make_log(*[{"ts": BASE + dt.timedelta(hours=h)} for h in hours]), path)
+    left = lambda: sorted((r.ts - BASE).total_seconds() / 3600 for r in spark.read.parquet(path).collect())
+    assert maintenance.apply_retention(spark, path, BASE) == 0
+    assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=6)) == 2
+    assert left() == [20, 30, 50]
+    assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=40)) == 2
+    assert left() == [50]
+    assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=40)) == 0
