@@ -1,8 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Reads run on the stored, enriched log, as they do after ingestion; ingestion is timed on its
-own. The listings run on catalogs of 2 400, 24 000 and 240 000 rows, with one metric in ten unused
-and one job in a hundred metrics.
+own. The listings run on catalogs of 2 400, 24 000 and 240 000 rows with one metric in ten unused,
+and on a dense one with 144 000 unused of 240 000; a job exposes one metric in a hundred.
 """
 
 from __future__ import annotations
@@ -42,7 +42,13 @@ HEADLINE = [
     "otlp_point_counts",
     "catalog_seen_dedup",
 ]
-CATALOG_SIZES = (2_400, 24_000, 240_000)
+# (rows, unused out of ten, page sizes)
+LISTINGS = (
+    (2_400, 1, (10, 10_000)),
+    (24_000, 1, (10, 10_000)),
+    (240_000, 1, (10, 10_000)),
+    (240_000, 6, (10, 1_000, 10_000)),
+)
 REPEATS = 3
 
 
@@ -61,11 +67,11 @@ def timed(run: Callable[[], None]) -> float:
     return round(statistics.median(seconds), 4)
 
 
-def listing_tables(spark: SparkSession, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def listing_tables(spark: SparkSession, size: int, unused_of_ten: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     name = F.format_string("metric_%07d", F.col("id"))
     at, zero, n = ntz("2024-01-30 00:00:00"), F.lit(0).cast("long"), F.col("id")
     ids = spark.range(size)
-    unused = n % 10 == 0
+    unused = n % 10 < unused_of_ten
     frames = {
         "catalog": ids.select(name.alias("name"), F.lit("gauge").alias("type"), F.lit("help").alias("help"), F.lit("").alias("unit")),
         "summary": ids.select(
@@ -104,9 +110,10 @@ def main() -> None:
     queries = registry.queries()
     for name in HEADLINE:
         times[name] = timed(lambda: consume(queries[name](spark, sf)))
-    for size in CATALOG_SIZES:
-        catalog, summary, jobs = listing_tables(spark, size)
-        for page in (10, 10_000):
+    for size, unused_of_ten, pages in LISTINGS:
+        catalog, summary, jobs = listing_tables(spark, size, unused_of_ten)
+        shape = f"{size}_{unused_of_ten}0pct"
+        for page in pages:
             request = PageRequest(size=page, order="asc")
 
             def unused() -> None:
@@ -115,8 +122,8 @@ def main() -> None:
             def unused_job() -> None:
                 metadata.series_metadata(catalog, summary, jobs, request, usage="unused", job="job10").data.collect()
 
-            times[f"series_metadata_unused_{size}_page{page}"] = timed(unused)
-            times[f"series_metadata_unused_job_{size}_page{page}"] = timed(unused_job)
+            times[f"series_metadata_unused_{shape}_page{page}"] = timed(unused)
+            times[f"series_metadata_unused_job_{shape}_page{page}"] = timed(unused_job)
 
     result = {
         "metric": "total_seconds_of_headline_queries",

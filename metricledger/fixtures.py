@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from metricledger import schemas
 from metricledger.functions.expr_tools import ntz
@@ -95,7 +96,7 @@ def raw_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
@@ -108,8 +109,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], N
     if key not in _STORED:
         path = new_table_path(spark, name)
         write(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        _STORED[key] = path, spark.read.parquet(path).schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def ingest_log(spark: SparkSession, sf_dir: str, path: str) -> None:

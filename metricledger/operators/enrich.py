@@ -1,10 +1,11 @@
 """Query enrichment: identity and label matchers.
 
 A log repeats few texts many times, so the expressions run once per distinct text. The
-dictionary of texts is a table: it is written first, so the join knows its real size. Spark
-then broadcasts it when it is below ``spark.sql.autoBroadcastJoinThreshold``; otherwise the
-log side is shuffled and a text that holds a large share of the log is split by the adaptive
-skew join.
+dictionary of texts is a table: it is written (or persisted) first, so the join knows its real
+size. Spark then broadcasts it when it is below ``spark.sql.autoBroadcastJoinThreshold``; otherwise
+the log side is shuffled and a text that holds a large share of the log is split by the adaptive
+skew join. A dictionary computed inside the same plan would get neither: the log is shuffled
+before its size shows, and the skew join only splits plain shuffles.
 """
 
 from __future__ import annotations
@@ -31,9 +32,15 @@ def _described(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_d", _describe(key, column))
 
 
-def expression_dictionary(log: DataFrame) -> DataFrame:
-    """One row per distinct text with its identity, with and without ranges, and its matchers."""
+def expression_dictionary(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per distinct text with its identity, with and without ranges, and its matchers.
+
+    Identities never change, so with a ``known`` dictionary only new texts are worked out and
+    returned; the whole dictionary is the union of both.
+    """
     texts = log.select(F.coalesce(F.col("query_param"), F.lit("")).alias("query_param")).distinct()
+    if known is not None:
+        texts = texts.join(known.select("query_param"), "query_param", "left_anti")
     # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe.
     tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = texts if log.isStreaming else texts.repartition(tasks, "query_param")

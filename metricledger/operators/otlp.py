@@ -7,7 +7,7 @@ description, unit, points``. Lookups fail open: whatever is not known to be unus
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ CATALOG_EXTRAS = {
     "histogram": (("_bucket", True), ("_sum", True), ("_count", False)),
     "summary": (("_sum", True), ("_count", False)),
 }
+INLINE_NAMES = 2_000  # name lists up to this length are tested inside an expression
 FLUSH_EVERY = dt.timedelta(seconds=30)
 SEEN_TTL = dt.timedelta(hours=1)
 
@@ -145,26 +146,38 @@ def drop_unused_nested(
     allow: Sequence[str] = (),
     deny: Sequence[str] = (),
     key: str = "export_id",
+    inline_names: int = INLINE_NAMES,
 ) -> DataFrame:
     """The same on export trees, with emptied scopes and resources pruned.
 
-    Only the unused names an export holds travel to it, and their number is bounded by the
-    export itself. Exports that end up empty have no resources left.
+    Up to ``inline_names`` names become a hash-set test inside the tree, which moves no export and
+    also runs on a stream. Beyond that, the unused names an export holds are joined to it; their
+    number is bounded by the export itself. Exports that end up empty have no resources left.
     """
+    few = unused.select("metric_name").limit(inline_names + 1).collect()
+    if len(few) <= inline_names:
+        names = [r.metric_name for r in few]
+        return exports.withColumn(
+            "resource_metrics", _pruned(lambda n: n.isin(*names) if names else F.lit(False), allow, deny)
+        )
     present = flatten_otlp(exports.select(key, "resource_metrics")).select(key, "metric_name").distinct()
     hits = (
         present.join(unused.select("metric_name"), "metric_name")
         .groupBy(key)
         .agg(F.collect_list("metric_name").alias("_unused"))
     )
+    held = F.coalesce(F.col("_unused"), F.array().cast("array<string>"))
+    trees = _pruned(lambda n: F.array_contains(held, n), allow, deny)
+    return exports.join(hits, key, "left").withColumn("resource_metrics", trees).drop("_unused")
+
 
-    def keep(job: Column) -> callable:
-        active = drop_active(job, allow, deny)
+def _pruned(is_unused: Callable[[Column], Column], allow: Sequence[str], deny: Sequence[str]) -> Column:
+    """``resource_metrics`` without unused or empty metrics, and without what that leaves empty."""
 
+    def keep(job: Column) -> Callable[[Column], Column]:
         def one(m: Column) -> Column:
             name = prom_metric_name(m["name"], m["data_type"], m["is_monotonic"])
-            dropped = active & F.array_contains(F.coalesce(F.col("_unused"), F.array().cast("array<string>")), name)
-            return ~dropped & (_points(m) > 0)
+            return ~(drop_active(job, allow, deny) & is_unused(name)) & (_points(m) > 0)
 
         return one
 
@@ -179,10 +192,7 @@ def drop_unused_nested(
             F.filter(scopes, lambda sm: F.size(sm["metrics"]) > 0).alias("scope_metrics"),
         )
 
-    resources = F.filter(
-        F.transform("resource_metrics", resource), lambda rm: F.size(rm["scope_metrics"]) > 0
-    )
-    return exports.join(hits, key, "left").withColumn("resource_metrics", resources).drop("_unused")
+    return F.filter(F.transform("resource_metrics", resource), lambda rm: F.size(rm["scope_metrics"]) > 0)
 
 
 def drop_named(metrics: DataFrame, names: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:

@@ -299,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
     q["usage_push_rules"] = _with(
         [_EV, _RULES], "SELECT seen_at, serie, group_name, name, expression, kind FROM rule_push"
     )
+    q["rule_sources_union"] = _with([_EV, _RULES], "SELECT serie, kind, count(*) AS rules FROM rule_push GROUP BY 1, 2")
     q["usage_push_dashboards"] = _with([_EV, _DASH], "SELECT seen_at, id, serie, name, url FROM dash_push")
     q["catalog_from_metadata"] = _with([_CATALOG], "SELECT name, type, help, unit, synced_at FROM meta_rows")
     q["catalog_from_names"] = _with(
@@ -440,6 +441,10 @@ def oracle_sql() -> dict[str, str]:
     q["latest_query_text"] = _log(
         "SELECT fingerprint, arg_max(query_param, row(ts, query_param)) AS query FROM log GROUP BY 1"
     )
+    q["latest_text_lookup"] = _log(
+        "SELECT o.fingerprint, o.type, count(*) AS executions, (SELECT l.query_param FROM log l "
+        "WHERE l.fingerprint = o.fingerprint ORDER BY l.ts DESC, l.query_param DESC LIMIT 1) AS query FROM log o GROUP BY 1, 2"
+    )
     mine = "serie = 'm_25_total'"
     q["metric_statistics"] = _with(
         [_EV, _RULES, _DASH],
@@ -493,6 +498,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT m1 AS name, count(*) AS query_count, max(ts) AS last_queried_at FROM log WHERE tpl <> 7 AND {_between(reg.MIDDLE)} GROUP BY 1"
     )
     q["usage_summary"] = _with(_SUMMARY, "SELECT * FROM summ")
+    q["usage_summary_refresh_join"] = _with(
+        [_EV, _LOG, _RULES, _DASH, _CATALOG, _summary_cte(reg.MIDDLE)], "SELECT * FROM summ"
+    )
     q["list_jobs"] = _with([_EV, _JOBS], "SELECT DISTINCT job FROM jobs")
     q["otlp_point_counts"] = _with(
         _WITH_UNUSED,
@@ -603,6 +611,7 @@ def oracle_sql() -> dict[str, str]:
     q["otlp_drop_unused_nested"] = _with(
         _WITH_UNUSED, f"SELECT export_id, job, metric_name, points FROM om WHERE {kept}"
     )
+    q["otlp_drop_unused_nested_join"] = q["otlp_drop_unused_nested"]
     prefixes = " OR ".join(f"starts_with(metric_name, '{p}')" for p in reg.DROP_PREFIXES)
     listed = ", ".join(f"'{n}'" for n in reg.DROP_NAMES)
     q["otlp_drop_by_name_prefix"] = _with(

@@ -191,6 +191,12 @@ def _usage_push_rules(spark, sf):
     return usage_push.flatten_rule_usage(bodies).drop("labels")
 
 
+@register("rule_sources_union")
+def _rule_sources_union(spark, sf):
+    """Alerting and recording rules of every metric, counted by kind."""
+    return _usage_push_rules(spark, sf).groupBy("serie", "kind").agg(F.count(F.lit(1)).alias("rules"))
+
+
 @register("usage_push_dashboards")
 def _usage_push_dashboards(spark, sf):
     push = fx.dashboard_push(spark, sf)
@@ -438,6 +444,14 @@ register("metric_query_performance")(_on_log(reads.metric_query_performance, MET
 register("latest_query_text")(_on_log(reads.latest_text))
 
 
+@register("latest_text_lookup")
+def _latest_text_lookup(spark, sf):
+    """Executions per expression and type, beside the expression's latest text."""
+    log = fx.query_log(spark, sf)
+    counts = log.groupBy("fingerprint", "type").agg(F.count(F.lit(1)).alias("executions"))
+    return counts.join(reads.latest_text(log), "fingerprint", "left")
+
+
 @register("query_executions")
 def _query_executions(spark, sf):
     rows = reads.executions(fx.query_log(spark, sf), FULL, FINGERPRINT, "range")
@@ -507,6 +521,12 @@ def _usage_summary(spark, sf):
     return fx.refreshed_summary(spark, sf).drop("updated_at")
 
 
+@register("usage_summary_refresh_join")
+def _usage_summary_refresh_join(spark, sf):
+    """The same over a window that part of the facts fall out of."""
+    return fx.refreshed_summary(spark, sf, MIDDLE).drop("updated_at")
+
+
 @register("list_jobs")
 def _list_jobs(spark, sf):
     return reads.list_jobs(fx.job_index(spark, sf))
@@ -740,6 +760,13 @@ def _otlp_drop_unused_nested(spark, sf):
     return otlp.flatten_otlp(trees).select("export_id", "job", "metric_name", "points")
 
 
+@register("otlp_drop_unused_nested_join")
+def _otlp_drop_unused_nested_join(spark, sf):
+    """The way for name lists too long to inline."""
+    trees = otlp.drop_unused_nested(fx.otlp_exports(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY, inline_names=0)
+    return otlp.flatten_otlp(trees).select("export_id", "job", "metric_name", "points")
+
+
 @register("otlp_drop_by_name_prefix")
 def _otlp_drop_by_name_prefix(spark, sf):
     kept = otlp.drop_named(fx.otlp_metrics(spark, sf), DROP_NAMES, DROP_PREFIXES)

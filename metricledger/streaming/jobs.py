@@ -12,7 +12,7 @@ from metricledger import schemas
 from metricledger.operators import enrich, otlp, upserts
 from metricledger.operators.validate import validate_queries
 from metricledger.plans.inventory import Tables
-from metricledger.sources.query_log import parse_query_push
+from metricledger.sources.query_log import IDENTITY_BLOOM, parse_query_push
 
 LOG_COLUMNS = [name for name in schemas.QUERY_LOG.names if name != "dt"]
 
@@ -40,15 +40,21 @@ def stream_query_log(
         now = F.current_timestamp().cast("timestamp_ntz")
         parsed = parse_query_push(batch).where(F.col("error").isNull()).drop("error")
         valid, _ = validate_queries(parsed, now)
-        log = enrich.enrich(valid, enrich.expression_dictionary(valid)).select(*LOG_COLUMNS)
-        (
-            log.withColumns({"dt": F.to_date("ts"), "batch_id": F.lit(batch_id)})
-            .sortWithinPartitions("ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch_id")
-            .parquet(target)
-        )
+        # Kept for the batch, so that the join below plans with its real size.
+        dictionary = enrich.expression_dictionary(valid).persist()
+        try:
+            dictionary.count()
+            log = enrich.enrich(valid, dictionary).select(*LOG_COLUMNS)
+            (
+                log.withColumns({"dt": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+                .sortWithinPartitions("ts")
+                .write.mode("overwrite")
+                .options(partitionOverwriteMode="dynamic", **IDENTITY_BLOOM)
+                .partitionBy("dt", "batch_id")
+                .parquet(target)
+            )
+        finally:
+            dictionary.unpersist()
 
     return _start(lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 

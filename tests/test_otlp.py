@@ -89,7 +89,8 @@ def export(spark, *resources):
     return spark.createDataFrame([(1, tree)], schemas.OTLP_EXPORT)
 
 
-def test_nested_pruning(spark):
+@pytest.mark.parametrize("inline", [100, 0])
+def test_nested_pruning(spark, inline):
     trees = export(
         spark,
         ({"job": "a"}, [[("idle", "gauge", 1)], [("busy", "gauge", 1), ("idle", "gauge", 1), ("hollow", "gauge", 0)]]),
@@ -97,11 +98,11 @@ def test_nested_pruning(spark):
         ({"job": "", "service.name": "c"}, [[("calls", "sum", 1)], []]),
     )
     names = spark.createDataFrame([("idle",), ("calls_total",)], "metric_name string")
-    left = otlp.drop_unused_nested(trees, names).first().resource_metrics
+    left = otlp.drop_unused_nested(trees, names, inline_names=inline).first().resource_metrics
     assert [(r.attributes["job"], [[m.name for m in s.metrics] for s in r.scope_metrics]) for r in left] == [("a", [["busy"]])]
-    spared = otlp.drop_unused_nested(trees, names, deny=["b"]).first().resource_metrics
+    spared = otlp.drop_unused_nested(trees, names, deny=["b"], inline_names=inline).first().resource_metrics
     assert [r.attributes.get("service.name") for r in spared] == [None, "b"]
-    untouched = otlp.drop_unused_nested(trees, names.limit(0)).first().resource_metrics
+    untouched = otlp.drop_unused_nested(trees, names.limit(0), inline_names=inline).first().resource_metrics
     assert len(untouched) == 3
 
 

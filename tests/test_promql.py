@@ -140,3 +140,11 @@ def test_inline_enrichment_equals_dictionary(spark):
     inline = enrich.enrich_inline(df)
     key = lambda r: (r.query_param, r.fingerprint, str(r.label_matchers), str(r.metric_names))
     assert sorted(map(key, by_join.collect())) == sorted(map(key, inline.collect()))
+
+
+def test_known_texts_are_not_worked_out_again(spark):
+    first = spark.createDataFrame([("a",), ("b",)], "query_param string")
+    second = spark.createDataFrame([("b",), ("c",), ("c",)], "query_param string")
+    known = enrich.expression_dictionary(first)
+    fresh = enrich.expression_dictionary(second, known)
+    assert [r.query_param for r in fresh.collect()] == ["c"]
