@@ -83,9 +83,8 @@ def total_pages(total: Column | int, size: int) -> Column | int:
 
 
 def with_total(df: DataFrame, name: str = "total_count") -> DataFrame:
-    """Every row with the number of rows; the other side of the join is one row."""
-    total = df.agg(F.count(F.lit(1)).alias(name))
-    return df.crossJoin(F.broadcast(total))
+    """Every row with the number of rows, which is a scalar subquery of its own."""
+    return df.withColumn(name, df.agg(F.count(F.lit(1))).scalar())
 
 
 @dataclass
@@ -100,8 +99,8 @@ class Page:
 
         The array is bounded by the page size, never by the table.
         """
-        rows = self.data.agg(F.collect_list(F.struct(*self.data.columns)).alias("data"))
-        return self.counts.crossJoin(F.broadcast(rows))
+        rows = self.data.agg(F.collect_list(F.struct(*self.data.columns)))
+        return self.counts.withColumn("data", rows.scalar())
 
     def write_json(self, path: str) -> None:
         self.as_result().write.mode("errorifexists").json(path)

@@ -224,10 +224,10 @@ def metric_statistics(rules: DataFrame, dashboards: DataFrame, metric: str, tr:
     # One row per dashboard name first, so that the final counts are plain sums.
     names = flt.presence_overlap(dashboards, tr).groupBy("name").agg(F.max(mine).alias("mine"))
     dashboard_counts = names.agg(
-        F.count_if("mine").alias("dashboard_count"), F.count("name").alias("total_dashboards")
+        F.struct(F.count_if("mine").alias("dashboard_count"), F.count("name").alias("total_dashboards"))
     )
-    return rule_counts.crossJoin(F.broadcast(dashboard_counts)).select(
-        "alert_count", "record_count", "dashboard_count", "total_alerts", "total_records", "total_dashboards"
+    return rule_counts.withColumn("d", dashboard_counts.scalar()).select(
+        "alert_count", "record_count", "d.dashboard_count", "total_alerts", "total_records", "d.total_dashboards"
     )
 
 
@@ -243,18 +243,17 @@ def metric_producers(series: DataFrame, metric: str) -> DataFrame:
 def series_shape(series: DataFrame, metric: str) -> DataFrame:
     """(serie_count, label_count) of a metric; the name counts as a label."""
     mine = series.where(F.col("name") == metric)
-    count = mine.agg(F.count(F.lit(1)).alias("serie_count"))
     keys = mine.select(F.explode(F.map_keys("labels")).alias("label")).distinct()
-    named = F.when(F.col("serie_count") > 0, F.col("labels_seen") + 1).otherwise(F.lit(0))
-    labels = keys.where(F.col("label") != "__name__").agg(F.count(F.lit(1)).alias("labels_seen"))
-    return count.crossJoin(F.broadcast(labels)).select("serie_count", named.cast("long").alias("label_count"))
+    labels = keys.where(F.col("label") != "__name__").agg(F.count(F.lit(1)))
+    named = F.when(F.col("serie_count") > 0, labels.scalar() + 1).otherwise(F.lit(0))
+    return mine.agg(F.count(F.lit(1)).alias("serie_count")).withColumn("label_count", named.cast("long"))
 
 
 def producer_contribution(producers: DataFrame) -> DataFrame:
     """Whole percent of the series each job holds; halves round up."""
-    total = producers.agg(F.sum("series").alias("_total"))
-    share = F.floor(F.col("series") / F.col("_total") * 100 + F.lit(0.5)).cast("long")
-    return producers.crossJoin(F.broadcast(total)).select("job", "series", share.alias("percent"))
+    total = producers.agg(F.sum("series")).scalar()
+    share = F.floor(F.col("series") / total * 100 + F.lit(0.5)).cast("long")
+    return producers.select("job", "series", share.alias("percent"))
 
 
 def list_jobs(job_index: DataFrame) -> DataFrame:

@@ -72,7 +72,10 @@ def usage_summary(
 
 def summary_noop_check(catalog: DataFrame, refreshed: DataFrame) -> DataFrame:
     """One row: did a refresh touch nothing although the catalog has rows?"""
-    catalog_rows = catalog.agg(F.count(F.lit(1)).alias("catalog_rows"))
-    refreshed_rows = refreshed.agg(F.count(F.lit(1)).alias("refreshed_rows"))
+    touched = refreshed.agg(F.count(F.lit(1))).scalar()
     suspicious = (F.col("refreshed_rows") == 0) & (F.col("catalog_rows") > 0)
-    return catalog_rows.crossJoin(F.broadcast(refreshed_rows)).withColumn("was_noop", suspicious)
+    return (
+        catalog.agg(F.count(F.lit(1)).alias("catalog_rows"))
+        .withColumn("refreshed_rows", touched)
+        .withColumn("was_noop", suspicious)
+    )
