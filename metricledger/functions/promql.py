@@ -58,8 +58,10 @@ SCALAR_FUNCTIONS = {"V": "scalar", "": "time pi"}
 MASK = "MASKED"
 # ---------------------------------------------------------------------------------------
 
-_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
-_DURATION = r"(?:\d+(?:ms|[smhdwy]))+"
+# Repeated groups are possessive throughout: a plain one recurses once per repetition, and a long
+# label value would overflow the stack of the task.
+_STRING = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\'|`[^`]*+`'
+_DURATION = r"(?:\d++(?:ms|[smhdwy]))++"
 _NUMBER = r"0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _NAME = r"(?:[A-Za-z_]|:(?=[A-Za-z_:]))[A-Za-z0-9_:]*"
 _LABEL = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -231,7 +233,7 @@ def _selector_parts(segment: Column, tokens: Column) -> Column:
 def _selector_ok(segment: Column, matchers: Column) -> Column:
     inside = F.regexp_extract(segment, r"\{ ([^{}]*)\}", 1)
     item = rf"(?:(?:{_LABEL}|⟨s\d+⟩) {_MATCH_OP} ⟨s\d+⟩|⟨s\d+⟩)"
-    shaped = _matches(F.trim(inside), rf"^(?:{item}(?: , {item})*(?: ,)?)?$")
+    shaped = _matches(F.trim(inside), rf"^(?:{item}(?: , {item})*+(?: ,)?)?$")
     names = F.size(F.filter(matchers, lambda m: m.bare))
     twice = (names > 1) | (
         (names == 1) & F.exists(matchers, lambda m: (m.label == "__name__") & (m.op == "=") & ~m.bare)
@@ -284,7 +286,7 @@ def _list_text(segment: Column, tokens: Column) -> Column:
 def _list_ok(segment: Column) -> Column:
     item = rf"(?:{_LABEL}|⟨s\d+⟩)"
     inside = F.trim(F.regexp_extract(segment, r"\( ([^()]*)\)", 1))
-    return _matches(inside, rf"^(?:{item}(?: , {item})*(?: ,)?)?$")
+    return _matches(inside, rf"^(?:{item}(?: , {item})*+(?: ,)?)?$")
 
 
 def _is_list(segment: Column) -> Column:
@@ -306,7 +308,9 @@ def _call(names: str, signature: str) -> str:
     return rf"(?:{'|'.join(names.split())}) ⟨p\d+:{signature}⟩"
 
 
-_MODIFIER = rf"(?: offset (?:[-+] )?(?:{_DURATION})| @ (?:[-+] )?(?:\d[\w.]*|(?:start|end) ⟨p\d+:⟩))"
+_OFFSET = rf" offset (?:[-+] )?(?:{_DURATION})"
+_AT = r" @ (?:[-+] )?(?:\d[\w.]*|(?:start|end) ⟨p\d+:⟩)"
+_MODIFIERS = rf"(?:{_OFFSET}(?:{_AT})?|{_AT}(?:{_OFFSET})?)"  # each at most once
 _VECTOR_CALL = r"(?<![^ ])(?:" + "|".join(_call(n, s) for s, n in VECTOR_FUNCTIONS.items()) + ")"
 _SCALAR_CALL = r"(?<![^ ])(?:" + "|".join(_call(n, s) for s, n in SCALAR_FUNCTIONS.items()) + ")"
 _AGGREGATE_CALL = (
@@ -320,14 +324,14 @@ _AGGREGATE_CALL = (
 _BINARY_OP = (
     r"(?:(?:==|!=|<=|>=|<|>)(?: bool)?|and|or|unless|atan2|[-+*/%^])(?: ⟨o\d+:⟩(?: ⟨j\d+:⟩)?)?"
 )
-_CHAIN = rf"^(?:[-+] )*[VN](?: {_BINARY_OP} (?:[-+] )*[VN])*$"
+_CHAIN = rf"^(?:[-+] )*+[VN](?: {_BINARY_OP} (?:[-+] )*+[VN])*+$"
 
 
 def _flat_types(flat: Column) -> Column:
     """Type letters of the comma-separated arguments in ``flat``; ``!`` marks a broken one."""
     t = F.regexp_replace(flat, rf"⟨v\d+:⟩ \[ (?:{_DURATION}) \]", "M")
     t = F.regexp_replace(t, r"⟨v\d+:⟩", "V")
-    t = F.regexp_replace(t, rf"(?<=[VM]){_MODIFIER}+", "")
+    t = F.regexp_replace(t, rf"(?<=[VM]){_MODIFIERS}", "")
     t = F.regexp_replace(t, _VECTOR_CALL, "W")
     t = F.regexp_replace(t, _SCALAR_CALL, "N")
     t = F.regexp_replace(t, _AGGREGATE_CALL, "W")
@@ -335,7 +339,7 @@ def _flat_types(flat: Column) -> Column:
     t = F.regexp_replace(t, r"(?<=bool |and |or |unless |atan2 )⟨p\d+:V⟩", "W")
     t = F.regexp_replace(t, r"(?<=bool |and |or |unless |atan2 )⟨p\d+:N⟩", "N")
     t = F.regexp_replace(t, r"(?<![^ ])(?<![a-z0-9_] )⟨p\d+:([NMS])⟩", "$1")
-    t = F.regexp_replace(t, rf"[VW] \[ (?:{_DURATION}) : (?:(?:{_DURATION}) )?\]{_MODIFIER}*", "M")
+    t = F.regexp_replace(t, rf"[VW] \[ (?:{_DURATION}) : (?:(?:{_DURATION}) )?\]{_MODIFIERS}?", "M")
     t = F.regexp_replace(t, r"⟨s\d+⟩", "S")
     t = F.regexp_replace(t, rf"(?<![^ ])(?:(?:{_NUMBER})|{_NUMBER_WORD}|{_DURATION}|\d+\.?\d*E-?\d+)(?![^ ])", "N")
     t = F.regexp_replace(t, "W", "V")
@@ -385,8 +389,11 @@ def _fold_parentheses(text: Column) -> Column:
 
         return bind(_flat_types(F.trim(body)), close)
 
+    def while_ok(acc: Column, k: Column) -> Column:
+        return F.when(acc.ok, step(acc, k)).otherwise(acc)
+
     return F.when(
-        (closing == opening) & (closing > 0), F.aggregate(F.sequence(F.lit(1), F.greatest(closing, F.lit(1))), start, step)
+        (closing == opening) & (closing > 0), F.aggregate(F.sequence(F.lit(1), F.greatest(closing, F.lit(1))), start, while_ok)
     ).otherwise(start)
 
 

@@ -38,6 +38,9 @@ VALID = [
     "-x",
     "a and (b or c)",
     "x @ 1609746000",
+    "x @ end() offset 5m",
+    "rate(x[5m] offset 1h @ 1609746000.5)",
+    "sum_over_time(rate(x[5m])[1h:5m] offset 1d)",
     "x[5m] offset -1h",
     "topk(5, sum without(a) (x))",
     'count_values("v", x)',
@@ -77,6 +80,8 @@ INVALID = [
     'up{__name__="x"}',
     "clamp(x)",
     "x offset",
+    "x offset 5m offset 5m",
+    "x @ 1 @ 2",
     '"unclosed',
     "foo[5m",
     "sum(a,b)",
@@ -148,3 +153,26 @@ def test_known_texts_are_not_worked_out_again(spark):
     known = enrich.expression_dictionary(first)
     fresh = enrich.expression_dictionary(second, known)
     assert [r.query_param for r in fresh.collect()] == ["c"]
+
+
+LONG = {
+    'up{a=~"' + "x|" * 50_000 + '"}': True,
+    'up{a=~"' + "\\\\." * 20_000 + '"}': True,
+    " or ".join(f"m{i}" for i in range(2_000)): True,
+    "up{" + ",".join(f'l{i}="v"' for i in range(2_000)) + "}": True,
+    "(" * 200 + "up" + ")" * 200: True,
+    " + ".join(f"rate(m{i}[5m])" for i in range(200)): True,
+    "-" * 2_000 + "x": True,
+    "up #" + "x" * 50_000: True,
+    "$" * 20_000: False,
+    "(" * 20_000: False,
+    ")" * 10_000 + "(" * 10_000: False,
+    'up{a="' + "\\" * 20_000: False,
+}
+
+
+def test_long_texts_are_read_whole(spark):
+    """No text is cut, and none brings a task down."""
+    df = spark.createDataFrame([(t,) for t in LONG], "query_param string")
+    got = {r.query_param: r.fingerprint != "" for r in enrich.expression_dictionary(df).collect()}
+    assert got == LONG
