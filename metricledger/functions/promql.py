@@ -327,6 +327,32 @@ _BINARY_OP = (
 _CHAIN = rf"^(?:[-+] )*+[VN](?: {_BINARY_OP} (?:[-+] )*+[VN])*+$"
 
 
+_MATCHING = r"(?: ⟨o\d+:⟩(?: ⟨j\d+:⟩)?)?"
+_ARITHMETIC = (r"\^", r"(?:[*/%]|atan2)", r"[-+]")  # tightest first
+_COMPARISON = r"(?:==|!=|<=|>=|<|>)"
+
+
+def _by_precedence(chain: Column) -> Column:
+    """Type of a chain that mixes scalars with comparisons or set operators.
+
+    Levels collapse from the tightest on. Two scalars compare only with ``bool``, and set
+    operators take vectors only, so what breaks a rule is left standing.
+    """
+    t = F.regexp_replace(chain, r"(?:^|(?<=[^VN] ))(?:[-+] )++", "")  # signs
+
+    def collapse(t: Column, scalars: str, mixed: str) -> Column:
+        t = F.regexp_replace(t, rf"(?<![^ ])N(?: {scalars} N)*+", "N")
+        t = F.regexp_replace(t, rf"(?<![^ ])V(?: {mixed} [VN])*+", "V")
+        return F.regexp_replace(t, rf"(?<![^ ])N {mixed} V", "V")
+
+    for op in _ARITHMETIC:
+        t = collapse(t, op, op + _MATCHING)
+    t = collapse(t, _COMPARISON + " bool", _COMPARISON + "(?: bool)?" + _MATCHING)
+    for op in ("(?:and|unless)", "or"):
+        t = F.regexp_replace(t, rf"(?<![^ ])V(?: {op}{_MATCHING} V)*+", "V")
+    return F.when(t.isin("V", "N"), t).otherwise(F.lit("!"))
+
+
 def _flat_types(flat: Column) -> Column:
     """Type letters of the comma-separated arguments in ``flat``; ``!`` marks a broken one."""
     t = F.regexp_replace(flat, rf"⟨v\d+:⟩ \[ (?:{_DURATION}) \]", "M")
@@ -346,8 +372,12 @@ def _flat_types(flat: Column) -> Column:
 
     def arg(a: Column) -> Column:
         vector = F.when(a.contains("V"), F.lit("V")).otherwise(F.lit("N"))
+        delicate = a.contains("N") & _matches(a, "[=<>]|and|or|unless")
         return (
-            F.when(_matches(a, "^[MS]$"), a).when(_matches(a, _CHAIN), vector).otherwise(F.lit("!"))
+            F.when(_matches(a, "^[MS]$"), a)
+            .when(~_matches(a, _CHAIN), F.lit("!"))
+            .when(delicate, _by_precedence(a))
+            .otherwise(vector)
         )
 
     return F.when(F.trim(flat) == "", F.lit("")).otherwise(

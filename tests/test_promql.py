@@ -45,6 +45,15 @@ VALID = [
     "topk(5, sum without(a) (x))",
     'count_values("v", x)',
     "a == bool 1",
+    "1 == bool 1",
+    "1 > bool 2 + 3",
+    "2 * x > 1 + 1",
+    "x > 5 and y < 3",
+    "x and 1 + y",
+    "1 - -x >= 2 ^ 3",
+    "x == on (a) y or vector(1)",
+    "5 < x",
+    "-1 * x unless y == 2",
     'absent(up{job="a"}) or vector(0)',
     "clamp(x, 0, 1)",
     "day_of_week()",
@@ -80,6 +89,12 @@ INVALID = [
     'up{__name__="x"}',
     "clamp(x)",
     "x offset",
+    "1 == 1",
+    "1 + 2 > 3",
+    "1 and x",
+    "x or 1",
+    "x unless 2 * 3",
+    "x > 1 == bool 1 and 1",
     "x offset 5m offset 5m",
     "x @ 1 @ 2",
     '"unclosed',
@@ -163,6 +178,7 @@ LONG = {
     "(" * 200 + "up" + ")" * 200: True,
     " + ".join(f"rate(m{i}[5m])" for i in range(200)): True,
     "-" * 2_000 + "x": True,
+    " + ".join(f"{i} * x{i}" for i in range(2_000)) + " > 1": True,
     "up #" + "x" * 50_000: True,
     "$" * 20_000: False,
     "(" * 20_000: False,
