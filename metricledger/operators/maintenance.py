@@ -23,25 +23,30 @@ def retention_report(log: DataFrame, cutoff: dt.datetime) -> DataFrame:
 
 
 def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
-    """Delete rows before ``cutoff`` from a log partitioned by day; returns how many.
+    """Delete rows before ``cutoff`` from a log partitioned by day (and batch); returns how many.
 
-    Days before the cutoff's go as folders. Only the cutoff's own day is rewritten, as a dynamic
-    partition overwrite, whose new files replace the old ones at commit.
+    Partitions without a row to keep go as folders. Only the cutoff's own day is rewritten, as a
+    dynamic partition overwrite, whose new files replace the old ones at commit.
     """
     log = spark.read.parquet(path)
+    parts = [c for c in ("dt", "batch_id") if c in log.columns]
+    old = F.col("ts") < ntz(cutoff)
     day = F.lit(cutoff.date())
-    deleted = log.where((F.col("dt") <= day) & (F.col("ts") < ntz(cutoff))).count()
-    if deleted == 0:
-        return 0
-    boundary = log.where((F.col("dt") == day) & (F.col("ts") >= ntz(cutoff)))
-    boundary_left = bool(boundary.take(1))
-    if boundary_left and log.where((F.col("dt") == day) & (F.col("ts") < ntz(cutoff))).take(1):
-        boundary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-    # One row per day, so this list stays short.
-    gone = F.col("dt") < day if boundary_left else F.col("dt") <= day
-    days = [r.dt for r in log.where(gone).select("dt").distinct().collect()]
+    # One row per folder that holds something to delete.
+    touched = (
+        log.where(F.col("dt") <= day)
+        .groupBy(*parts)
+        .agg(F.count_if(old).alias("gone"), F.count_if(~old).alias("left"))
+        .where("gone > 0")
+        .collect()
+    )
+    if any(r.left for r in touched):
+        kept = log.where((F.col("dt") == day) & ~old)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in days:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"dt={old.isoformat()}"), True)
-    return deleted
+    for row in touched:
+        if not row.left:
+            name = "/".join(f"{c}={row[c]}" for c in parts)
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return sum(r.gone for r in touched)

@@ -92,32 +92,58 @@ def stream_seen_dedup(items: DataFrame, ttl: dt.timedelta = otlp.SEEN_TTL, ts: s
     """Catalog rows whose name was not seen within the watermark delay.
 
     Expiry follows the watermark, so a name may come again a little later than ``ttl`` after
-    its last write; the batch form is exact.
+    its last write; the batch form is exact. All sightings of a name meet in its state's task:
+    for traffic with hot names use :func:`stream_catalog_sync`, which reduces them first.
     """
     timed = items.withColumn(ts, F.col(ts).cast("timestamp"))
     return timed.withWatermark(ts, f"{int(ttl.total_seconds())} seconds").dropDuplicatesWithinWatermark(["name"])
 
 
+def due_items(metrics: DataFrame, catalog: DataFrame, ttl: dt.timedelta) -> DataFrame:
+    """Catalog rows to write for a batch of flat metrics with ``ts``: those the catalog does not have,
+    or has not had confirmed for ``ttl``.
+
+    Sightings of a metric are reduced to one row by hash aggregation on the map side.
+    """
+    sighted = metrics.groupBy("metric_name", "data_type", "is_monotonic", "description", "unit").agg(
+        F.max(F.col("ts").cast("timestamp_ntz")).alias("synced_at")
+    )
+    items = otlp.otlp_catalog_items(sighted).groupBy("name").agg(
+        F.max_by(F.struct("type", "help", "unit"), F.struct("synced_at", "type", "help", "unit")).alias("item"),
+        F.max("synced_at").alias("synced_at"),
+    )
+    last = catalog.select("name", "last_synced_at")
+    age = F.col("synced_at") - F.col("last_synced_at")
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(int(ttl.total_seconds())).cast("decimal(18,6)"))
+    return (
+        items.join(last, "name", "left")
+        .where(F.col("last_synced_at").isNull() | (age >= wait))
+        .select("name", "item.type", "item.help", "item.unit", "synced_at")
+    )
+
+
 def stream_catalog_sync(
     metrics: DataFrame, root: str, checkpoint: str, ttl: dt.timedelta = otlp.SEEN_TTL, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Flat metrics with ``ts`` -> catalog and placeholders, as new snapshots per batch.
+    """Flat metrics with ``ts`` -> catalog and placeholders, as new snapshots when something is due.
 
-    The upserts are idempotent, so a retried batch only repeats the same result; that takes the
-    place of re-queueing after a failed flush.
+    The catalog itself remembers what was seen, so nothing is held between batches and a restart
+    forgets nothing. The upserts are idempotent: a retried batch repeats the same result, which
+    takes the place of re-queueing after a failed flush.
     """
-    fresh = stream_seen_dedup(otlp.otlp_catalog_items(metrics), ttl)
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         tables = Tables(batch.sparkSession, root)
-        items = batch.select("name", "type", "help", "unit", F.col("ts").cast("timestamp_ntz").alias("synced_at"))
-        now = items.agg(F.max("synced_at").alias("now")).first().now
-        if now is None:
-            return
-        seq = items.withColumn("seq", F.unix_micros(F.col("synced_at").cast("timestamp")))
-        summary = upserts.add_placeholders(tables.read("metrics_usage_summary"), items, now)
-        tables.write("metrics_usage_summary", summary)
-        tables.write("metrics_catalog", upserts.upsert_catalog(tables.read("metrics_catalog"), seq))
-
-    return _start(fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
+        catalog = tables.read("metrics_catalog")
+        due = due_items(batch, catalog, ttl).persist()
+        try:
+            now = due.agg(F.max("synced_at").alias("now")).first().now
+            if now is None:
+                return
+            summary = upserts.add_placeholders(tables.read("metrics_usage_summary"), due, now)
+            tables.write("metrics_usage_summary", summary)
+            tables.write("metrics_catalog", upserts.upsert_catalog(catalog, due.withColumn("seq", F.col("synced_at"))))
+        finally:
+            due.unpersist()
 
+    return _start(metrics.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)

@@ -23,7 +23,7 @@ def _cell(value) -> str:
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
     if isinstance(value, float):
-        return f"{value:.6f}"
+        return repr(float(value))
     if hasattr(value, "isoformat"):
         return pd.Timestamp(value).isoformat()
     return str(value)

@@ -164,3 +164,14 @@ def test_retention(spark, make_log, tmp_path):
     assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=40)) == 2
     assert left() == [50]
     assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=40)) == 0
+
+
+def test_retention_of_a_streamed_log(spark, make_log, tmp_path):
+    """Partitioned by day and batch: a batch of the cutoff's day may vanish as a whole."""
+    path = str(tmp_path / "log")
+    hours = [(0, 1), (2, 1), (1, 2), (9, 2), (3, 3), (30, 4)]
+    rows = make_log(*[{"ts": BASE + dt.timedelta(hours=h), "query_id": b} for h, b in hours])
+    rows.withColumn("batch_id", F.col("query_id")).write.partitionBy("dt", "batch_id").parquet(path)
+    assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=4)) == 4
+    left = sorted((r.batch_id, (r.ts - BASE).total_seconds() / 3600) for r in spark.read.parquet(path).collect())
+    assert left == [(2, 9), (4, 30)]

@@ -86,3 +86,26 @@ def test_catalog_sync_adds_names_once(spark, tmp_path):
     catalog = {r.name: r.type for r in tables.read("metrics_catalog").collect()}
     assert catalog == {"calls": "gauge", "h": "histogram", "h_bucket": "histogram", "h_sum": "histogram", "h_count": "histogram"}
     assert not any(r.is_unused for r in tables.read("metrics_usage_summary").collect())
+    synced = {r.name: r.last_synced_at for r in tables.read("metrics_catalog").collect()}
+    assert synced["calls"] == at(5)  # seen again two minutes later, within the hour
+    late = [("calls", "gauge", False, "new", "u", 1, "j", at(90))]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(folder)
+    jobs.stream_catalog_sync(stream(), root, ckpt).awaitTermination()
+    row = tables.read("metrics_catalog").where("name = 'calls'").first()
+    assert (row.help, row.first_seen_at, row.last_synced_at) == ("new", at(5), at(90))
+
+
+def test_stream_dedup_emits_a_name_once(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("a", at(0)), ("a", at(1)), ("b", at(2)), ("a", at(3))]
+    spark.createDataFrame(rows, "name string, ts timestamp_ntz").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema("name string, ts timestamp_ntz").parquet(folder)
+    query = (
+        jobs.stream_seen_dedup(stream)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "ckpt"))
+        .trigger(availableNow=True)
+        .start(target)
+    )
+    query.awaitTermination()
+    assert sorted(r.name for r in spark.read.parquet(target).collect()) == ["a", "b"]
