@@ -50,14 +50,17 @@ def parse_query_push(lines: DataFrame, strict: bool = True, received: Column | N
     body = F.trim("value")
     items = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
     records = lines.select(F.posexplode_outer(items).alias("position", "record"))
-    parsed = F.from_json("record", schemas.QUERY_PUSH, {"mode": "PERMISSIVE"})
-    keys = F.map_keys(F.from_json("record", "map<string,string>"))
-    unknown = F.array_except(keys, F.array(*[F.lit(k) for k in _KNOWN_FIELDS]))
-    broken = F.col("record").isNull() | keys.isNull() | (F.size(keys) == 0)
-    error = F.when(broken, F.lit("invalid record"))
+    # Each record is parsed once as a record and, to see its field names, once as a map.
+    rows = records.select(
+        "position",
+        F.from_json("record", schemas.QUERY_PUSH, {"mode": "PERMISSIVE"}).alias("r"),
+        F.map_keys(F.from_json("record", "map<string,string>")).alias("keys"),
+    )
+    unknown = F.array_except("keys", F.array(*[F.lit(k) for k in _KNOWN_FIELDS]))
+    rows = rows.withColumn("unknown", F.get(unknown, F.lit(0)))
+    error = F.when(F.col("keys").isNull() | (F.size("keys") == 0), F.lit("invalid record"))
     if strict:
-        error = error.when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.element_at(unknown, 1)))
-    rows = records.select("position", error.alias("error"), parsed.alias("r"))
+        error = error.when(F.col("unknown").isNotNull(), F.concat(F.lit("unknown field "), "unknown"))
     now = received if received is not None else F.current_timestamp().cast("timestamp_ntz")
     return rows.select(
         "position",
@@ -74,7 +77,7 @@ def parse_query_push(lines: DataFrame, strict: bool = True, received: Column | N
         F.coalesce("r.total_queryable_samples", F.lit(0)).alias("total_queryable_samples"),
         F.coalesce("r.peak_samples", F.lit(0)).alias("peak_samples"),
         F.col("r.http_headers").alias("http_headers"),
-        "error",
+        error.alias("error"),
     )
 
 
