@@ -62,7 +62,8 @@ MASK = "MASKED"
 # label value would overflow the stack of the task.
 _STRING = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\'|`[^`]*+`'
 _DURATION = r"(?:\d++(?:ms|[smhdwy]))++"
-_NUMBER = r"0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_DIGITS = r"\d(?:_?\d)*+"
+_NUMBER = rf"0[xX](?:_?[0-9a-fA-F])++|(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?\d+)?"
 _NAME = r"(?:[A-Za-z_]|:(?=[A-Za-z_:]))[A-Za-z0-9_:]*"
 _LABEL = r"[A-Za-z_][A-Za-z0-9_]*"
 _MATCH_OP = r"(?:=~|!~|!=|=)"
@@ -151,8 +152,9 @@ def _print_duration(token: Column) -> Column:
 
 
 def _print_number(token: Column) -> Column:
-    hexa = F.conv(F.regexp_replace(token, "^0[xX]", ""), 16, 10)
-    value = F.when(_matches(token, "^0[xX]"), hexa).otherwise(token)
+    digits = F.replace(token, F.lit("_"), F.lit(""))
+    hexa = F.conv(F.regexp_replace(digits, "^0[xX]", ""), 16, 10)
+    value = F.when(_matches(token, "^0[xX]"), hexa).otherwise(digits)
     return F.regexp_replace(value.try_cast("double").cast("string"), r"\.0$", "")
 
 
@@ -180,7 +182,18 @@ def _tokens(text: Column) -> Column:
 
         return F.transform(tokens, one)
 
-    return bind(raw, tidy)
+    def without_plus_signs(tokens: Column) -> Column:
+        """``+1`` is the number 1; a sign follows nothing, an opening or an operator."""
+
+        def keep(t: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(tokens, i - 1), F.lit("("))
+            sign = _matches(before, rf"^(?:[-+*/%^(,<>]|==|!=|<=|>=|{'|'.join(SET_OPERATORS)}|bool|atan2)$")
+            number = _matches(F.coalesce(F.get(tokens, i + 1), F.lit("")), rf"^(?:\d.*|{_NUMBER_WORD})$")
+            return ~((t == "+") & sign & number)
+
+        return F.filter(tokens, keep)
+
+    return bind(bind(raw, tidy), without_plus_signs)
 
 
 def _join_tokens(tokens: Column) -> Column:
@@ -496,6 +509,7 @@ def describe(query: Column) -> Column:
                     (
                         st.folded.ok
                         & ~F.exists(tokens, lambda t: _matches(t, _STRAY))
+                        & ~_matches(joined, r"[\[:] 0s (?:\]|:)")  # a range is longer than nothing
                         & F.forall(st.segments, lambda s: s.ok)
                         & _matches(_flat_types(st.folded.s), "^[VNMS]$")
                     ).alias("valid"),

@@ -18,12 +18,16 @@ SAME = [
     ("foo{a='x'}", 'foo{a="y"}'),
     ('foo{a="}"}', 'foo{a=","}'),
     ("foo * 1.0", "foo * 0x1"),
+    ("foo * 1_000", "foo * 1000"),
+    ("foo > +Inf", "foo > Inf"),
+    ("+1 * (+2)", "1 * (2)"),
     ("avg(sum(x) by (b,a)) without (c)", "avg without (c) (sum by (a, b) (x))"),
     ("max_over_time(rate(x[5m])[60m:30s])", "max_over_time(rate(x[5m])[1h:30s])"),
 ]
 DIFFERENT = [
     ("rate(foo[5m])", "rate(foo[1h])"),
     ("a + b", "b + a"),
+    ("a + 1", "+a * 1"),
     ('foo{a="x"}', 'foo{a!="x"}'),
     ("foo", "bar"),
     ("foo offset 5m", "foo"),
@@ -89,6 +93,8 @@ INVALID = [
     'up{__name__="x"}',
     "clamp(x)",
     "x offset",
+    "x[0s]",
+    "x[5m:0s]",
     "1 == 1",
     "1 + 2 > 3",
     "1 and x",
