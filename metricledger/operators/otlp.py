@@ -114,16 +114,36 @@ def _variants(kind: str) -> Column:
 
 
 # ---- drop filter --------------------------------------------------------------------------
-def mark_drops(
+def _is_dropped(allow: Sequence[str], deny: Sequence[str]) -> Column:
+    return (F.col("metric_name") == F.col("_unused")) & drop_active(F.col("job"), allow, deny)
+
+
+def drop_unused(
     metrics: DataFrame, unused: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()
 ) -> DataFrame:
-    """Flat metrics with ``dropped``: unused, and dropping is active for their job.
+    """Flat metrics that pass the filter: not unused, or of a job where dropping is not active.
+    Metrics without datapoints go too.
 
     Pass ``unused`` as a stored table: Spark then knows its size while it plans, and broadcasts
     it below ``spark.sql.autoBroadcastJoinThreshold``, so the traffic is not shuffled. Beyond that
-    the names side still holds each name once, and a hot metric, hot only on the traffic side, is
-    split by the adaptive skew join.
+    a hot metric is only hot on the traffic side, which the adaptive skew join splits.
     """
+    names = unused.select(F.col("metric_name").alias("_unused"))
+    return metrics.where(F.col("points") > 0).join(names, _is_dropped(allow, deny), "left_anti")
+
+
+def dropped_metrics(
+    metrics: DataFrame, unused: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()
+) -> DataFrame:
+    """Flat metrics that the filter drops for being unused."""
+    names = unused.select(F.col("metric_name").alias("_unused"))
+    return metrics.join(names, _is_dropped(allow, deny), "left_semi")
+
+
+def mark_drops(
+    metrics: DataFrame, unused: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()
+) -> DataFrame:
+    """Every flat metric with ``dropped``, in one pass; ``unused`` must hold each name once."""
     names = unused.select("metric_name").withColumn("_unused", F.lit(True))
     hit = F.coalesce(F.col("_unused"), F.lit(False))
     return (
@@ -133,13 +153,6 @@ def mark_drops(
     )
 
 
-def drop_unused(
-    metrics: DataFrame, unused: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()
-) -> DataFrame:
-    """Flat metrics that pass the filter. Metrics without datapoints go too."""
-    return mark_drops(metrics, unused, allow, deny).where(~F.col("dropped") & (F.col("points") > 0)).drop("dropped")
-
-
 def drop_unused_nested(
     exports: DataFrame,
     unused: DataFrame,
@@ -220,8 +233,7 @@ def dry_run(
     metrics: DataFrame, unused: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()
 ) -> DataFrame:
     """What the filter would drop: metrics and datapoints."""
-    would = mark_drops(metrics, unused, allow, deny).where("dropped")
-    return would.agg(
+    return dropped_metrics(metrics, unused, allow, deny).agg(
         F.count(F.lit(1)).alias("metrics"), F.coalesce(F.sum("points"), F.lit(0)).alias("datapoints")
     )
 

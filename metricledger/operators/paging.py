@@ -14,7 +14,7 @@ from metricledger.session import new_table_path
 DEFAULT_SIZE = 10
 MAX_SIZE = 100
 MAX_METADATA_SIZE = 10_000
-TOP_ROWS = 100_000  # pages that end beyond this many rows are cut from sorted files
+TOP_ROWS = 20_000  # a top-k sends up to this many rows per task to one; later pages are cut from sorted files
 
 
 def sort_keys(

@@ -61,6 +61,9 @@ def test_variants(flat, flags, kind, known, dropped):
 def test_job_scope(spark, flat, allow, deny, kept):
     rows = flat(("idle", "gauge", "a", 2), ("idle", "gauge", "b", 3), ("idle", "gauge", "", 5))
     names = spark.createDataFrame([("idle",)], "metric_name string")
+    twice = names.union(names)
+    assert otlp.drop_unused(rows, twice, allow, deny).count() == len(kept)
+    assert otlp.dry_run(rows, twice, allow, deny).first().metrics == 3 - len(kept)
     got = otlp.drop_unused(rows, names, allow, deny)
     assert sorted(r.job for r in got.collect()) == sorted(kept)
     sizes = {"a": 2, "b": 3, "": 5}
@@ -72,6 +75,14 @@ def test_job_scope(spark, flat, allow, deny, kept):
     assert otlp.missing_jobs(rows).first().missing == 1
 
 
+def test_names_found_in_the_same_traffic(flat, flags):
+    rows = flat(("idle", "gauge", "a", 1), ("busy", "gauge", "a", 1))
+    names = otlp.otlp_unused(rows, flags(idle=True, busy=False))
+    assert [r.metric_name for r in otlp.drop_unused(rows, names).collect()] == ["busy"]
+    assert otlp.dry_run(rows, names).first().metrics == 1
+    assert otlp.point_counts(rows, names).first().dropped == 1
+
+
 def test_metrics_without_points_are_pruned_not_counted(spark, flat):
     rows = flat(("empty", "gauge", "a", 0), ("idle", "gauge", "a", 0))
     names = spark.createDataFrame([("idle",)], "metric_name string")
