@@ -26,6 +26,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of identifiers (8 bytes each) up to which a table of them is sent to all tasks.
+SENT_IDS = 1_000_000
+
+
+def by_size(ids: DataFrame) -> DataFrame:
+    """A written table of identifiers for a join: marked for broadcast if it is small, else left to the planner. Rows are the same."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """doc_id, text, y of at most ``limit`` labelled documents that are not held out, the first by a hash.
+
+    Labels that are null, or contradict each other, are left out.
+    """
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    y = y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    y = y.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return texts(docs).join(F.broadcast(y), "doc_id")  # at most ``limit`` rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

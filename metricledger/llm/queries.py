@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricledger.llm import packing, sharding, urls, warc
-from metricledger.llm.common import table
+from metricledger.llm import decontam, packing, quality, rules, sharding, simhash, substring, toxicity, urls, warc
+from metricledger.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,16 +26,62 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def _scored(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op6_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_deletion_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = warc.round_trip(table(spark, sf_dir, "pages")).where("is_last")
     return last.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_minimax_sharding, op2_swap_packing, op6_url_automaton, op8_warc_chunks)}
+def op9_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op10_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).drop("ratio")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_minimax_sharding,
+        op2_swap_packing,
+        op3_window_decontamination,
+        op4_chunk_dedup,
+        op5_additive_quality,
+        op6_url_automaton,
+        op7_deletion_simhash,
+        op8_warc_chunks,
+        op9_channel_toxicity,
+        op10_ratio_rules,
+    )
+}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '')"
