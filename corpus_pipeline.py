@@ -1,4 +1,7 @@
-"""From raw documents to packed sequences, in stages that are each written and read again."""
+"""From raw documents to packed sequences, in stages that are each written and read again.
+
+Every stage works on all documents that its predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +10,45 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metricledger.llm import packing
+from metricledger.llm import decontam, packing, simhash, substring, toxicity
 from metricledger.llm.common import table, written
 from metricledger.llm.queries import TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; n_chars follows."""
+    return substring.cut(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all remaining documents in sequences: the last stage, with columns of its own."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 #: No stage can be stated in SQL as a whole; the tests hold them against plain Python.
 ORACLE_SQL = None
