@@ -85,11 +85,13 @@ def chunk_ends(data: np.ndarray, reach: int = REACH, longest: int = LONGEST) ->
         ends = np.append(tops[(tops > reach) & (tops < n)], n)
     sizes = np.diff(ends, prepend=0)
     more = (sizes - 1) // longest  # divisions within each chunk
-    if not more.any():
-        return ends
-    of = np.repeat(np.arange(len(ends)), more)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more) + 1
-    return np.sort(np.concatenate([ends, (ends - sizes)[of] + nth * longest]))
+    if more.any():
+        of = np.repeat(np.arange(len(ends)), more)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more) + 1
+        ends = np.sort(np.concatenate([ends, (ends - sizes)[of] + nth * longest]))
+    for _ in range(3):  # no character is divided
+        ends = ends + ((ends < n) & (data[np.minimum(ends, n - 1)] & 0xC0 == 0x80))
+    return ends
 
 
 def chunks(docs: DataFrame) -> DataFrame:
