@@ -91,7 +91,7 @@ def chunk_ends(data: np.ndarray, reach: int = REACH, longest: int = LONGEST) ->
         ends = np.sort(np.concatenate([ends, (ends - sizes)[of] + nth * longest]))
     for _ in range(3):  # no character is divided
         ends = ends + ((ends < n) & (data[np.minimum(ends, n - 1)] & 0xC0 == 0x80))
-    return ends
+    return np.unique(ends)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
