@@ -33,7 +33,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_type",
         "value",
-        (F.col("user_id") % 50).alias("m"),
+        F.col("user_id").alias("m"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
 
@@ -58,7 +58,7 @@ def query_text() -> Column:
         text("rate(", m, "[5m])"),
         text("sum by (job, env) ", rate),
         text("sum by (env, job) ", rate),
-        text(m, " / on(job, instance) group_left(team) ", metric_name((F.col("m") + 1) % 50), '{job=~"j.*"}'),
+        text(m, " / on(job, instance) group_left(team) ", metric_name(F.col("m") + 1), '{job=~"j.*"}'),
         text("rate(", m, "["),
     ]
     out = F.when(F.col("event_id") % 8 == 0, templates[0])
@@ -132,7 +132,7 @@ def rule_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).where(F.col("event_type") == "signup")
     k = F.col("k")
     return ev.select(
-        metric_name(F.col("user_id") % 70).alias("serie"),
+        metric_name(F.col("user_id")).alias("serie"),
         F.concat(F.lit("g"), k % 3).alias("group_name"),
         F.concat(F.lit("r"), k % 4).alias("name"),
         F.concat(F.lit("expr_"), k % 2).alias("expression"),
@@ -157,11 +157,11 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dashboard_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).where(F.col("event_type") == "view")
-    d = F.col("k") % 12
+    d = F.col("user_id")
     v = F.col("event_id") % 3
     return ev.select(
         F.concat(F.lit("d"), d).alias("id"),
-        metric_name(F.col("user_id") % 60 + 20).alias("serie"),
+        metric_name(F.col("user_id") + F.col("k")).alias("serie"),
         F.concat(F.lit("Dash "), d, F.lit(" v"), v).alias("name"),
         F.concat(F.lit("http://d/"), d, F.lit("?v="), v).alias("url"),
         F.col("ts").alias("seen_at"),

@@ -25,7 +25,6 @@ STRIDES = (
     (dt.timedelta(days=30), dt.timedelta(hours=6)),
 )
 LONGEST_STRIDE = dt.timedelta(days=1)
-BROADCAST_BUCKETS = 100_000  # a bucket aggregate has at most this many rows when broadcast
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -65,15 +64,14 @@ def with_bucket(df: DataFrame, tr: TimeRange, stride: dt.timedelta | None = None
     return df.withColumn("idx", assign_bucket(F.col(ts), bucket_origin(tr), stride or bucket_stride(tr)))
 
 
-def on_spine(spine: DataFrame, agg: DataFrame, buckets: int) -> DataFrame:
+def on_spine(spine: DataFrame, agg: DataFrame) -> DataFrame:
     """Spine rows with their aggregate, zero where there is none.
 
     The aggregate has at most one row per bucket, so its size is bounded by the spine's.
     """
-    side = F.broadcast(agg) if buckets <= BROADCAST_BUCKETS else agg
     values = [c for c in agg.columns if c != "idx"]
     return (
-        spine.join(side, "idx", "left")
+        spine.join(agg, "idx", "left")
         .select("time", *[F.coalesce(F.col(c), F.lit(0).cast(agg.schema[c].dataType)).alias(c) for c in values])
         .orderBy("time")
     )

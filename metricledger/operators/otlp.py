@@ -28,7 +28,6 @@ CATALOG_EXTRAS = {
     "histogram": (("_bucket", True), ("_sum", True), ("_count", False)),
     "summary": (("_sum", True), ("_count", False)),
 }
-INLINE_NAMES = 2_000  # name lists up to this length are tested inside an expression
 FLUSH_EVERY = dt.timedelta(seconds=30)
 SEEN_TTL = dt.timedelta(hours=1)
 
@@ -159,20 +158,12 @@ def drop_unused_nested(
     allow: Sequence[str] = (),
     deny: Sequence[str] = (),
     key: str = "export_id",
-    inline_names: int = INLINE_NAMES,
 ) -> DataFrame:
     """The same on export trees, with emptied scopes and resources pruned.
 
-    Up to ``inline_names`` names become a hash-set test inside the tree, which moves no export and
-    also runs on a stream. Beyond that, the unused names an export holds are joined to it; their
-    number is bounded by the export itself. Exports that end up empty have no resources left.
+    The unused names an export holds are joined to it; their number is bounded by the export itself. Exports that
+    end up empty have no resources left. On a stream this runs inside each batch, see ``stream_drop_unused``.
     """
-    few = unused.select("metric_name").limit(inline_names + 1).collect()
-    if len(few) <= inline_names:
-        names = [r.metric_name for r in few]
-        return exports.withColumn(
-            "resource_metrics", _pruned(lambda n: n.isin(*names) if names else F.lit(False), allow, deny)
-        )
     present = flatten_otlp(exports.select(key, "resource_metrics")).select(key, "metric_name").distinct()
     hits = (
         present.join(unused.select("metric_name"), "metric_name")

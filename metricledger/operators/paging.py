@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricledger.params import PageRequest
-from metricledger.session import new_table_path
 
 DEFAULT_SIZE = 10
 MAX_SIZE = 100
 MAX_METADATA_SIZE = 10_000
-TOP_ROWS = 20_000  # a top-k sends up to this many rows per task to one; later pages are cut from sorted files
 
 
 def sort_keys(
@@ -44,36 +42,37 @@ def clamp_page(page: int, size: int, cap: int = MAX_SIZE, default: int = DEFAULT
 def paginate(df: DataFrame, keys: Sequence[Column], page: int, size: int, cap: int = MAX_SIZE) -> DataFrame:
     """Rows of one page in the order of ``keys``.
 
-    A page near the front is a top-k. Top-k keeps all rows up to the page in one task, so a page
-    far behind is cut from the globally sorted rows instead.
+    A top-k: every task sends its first rows up to the page. To read many pages, or pages far behind, write the order once
+    with :func:`write_sorted` and cut pages from that table.
     """
     page, size = clamp_page(page, size, cap)
-    offset = (page - 1) * size
-    if offset + size <= TOP_ROWS:
-        return df.orderBy(*keys).offset(offset).limit(size)
-    return deep_page(df, keys, offset, size)
+    return df.orderBy(*keys).offset((page - 1) * size).limit(size)
 
 
-def deep_page(df: DataFrame, keys: Sequence[Column], offset: int, size: int) -> DataFrame:
-    """Rows ``offset .. offset + size`` of the sorted frame, without passing the rows before
-    them through one task.
-
-    The sorted rows are written once with their partition and their place in it; counts per
-    partition, one small row each, then tell where every partition starts.
-    """
-    spark = df.sparkSession
-    path = new_table_path(spark, "sorted")
+def write_sorted(df: DataFrame, keys: Sequence[Column], path: str) -> None:
+    """A job of its own: the rows in the order of ``keys``, each with its partition and its place in it."""
     place = F.monotonically_increasing_id()
     df.orderBy(*keys).withColumns(
         {"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}
     ).write.parquet(path)
-    rows = spark.read.parquet(path)
+
+
+def sorted_page(rows: DataFrame, offset: int, size: int) -> DataFrame:
+    """Rows ``offset .. offset + size`` of what :func:`write_sorted` has written, with their ``position``.
+
+    Counts per partition, one small row each, tell where every partition starts; no task holds the rows before the page.
+    """
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    at = F.col("_start") + F.col("_place")
-    page = rows.join(F.broadcast(starts), "_part").where((at >= offset) & (at < offset + size))
-    return page.orderBy("_part", "_place").select(*df.columns)
+    placed = rows.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_place"))
+    page = placed.where((F.col("position") >= offset) & (F.col("position") < offset + size))
+    return page.orderBy("position").drop("_part", "_place", "_start")
+
+
+def with_position(page: DataFrame, keys: Sequence[Column], offset: int = 0) -> DataFrame:
+    """The rows of a page with their place in the whole order, from 0. A page is bounded, so one task numbers it."""
+    return page.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("long") - 1 + offset)
 
 
 def total_pages(total: Column | int, size: int) -> Column | int:
@@ -89,17 +88,23 @@ def with_total(df: DataFrame, name: str = "total_count") -> DataFrame:
 
 @dataclass
 class Page:
-    """``data`` holds the page, ``counts`` one row with ``total`` and ``total_pages``."""
+    """``data`` holds the page, ``counts`` one row with ``total`` and ``total_pages``; ``keys`` order the page."""
 
     data: DataFrame
     counts: DataFrame
+    keys: Sequence[Column] = ()
+    offset: int = 0
+
+    def positioned(self) -> DataFrame:
+        return with_position(self.data, self.keys, self.offset)
 
     def as_result(self) -> DataFrame:
-        """Page rows as one array in a single ``{total, total_pages, data}`` row.
+        """Page rows as one array, in their order, in a single ``{total, total_pages, data}`` row.
 
         The array is bounded by the page size, never by the table.
         """
-        rows = self.data.agg(F.collect_list(F.struct(*self.data.columns)))
+        placed = self.positioned().select("position", F.struct(*self.data.columns).alias("row"))
+        rows = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "row"))), lambda x: x["row"]))
         return self.counts.withColumn("data", rows.scalar())
 
     def write_json(self, path: str) -> None:
@@ -116,8 +121,8 @@ def page_of(
     counted: DataFrame | None = None,
 ) -> Page:
     """Sort, cut and count. ``counted`` replaces the row count where the total differs."""
-    _, size = clamp_page(request.page, request.size, cap)
+    page, size = clamp_page(request.page, request.size, cap)
     keys = sort_keys(fields, default, request.sort_by, request.order, ties)
     total = counted if counted is not None else rows.agg(F.count(F.lit(1)).alias("total"))
     counts = total.select(F.col("total"), total_pages(F.col("total"), size).alias("total_pages"))
-    return Page(paginate(rows, keys, request.page, request.size, cap), counts)
+    return Page(paginate(rows, keys, request.page, request.size, cap), counts, keys, (page - 1) * size)

@@ -19,11 +19,11 @@ def _pct(part: str, whole: str) -> str:
 
 
 _EV = """ev AS (
-  SELECT *, user_id % 50 AS m, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 8 AS tpl FROM events
+  SELECT *, user_id AS m, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 8 AS tpl FROM events
 )"""
 
 _LOG = f"""named AS (
-  SELECT *, {_pn('m')} AS m1, {_pn('((m + 1) % 50)')} AS m2, concat('job="j', k % 10, '"') AS jb FROM ev
+  SELECT *, {_pn('m')} AS m1, {_pn('(m + 1)')} AS m2, concat('job="j', k % 10, '"') AS jb FROM ev
 ), ql AS (
   SELECT event_id AS query_id, ts, tpl, m1, m2,
     CASE tpl WHEN 0 THEN m1
@@ -65,7 +65,7 @@ _LOG = f"""named AS (
 )"""
 
 _RULES = f"""rule_push AS (
-  SELECT {_pn('(user_id % 70)')} AS serie, concat('g', k % 3) AS group_name, concat('r', k % 4) AS name,
+  SELECT {_pn('user_id')} AS serie, concat('g', k % 3) AS group_name, concat('r', k % 4) AS name,
     concat('expr_', k % 2) AS expression, CASE WHEN k % 5 < 3 THEN 'alert' ELSE 'record' END AS kind,
     'sev,team' AS labels, ts AS seen_at
   FROM ev WHERE event_type = 'signup'
@@ -76,8 +76,8 @@ _RULES = f"""rule_push AS (
 )"""
 
 _DASH = f"""dash_push AS (
-  SELECT concat('d', k % 12) AS id, {_pn('(user_id % 60 + 20)')} AS serie,
-    concat('Dash ', k % 12, ' v', event_id % 3) AS name, concat('http://d/', k % 12, '?v=', event_id % 3) AS url,
+  SELECT concat('d', user_id) AS id, {_pn('(user_id + k)')} AS serie,
+    concat('Dash ', user_id, ' v', event_id % 3) AS name, concat('http://d/', user_id, '?v=', event_id % 3) AS url,
     ts AS seen_at, event_id AS seq
   FROM ev WHERE event_type = 'view'
 ), dash AS (
@@ -272,9 +272,16 @@ def oracle_sql() -> dict[str, str]:
         "SELECT query_id, ts, query_param, duration_ms, status_code, body_size, type, step, start_ts, end_ts, "
         "total_queryable_samples, peak_samples, fingerprint, label_matchers, user_agent, dt FROM log"
     )
-    q["query_push_read"] = _log(
-        f"SELECT {_PUSHED}, user_agent, CASE WHEN query_id % 50 = 0 THEN 'unknown field surprise' END AS error FROM log"
+    wrong = "CASE query_id % 50 WHEN 0 THEN 'unknown field surprise' " + " ".join(
+        f"WHEN {n} THEN 'invalid field {field}'" for n, (field, _) in enumerate(reg.WRONG_FIELDS, 1)
+    ) + " END"
+    shown = f"SELECT query_id, {_PUSHED}, user_agent FROM log"
+    whole = ("duration_ms", "status_code", "body_size", "total_queryable_samples", "peak_samples")
+    fine = ", ".join(
+        f"CASE WHEN query_id % 50 NOT BETWEEN 1 AND {len(reg.WRONG_FIELDS)} THEN {c} {'ELSE 0' if c in whole else ''} END AS {c}"
+        for c in [*reg._PUSHED, "user_agent"]
     )
+    q["query_push_read"] = _log(f"SELECT {fine}, {wrong} AS error FROM ({shown})")
     q["query_validate"] = _log(
         """, spoiled AS (SELECT query_id, query_id % 31 AS r, ts,
           CASE WHEN query_id % 31 = 4 THEN 'stream' ELSE type END AS type,
@@ -314,8 +321,8 @@ def oracle_sql() -> dict[str, str]:
     q["paged_result_write"] = _with(
         [_EV, _LOG, _EXPRESSIONS],
         "SELECT (SELECT count(*) FROM expr) AS total, CAST(ceil((SELECT count(*) FROM expr) / 20.0) AS BIGINT) AS total_pages, "
-        "array_to_string(list_sort(list(fingerprint)), ',') AS fingerprints FROM "
-        "(SELECT fingerprint FROM expr ORDER BY executions DESC, fingerprint LIMIT 20 OFFSET 20)",
+        "array_to_string(list(fingerprint ORDER BY executions DESC, fingerprint), ',') AS fingerprints FROM "
+        "(SELECT fingerprint, executions FROM expr ORDER BY executions DESC, fingerprint LIMIT 20 OFFSET 20)",
     )
 
     # enrichment
@@ -531,10 +538,11 @@ def oracle_sql() -> dict[str, str]:
     ).replace("\n, ranked", ",\nranked")
 
     # sort and paging
-    q["safe_order_by"] = _with([_EV, _LOG, _EXPRESSIONS], "SELECT fingerprint, executions FROM expr")
+    q["safe_order_by"] = _with([_EV, _LOG, _EXPRESSIONS], "SELECT row_number() OVER (ORDER BY executions DESC, fingerprint) - 1 AS position, fingerprint, executions FROM expr")
     q["paginate"] = _with(
         [_EV, _LOG, _EXPRESSIONS],
-        "SELECT fingerprint, avg_duration FROM expr ORDER BY avg_duration, fingerprint LIMIT 25 OFFSET 50",
+        "SELECT row_number() OVER (ORDER BY avg_duration, fingerprint) - 1 AS position, fingerprint, avg_duration FROM expr "
+        "ORDER BY avg_duration, fingerprint LIMIT 25 OFFSET 50",
     )
     q["total_pages"] = _log(
         "SELECT count(DISTINCT fingerprint) AS total, CAST(ceil(count(DISTINCT fingerprint) / 40.0) AS BIGINT) AS total_pages FROM log"
@@ -553,9 +561,9 @@ def oracle_sql() -> dict[str, str]:
     # keyed maintenance
     q["catalog_upsert"] = _with(
         [_CATALOG],
-        "SELECT name, type, CASE WHEN seq < 40 THEN 'old help' || substr(help, 5) ELSE help END AS help, unit, "
-        "CASE WHEN seq < 80 THEN TIMESTAMP '2023-12-01' ELSE synced_at END AS first_seen_at, "
-        "CASE WHEN seq < 40 THEN TIMESTAMP '2023-12-01' ELSE synced_at END AS last_synced_at FROM meta_rows",
+        "SELECT name, type, CASE WHEN seq % 3 = 0 THEN 'old help' || substr(help, 5) ELSE help END AS help, unit, "
+        "CASE WHEN seq % 3 < 2 THEN TIMESTAMP '2023-12-01' ELSE synced_at END AS first_seen_at, "
+        "CASE WHEN seq % 3 = 0 THEN TIMESTAMP '2023-12-01' ELSE synced_at END AS last_synced_at FROM meta_rows",
     )
     q["summary_placeholder"] = _with([*_SUMMARY, _PLACED], "SELECT * FROM placed")
     q["summary_merge"] = _with(
@@ -596,8 +604,9 @@ def oracle_sql() -> dict[str, str]:
     # streaming
     q["stream_query_ingest"] = _log(
         f"SELECT {_PUSHED.replace('coalesce(step, 0.0)', '''CASE WHEN type = 'range' THEN 15.0 ELSE 0.0 END::DOUBLE''')}, fingerprint "
-        "FROM log WHERE query_id % 50 <> 0"
+        f"FROM log WHERE {wrong} IS NULL"
     )
+    q["stream_query_rejects"] = _log(f"SELECT coalesce({wrong}, 'none') AS error, count(*) AS records FROM log GROUP BY 1")
     q["stream_bucket_rollup"] = _log(
         "SELECT date_trunc('hour', ts) AS time, count(*) AS total, "
         + ", ".join(f"{sql} AS {name}" for name, sql in _STATUS.items())
@@ -611,7 +620,7 @@ def oracle_sql() -> dict[str, str]:
     q["otlp_drop_unused_nested"] = _with(
         _WITH_UNUSED, f"SELECT export_id, job, metric_name, points FROM om WHERE {kept}"
     )
-    q["otlp_drop_unused_nested_join"] = q["otlp_drop_unused_nested"]
+    q["otlp_drop_unused_nested_join"] = q["stream_drop_unused"] = q["otlp_drop_unused_nested"]
     prefixes = " OR ".join(f"starts_with(metric_name, '{p}')" for p in reg.DROP_PREFIXES)
     listed = ", ".join(f"'{n}'" for n in reg.DROP_NAMES)
     q["otlp_drop_by_name_prefix"] = _with(

@@ -23,7 +23,6 @@ METADATA_SORTS = {
     "queryCount": "query_count",
 }
 _CATALOG = ["name", "type", "help", "unit"]
-MAX_NAMES_INLINE = 1_000  # longer name lists come as a table and are joined
 
 
 def _described(joined: DataFrame) -> DataFrame:
@@ -80,11 +79,9 @@ def series_metadata(
 
 
 def _named(df: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
-    if isinstance(names, DataFrame):
-        return df.join(names.select("name").distinct(), "name", "left_semi")
-    if len(names) > MAX_NAMES_INLINE:
-        raise ValueError("pass long name lists as a DataFrame")
-    return df.where(F.col("name").isin(*names))
+    if not isinstance(names, DataFrame):
+        names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return df.join(names.select("name").distinct(), "name", "left_semi")
 
 
 def metadata_by_names(

@@ -30,7 +30,7 @@ def _window(log: DataFrame, tr: TimeRange, fingerprint: str | None = None, metri
 
 
 def _series(log: DataFrame, tr: TimeRange, agg: DataFrame) -> DataFrame:
-    return B.on_spine(B.time_spine(log.sparkSession, tr), agg, B.bucket_count(tr, B.bucket_stride(tr)))
+    return B.on_spine(B.time_spine(log.sparkSession, tr), agg)
 
 
 def _per_bucket(log: DataFrame, tr: TimeRange, rows: DataFrame, **aggregates: Column) -> DataFrame:

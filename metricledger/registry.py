@@ -104,8 +104,15 @@ def _query_log_append(spark, sf):
 
 
 def _push_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw log as push bodies; every 50th record carries a field nobody knows."""
+    """The raw log as push bodies. Of 50 records one carries a field nobody knows, and each of ten others a value of a wrong type."""
     raw = fx.raw_query_log(spark, sf)
+    q = F.col("query_id") % 50
+
+    def spoilt(n: int, field: str, wrong: str) -> Column:
+        """The member as JSON text would have it, replaced where the record's turn has come."""
+        return F.when(q == n, F.lit(f'"{field}":{wrong}'))
+
+    wrong = F.coalesce(*(spoilt(n, field, value) for n, (field, value) in enumerate(WRONG_FIELDS, 1)))
     record = F.struct(
         "query_param",
         _rfc3339(F.col("time_param")).alias("time_param"),
@@ -119,10 +126,25 @@ def _push_bodies(spark: SparkSession, sf: str) -> DataFrame:
         "total_queryable_samples",
         "peak_samples",
         "http_headers",
-        F.when(F.col("query_id") % 50 == 0, F.lit("x")).alias("surprise"),
+        F.when(q == 0, F.lit("x")).alias("surprise"),
     )
-    return raw.select(F.to_json(record).alias("value"))
-
+    body = F.to_json(record)
+    # of a field given twice the last one counts
+    return raw.select(F.when(wrong.isNotNull(), F.concat(F.regexp_replace(body, r"\}$", ","), wrong, F.lit("}"))).otherwise(body).alias("value"))
+
+
+WRONG_FIELDS = (
+    ("body_size", '"abc"'),
+    ("duration", '"5ms"'),
+    ("peak_samples", "1.5"),
+    ("start", '"garbage"'),
+    ("time_param", '"garbage"'),
+    ("time_param", '"1704067200"'),
+    ("http_headers", '"x"'),
+    ("query_param", "5"),
+    ("step", '"15"'),
+    ("status_code", "99999999999"),
+)
 
 _PUSHED = [
     "query_param",
@@ -142,7 +164,10 @@ _PUSHED = [
 @register("query_push_read")
 def _query_push_read(spark, sf):
     parsed = query_log.parse_query_push(_push_bodies(spark, sf))
-    return parsed.select(*_PUSHED, F.col("http_headers")["user-agent"].alias("user_agent"), "error")
+    fine = F.coalesce(~F.col("error").startswith("invalid field"), F.lit(True))
+    whole = ("int", "bigint")
+    shown = [F.when(fine, F.col(c)).otherwise(F.lit(0 if kind in whole else None)).alias(c) for c, kind in parsed.select(*_PUSHED).dtypes]
+    return parsed.select(*shown, F.when(fine, F.col("http_headers")["user-agent"]).alias("user_agent"), "error")
 
 
 @register("query_validate")
@@ -232,7 +257,7 @@ def _otlp_flatten(spark, sf):
 def _paged_result_write(spark, sf):
     page = reads.query_expressions(fx.query_log(spark, sf), FULL, PageRequest(page=2, size=20))
     return page.as_result().select(
-        "total", "total_pages", F.array_join(F.array_sort(F.col("data.fingerprint")), ",").alias("fingerprints")
+        "total", "total_pages", F.array_join("data.fingerprint", ",").alias("fingerprints")
     )
 
 
@@ -572,15 +597,18 @@ register("rank_p95")(_on_log(timeseries.rank_p95, FULL))
 def _safe_order_by(spark, sf):
     rows = reads.expressions(fx.query_log(spark, sf), FULL)
     fields = {field: F.col(name) for field, name in reads.EXPRESSION_SORTS.items()}
-    ordered = paging.safe_order_by(rows, fields, "executions", "avgDuration; --", "upwards", ["fingerprint"])
-    return ordered.select("fingerprint", "executions")
+    keys = paging.sort_keys(fields, "executions", "avgDuration; --", "upwards", ["fingerprint"])
+    path = new_table_path(spark, "sorted")
+    paging.write_sorted(rows, keys, path)
+    every = paging.sorted_page(spark.read.parquet(path), 0, 1 << 62)
+    return every.select("position", "fingerprint", "executions")
 
 
 @register("paginate")
 def _paginate(spark, sf):
     request = PageRequest(page=3, size=25, sort_by="avgDuration", order="asc")
     page = reads.query_expressions(fx.query_log(spark, sf), FULL, request)
-    return page.data.select("fingerprint", "avg_duration")
+    return page.positioned().select("position", "fingerprint", "avg_duration")
 
 
 @register("total_pages")
@@ -607,14 +635,14 @@ def _time_spine(spark, sf):
 
 # ---- keyed maintenance ----------------------------------------------------------------------
 def _catalog_halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A catalog synced earlier from the first metrics, and a push that overlaps it."""
+    """A catalog synced earlier from two thirds of the metrics, and a push of two thirds that overlaps it."""
     push = fx.metadata_push(spark, sf)
     rows = catalog_feeds.catalog_from_metadata(push)
-    early = rows.where(F.col("seq") < 80).withColumns(
+    early = rows.where(F.col("seq") % 3 < 2).withColumns(
         {"synced_at": ntz("2023-12-01 00:00:00"), "help": F.concat(F.lit("old "), F.col("help"))}
     )
     target = upserts.upsert_catalog(fx.empty(spark, schemas.METRICS_CATALOG), early)
-    return target, rows.where(F.col("seq") >= 40)
+    return target, rows.where(F.col("seq") % 3 > 0)
 
 
 @register("catalog_upsert")
@@ -715,12 +743,36 @@ def _stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(fx.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    source, target, checkpoint, rejects, words = (new_table_path(spark, f"stream_{n}") for n in ("push", "log", "ckpt", "rejects", "words"))
+    _push_bodies(spark, sf).write.text(source)
+    jobs.stream_query_log(spark, source, target, checkpoint, rejects, words).awaitTermination()
+    return query_log.read_query_log(spark, target), spark.read.parquet(rejects)
+
+
 @register("stream_query_ingest")
 def _stream_query_ingest(spark, sf):
-    source, target, checkpoint = (new_table_path(spark, f"stream_{n}") for n in ("push", "log", "ckpt"))
-    _push_bodies(spark, sf).write.text(source)
-    jobs.stream_query_log(spark, source, target, checkpoint).awaitTermination()
-    return query_log.read_query_log(spark, target).select(*_PUSHED, "fingerprint")
+    return _ingested(spark, sf)[0].select(*_PUSHED, "fingerprint")
+
+
+@register("stream_query_rejects")
+def _stream_query_rejects(spark, sf):
+    """Refused records by reason, and how many records came in."""
+    log, rejects = _ingested(spark, sf)
+    reasons = rejects.groupBy("error").agg(F.count("*").alias("records"))
+    return reasons.unionByName(log.agg(F.lit("none").alias("error"), F.count("*").alias("records")))
+
+
+@register("stream_drop_unused")
+def _stream_drop_unused(spark, sf):
+    """The nested drop filter as a stream, against a stored summary."""
+    root, source, target, checkpoint = (new_table_path(spark, f"drop_{n}") for n in ("tables", "exports", "kept", "ckpt"))
+    inventory.Tables(spark, root).write("metrics_usage_summary", fx.usage_summary(spark, sf))
+    exports = fx.otlp_exports(spark, sf)
+    exports.write.parquet(source)
+    stream = spark.readStream.schema(exports.schema).parquet(source)
+    jobs.stream_drop_unused(stream, root, target, checkpoint, ALLOW, DENY).awaitTermination()
+    return otlp.flatten_otlp(spark.read.schema(exports.schema).parquet(target)).select("export_id", "job", "metric_name", "points")
 
 
 @register("stream_bucket_rollup")
@@ -762,8 +814,8 @@ def _otlp_drop_unused_nested(spark, sf):
 
 @register("otlp_drop_unused_nested_join")
 def _otlp_drop_unused_nested_join(spark, sf):
-    """The way for name lists too long to inline."""
-    trees = otlp.drop_unused_nested(fx.otlp_exports(spark, sf), fx.unused_names(spark, sf), ALLOW, DENY, inline_names=0)
+    """The same over the summary's lookup instead of the stored names."""
+    trees = otlp.drop_unused_nested(fx.otlp_exports(spark, sf), _unused(spark, sf), ALLOW, DENY)
     return otlp.flatten_otlp(trees).select("export_id", "job", "metric_name", "points")
 
 

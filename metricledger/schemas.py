@@ -21,6 +21,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 LABELS = T.MapType(_S, _S)
 
 QUERY_LOG = _struct(
+    query_id=_L,  # stable key of a record
     ts=_N,
     query_param=_S,
     time_param=_N,

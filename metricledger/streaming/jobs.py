@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from metricledger import schemas
 from metricledger.operators import enrich, otlp, upserts
-from metricledger.operators.validate import validate_queries
+from metricledger.operators.validate import check_queries
 from metricledger.plans.inventory import Tables
-from metricledger.sources.query_log import IDENTITY_BLOOM, parse_query_push
+from metricledger.sources.query_log import identity_bloom, parse_query_push, utc_now
 
 LOG_COLUMNS = [name for name in schemas.QUERY_LOG.names if name != "dt"]
 
@@ -21,44 +21,65 @@ def _start(writer, trigger: dict) -> StreamingQuery:
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+REJECTS = ["received", "record", "error", "dt", "batch_id"]
+
+
 def stream_query_log(
     spark: SparkSession,
     source: str,
     target: str,
     checkpoint: str,
+    rejects: str,
+    dictionary: str,
     max_files: int = 1_000,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Pushed JSON files -> validated, enriched log, partitioned by day and batch.
+    """Pushed JSON files -> validated, enriched log, partitioned by day and batch; what is refused goes to ``rejects``.
 
-    A batch overwrites its own partitions, so a retried batch leaves no duplicates. The source
-    limits how much a batch takes; nothing is dropped when the input is faster.
+    The time of receipt is a column of the streaming plan, so Spark fixes it for a batch and repeats it with the batch. Log,
+    rejects and new dictionary rows overwrite the folders of their batch: a repeated batch, on whatever
+    day, leaves no duplicates. The known dictionary is read first, so only new texts are described. Records of log and
+    rejects add up to the input. The source limits how much a batch takes; nothing is dropped when input is faster.
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), utc_now().alias("received"))
+    words = enrich.expression_dictionary(spark.createDataFrame([], "query_param string")).withColumn("batch_id", F.lit(-1).cast("long"))
+    words.write.mode("ignore").partitionBy("batch_id").parquet(dictionary)  # so that it can be read from the first batch on
+    schema = words.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp().cast("timestamp_ntz")
-        parsed = parse_query_push(batch).where(F.col("error").isNull()).drop("error")
-        valid, _ = validate_queries(parsed, now)
-        # Kept for the batch, so that the join below plans with its real size.
-        dictionary = enrich.expression_dictionary(valid).persist()
+        placed = batch.withColumn("line", F.monotonically_increasing_id())
+        parsed = parse_query_push(placed, received=F.col("received"))
+        checked = check_queries(parsed.withColumnRenamed("error", "refused"), F.col("received"))
+        checked = checked.withColumns({"error": F.coalesce("refused", "error"), "dt": F.to_date("received"), "batch_id": F.lit(batch_id).cast("long")}).persist()
         try:
-            dictionary.count()
-            log = enrich.enrich(valid, dictionary).select(*LOG_COLUMNS)
-            (
-                log.withColumns({"dt": F.to_date("ts"), "batch_id": F.lit(batch_id)})
-                .sortWithinPartitions("ts")
-                .write.mode("overwrite")
-                .options(partitionOverwriteMode="dynamic", **IDENTITY_BLOOM)
-                .partitionBy("dt", "batch_id")
-                .parquet(target)
-            )
+            valid = checked.where("error IS NULL")
+            known = spark.read.schema(schema).parquet(dictionary).where(F.col("batch_id") != batch_id)
+            fresh = enrich.expression_dictionary(valid, known).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            _replace(fresh, dictionary, ["batch_id"])
+            every = spark.read.schema(schema).parquet(dictionary)
+            key = F.xxhash64("file", "batch_id", "line", "position").alias("query_id")
+            named = enrich.enrich(valid.withColumn("query_id", key), every).select(*LOG_COLUMNS, "dt", "batch_id")
+            _replace(named.sortWithinPartitions("ts"), target, ["dt", "batch_id"], identity_bloom())
+            _replace(checked.where("error IS NOT NULL").select(*REJECTS), rejects, ["dt", "batch_id"])
         finally:
-            dictionary.unpersist()
+            checked.unpersist()
 
     return _start(lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
+def _replace(rows: DataFrame, path: str, parts: list[str], options: dict[str, str] | None = None) -> None:
+    """Overwrites only the folders that the rows belong to."""
+    writer = rows.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **(options or {}))
+    writer.partitionBy(*parts).parquet(path)
+
+
+def close_day(spark: SparkSession, streamed: str, log: str, day: dt.date) -> None:
+    """Moves a finished day's batches into the log as few sorted files. Run again, it gives the same result."""
+    rows = spark.read.parquet(streamed).where(F.col("dt") == F.lit(day)).select(*LOG_COLUMNS, "dt")
+    _replace(rows.hint("rebalance").sortWithinPartitions("ts"), log, ["dt"], identity_bloom())
+
+
 def stream_rollup(stream: DataFrame, stride: dt.timedelta, delay: dt.timedelta | None = None) -> DataFrame:
     """Per-bucket counts of a log stream: total, success, errors, duration sum.
 
@@ -83,9 +104,23 @@ def stream_rollup(stream: DataFrame, stride: dt.timedelta, delay: dt.timedelta |
     )
 
 
-def stream_drop_unused(metrics: DataFrame, unused: DataFrame, allow=(), deny=()) -> DataFrame:
-    """The drop filter on a stream of flat metrics against a static set of names."""
-    return otlp.drop_unused(metrics, unused, allow, deny)
+def stream_drop_unused(
+    exports: DataFrame, root: str, target: str, checkpoint: str, allow=(), deny=(), trigger: dict | None = None
+) -> StreamingQuery:
+    """The drop filter on a stream of export trees. Each batch reads the newest usage summary, so a metric that becomes used is
+    kept from the next batch on, and looks up only the names that it holds itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            summary = Tables(batch.sparkSession, root).read("metrics_usage_summary")
+            unused = otlp.otlp_unused(otlp.flatten_otlp(held), summary)
+            kept = otlp.drop_unused_nested(held, unused, allow, deny)
+            _replace(kept.withColumn("batch_id", F.lit(batch_id).cast("long")), target, ["batch_id"])
+        finally:
+            held.unpersist()
+
+    return _start(exports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
 
 def stream_seen_dedup(items: DataFrame, ttl: dt.timedelta = otlp.SEEN_TTL, ts: str = "ts") -> DataFrame:

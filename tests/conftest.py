@@ -57,7 +57,7 @@ def make_log(spark):
             names = base["label_matchers"]
             base["metric_names"] = None if names is None else [m.get("__name__") for m in names]
             full.append(base)
-        schema = T.StructType([T.StructField("query_id", T.LongType()), *schemas.QUERY_LOG.fields])
+        schema = schemas.QUERY_LOG
         return spark.createDataFrame([tuple(r[c] for c in schema.names) for r in full], schema)
 
     return make

@@ -119,12 +119,15 @@ def test_nulls_sort_last_both_ways(spark):
         assert got[-1].id == 1
 
 
-def test_deep_page_equals_top_k(spark):
+def test_page_of_sorted_table(spark, tmp_path):
     df = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 5000)
     keys = [F.col("k").desc()]
-    deep = paging.deep_page(df, keys, 4321, 7).collect()
+    paging.write_sorted(df, keys, str(tmp_path / "sorted"))
+    rows = spark.read.parquet(str(tmp_path / "sorted"))
+    deep = paging.sorted_page(rows, 4321, 7).collect()
+    assert [r.position for r in deep] == list(range(4321, 4328))
     assert [r.k for r in deep] == list(range(4999 - 4321, 4999 - 4321 - 7, -1))
-    assert paging.deep_page(df, keys, 6000, 7).count() == 0
+    assert paging.sorted_page(rows, 6000, 7).count() == 0
 
 
 def test_page_as_result(spark, make_log, tmp_path):
