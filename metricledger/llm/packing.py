@@ -9,7 +9,8 @@ pieces, to
 * exchange it for a smaller piece of another bin, or
 * exchange it for two smaller pieces of another bin, or two of its pieces for one of another bin,
 
-always so that the fuller bin gains: the sum of squared fills grows with each step, so the search ends. A bin that has
+always so that the fuller bin gains; where none of these is possible, two other bins exchange pieces alike. The sum of squared
+fills grows with each step, so the search ends. A bin that has
 lost all its pieces is gone. Bins left with much room are gathered over all groups and packed once more.
 
 * Null texts are empty; an empty text is one piece with the closing id only.
@@ -182,7 +183,12 @@ class _Bins:
                 return True
             if self.capacity - self.room[victim] > int(self.room[open_bins].sum()):
                 return False  # it cannot all fit
-            if not (self._move(victim, mine, open_bins) or self._one_for_one(victim, mine, others) or self._one_for_two(victim, mine, others)):
+            if not (
+                self._move(victim, mine, open_bins)
+                or self._one_for_one(victim, mine, others)
+                or self._one_for_two(victim, mine, others)
+                or self._between(others)
+            ):
                 return False
         return False
 
@@ -218,6 +224,23 @@ class _Bins:
                 return True
         return False
 
+    def _between(self, others: np.ndarray) -> bool:
+        """Exchanges two pieces between other bins, so that the fuller bin gains and room gathers in the emptier one."""
+        order = np.argsort(self.sizes[others], kind="stable")
+        ranked, sizes = others[order], self.sizes[others]
+        of, room = self.of[others], self.room[self.of[others]]
+        at = np.searchsorted(sizes[order], sizes + room, "right") - 1  # the largest piece that fits in place of each
+        other = ranked[at]
+        gain, their_room = self.sizes[other] - sizes, self.room[self.of[other]]
+        squares = np.where((gain > 0) & (self.of[other] != of) & (room <= their_room), gain * (their_room - room + gain), 0)
+        k = int(squares.argmax())
+        if not squares[k]:
+            return False
+        x, y, a, b = int(others[k]), int(other[k]), int(of[k]), int(self.of[other[k]])
+        self._put(x, b)
+        self._put(y, a)
+        return True
+
     def _one_for_two(self, victim: int, mine: list[int], others: np.ndarray) -> bool:
         """A piece of the victim for two smaller ones, or two of its pieces for one smaller than both together."""
         order = np.lexsort((self.sizes[others], self.of[others]))

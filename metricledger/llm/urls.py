@@ -110,6 +110,8 @@ class Automaton:
 
     def match(self, urls: list[bytes]) -> np.ndarray:
         out = np.zeros((len(urls), len(self.last)), bool)
+        if not self.last:
+            return out
         order = sorted(range(len(urls)), key=lambda i: len(urls[i]))
         for i in range(0, len(order), BLOCK):
             block = order[i : i + BLOCK]

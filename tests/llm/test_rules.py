@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from metricledger.llm import rules
+
+DOCS = "doc_id long, text string, kept string, n_words string"
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def plain_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def texts(seed=1, n=300):
+    rnd = random.Random(seed)
+    out = [None, "", " \n\t", "\x1c", "a " * 8, "a " * 9, "one two three four five six seven eight " * 2, "größe 中 x y\nz\n\nz \nz"]
+    for _ in range(n):
+        words = [rnd.choice(["der", "und", "größe", "the", "###", "x|y", "<b>"]) for _ in range(rnd.randint(0, 60))]
+        out.append("".join(w + rnd.choice([" ", "\n", "  ", "\t"]) for w in words))
+    return out
+
+
+def test_base_counts():
+    for text in texts():
+        assert rules.base_counts((text or "").encode()) == plain_counts(text)
+
+
+def plain_buckets(data):
+    out = Counter()
+    for k in rules.GRAMS:
+        for i in range(len(data) - k + 1):
+            h = k * 0x9E3779B1 & 0xFFFFFFFF
+            for b in data[i : i + k]:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            out[((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16] += 1
+    return out
+
+
+def test_hashed_grams_do_not_depend_on_stretches(monkeypatch):
+    data = "größe und länge ".encode() * 5
+    whole = rules.gram_counts(data)
+    assert {i: int(n) for i, n in enumerate(whole) if n} == plain_buckets(data)
+    monkeypatch.setattr(rules, "STRETCH", 7)
+    assert (rules.gram_counts(data) == whole).all()
+
+
+def tables(spark):
+    rnd = random.Random(2)
+    rows, labels = [], []
+    for i in range(200):
+        good = i % 4 > 0
+        pool = ["the", "and", "word", "größe", "line"] if good else ["th###", "a$$$", "WORD!!", "%%%", "&&&b"]
+        rows.append((i, " ".join(rnd.choice(pool) + str(rnd.randint(0, 9)) for _ in range(rnd.randint(25, 60)))))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    rows += [(300, None), (301, "short"), (302, "same words over and over again and again " * 9), (3, rows[3][1]), (None, rows[5][1])]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], DOCS)
+    marks = spark.createDataFrame([(*r, "clash") for r in labels + [(1, None, 0), (None, 1, 0), (8, 1, 0), (8, 0, 0)]], LABELS)
+    return rows, {i for i, q, _ in labels if q} - {1}, docs, marks
+
+
+def test_ratio_and_verdict_by_brute_force(spark):
+    rows, trusted, docs, marks = tables(spark)
+    ratio = rules.fit(docs, marks)
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        counts = plain_buckets((t or "").encode())
+        raw += counts
+        if i in trusted | {1}:
+            target += counts
+    n, m = sum(raw.values()), sum(target.values())
+    logs = {b: np.log((target[b] + 1) / (m + rules.BUCKETS)) - np.log((raw[b] + 1) / (n + rules.BUCKETS)) for b in raw}
+
+    def of(t):
+        counts = plain_buckets((t or "").encode())
+        return sum(logs[b] * k for b, k in counts.items()) / max(1, sum(counts.values()))
+
+    values = [of(t) for i, t in rows if i in trusted | {1}]
+    threshold = np.mean(values) - rules.DEVIATIONS * np.std(values)
+    assert abs(ratio.threshold - threshold) < 1e-5
+    got = rules.judge(docs, ratio).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t in rows:
+        c = plain_counts(t)
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        want.append((-1 if i is None else i, *c, failed, not failed and of(t) >= threshold))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == sorted(want)
+    kept = {r.doc_id for r in got if r.kept}
+    assert {i for i in range(200) if i % 4} <= kept and not {i for i in range(0, 200, 4)} & kept
+
+
+def test_without_trusted_documents(spark):
+    rows, _, docs, marks = tables(spark)
+    got = rules.judge(docs, rules.fit(docs, marks.limit(0))).collect()
+    assert all(r.kept != r.base_failed for r in got)
+    assert rules.judge(docs.limit(0), rules.fit(docs.limit(0), marks)).count() == 0
