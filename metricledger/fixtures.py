@@ -16,7 +16,7 @@ from metricledger.params import TimeRange
 from metricledger.plans.summary import usage_summary as summarize
 from metricledger.session import new_table_path
 from metricledger.sources.catalog_feeds import catalog_from_metadata
-from metricledger.sources.query_log import append_query_log
+from metricledger.sources.query_log import append_metric_log, append_query_log
 
 FULL = TimeRange.of("2024-01-01T00:00:00", "2024-01-31T00:00:00")
 
@@ -124,6 +124,11 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "query_log", lambda path: ingest_log(spark, sf_dir, path))
 
 
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log by metric as stored at ingestion."""
+    return stored(spark, sf_dir, "metric_log", lambda path: append_metric_log(enrich.metric_log(query_log(spark, sf_dir)), path))
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 

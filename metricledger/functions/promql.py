@@ -105,15 +105,34 @@ def _is_string(token: Column) -> Column:
     return _matches(token, r'^["\'`]') & (F.length(token) > 1)
 
 
+# Escapes of one letter.
+_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+_PIECE = r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[0-7]{3}|.)|[^\\]+"
+
+
 def _unquote(token: Column) -> Column:
+    """The text a quoted token stands for: one-letter, hexadecimal, octal and code point escapes."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
-    # A doubled backslash waits as U+0001 while the other escapes are resolved.
-    plain = F.regexp_replace(inner, r"\\\\", "\u0001")
-    plain = F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
-    plain = F.replace(F.regexp_replace(plain, r"\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
+
+    def piece(x: Column) -> Column:
+        digits = F.substring(x, F.lit(3), F.length(x))
+        out = F.when(~x.startswith("\\"), x)
+        for letter, char in _ESCAPES.items():
+            out = out.when(x == f"\\{letter}", F.lit(char))
+        out = out.when(x.rlike(r"^\\[xuU].+"), _character(F.conv(digits, 16, 10)))
+        out = out.when(x.rlike(r"^\\[0-7]{3}"), _character(F.conv(F.substring(x, F.lit(2), F.length(x)), 8, 10)))
+        return out.otherwise(F.substring(x, F.lit(2), F.length(x)))
+
+    pieces = F.transform(F.regexp_extract_all(inner, F.lit(f"(?s){_PIECE}"), F.lit(0)), piece)
+    plain = F.when(inner.contains("\\"), F.array_join(pieces, "")).otherwise(inner)
     return F.when(token.startswith("`"), inner).otherwise(plain)
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point given as decimal text."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
+
+
 def _quote(text: Column) -> Column:
     escaped = F.regexp_replace(text, r'(["\\])', r"\\$1")
     escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))

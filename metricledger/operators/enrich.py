@@ -23,12 +23,12 @@ IDENTITY_COLUMNS = ["fingerprint", "label_matchers", "metric_names"]
 
 
 @lru_cache(maxsize=8)
-def _describe(_session_key: int, column: str) -> Column:
+def _describe(_application: str, column: str) -> Column:
     return promql.describe(F.col(column))
 
 
 def _described(df: DataFrame, column: str) -> DataFrame:
-    key = id(df.sparkSession.sparkContext)
+    key = df.sparkSession.sparkContext.applicationId
     return df.withColumn("_d", _describe(key, column))
 
 
@@ -104,6 +104,18 @@ def enrich_inline(log: DataFrame) -> DataFrame:
     )
 
 
+#: What the reads by metric need of a record.
+METRIC_LOG = ["query_id", "ts", "query_param", "fingerprint", "type", "duration_ms", "status_code", "total_queryable_samples", "peak_samples"]
+
+
+def metric_log(log: DataFrame) -> DataFrame:
+    """One narrow row for each record and metric that it names: ``metric``, whether its first selector has it, and what reads
+    by metric need. Stored sorted by metric, it answers them without scanning the log."""
+    names = F.array_distinct(F.filter(selector_names(log), lambda n: n.isNotNull()))
+    rows = log.select(*METRIC_LOG, F.get(selector_names(log), F.lit(0)).alias("_first"), F.explode(names).alias("metric"))
+    return rows.withColumn("is_first", F.coalesce(F.col("metric") == F.col("_first"), F.lit(False))).drop("_first")
+
+
 def metric_refs(log: DataFrame, key: str = "query_id") -> DataFrame:
     """(query, metric) pairs; the narrow table that answers "which queries name this metric"."""
     names = F.array_distinct(F.filter(selector_names(log), lambda n: n.isNotNull()))

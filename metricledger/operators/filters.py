@@ -69,9 +69,14 @@ def names_of(matchers: Column) -> Column:
 
 
 def references_metric(df: DataFrame, metric: str | None, match: str = "any") -> DataFrame:
-    """Queries that name the metric in ``any`` selector or in the ``first``; no metric keeps all."""
+    """Queries that name the metric in ``any`` selector or in the ``first``; no metric keeps all.
+
+    On a metric log (a column ``metric``) this is a filter that reaches the scan; on a plain log the names of every row are tested.
+    """
     if not metric:
         return df
+    if "metric" in df.columns:
+        return df.where((F.col("metric") == metric) & F.col("is_first") if match == "first" else F.col("metric") == metric)
     names = selector_names(df)
     return df.where(F.get(names, F.lit(0)) == metric if match == "first" else F.array_contains(names, metric))
 

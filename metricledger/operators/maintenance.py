@@ -25,28 +25,23 @@ def retention_report(log: DataFrame, cutoff: dt.datetime) -> DataFrame:
 def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
     """Delete rows before ``cutoff`` from a log partitioned by day (and batch); returns how many.
 
-    Partitions without a row to keep go as folders. Only the cutoff's own day is rewritten, as a
-    dynamic partition overwrite, whose new files replace the old ones at commit.
+    Days before the cutoff's go as whole folders, counted without reading a column. Only the cutoff's own day is read and
+    rewritten, as a dynamic partition overwrite, whose new files replace the old ones at commit.
     """
     log = spark.read.parquet(path)
     parts = [c for c in ("dt", "batch_id") if c in log.columns]
-    old = F.col("ts") < ntz(cutoff)
     day = F.lit(cutoff.date())
-    # One row per folder that holds something to delete.
-    touched = (
-        log.where(F.col("dt") <= day)
-        .groupBy(*parts)
-        .agg(F.count_if(old).alias("gone"), F.count_if(~old).alias("left"))
-        .where("gone > 0")
-        .collect()
-    )
+    # one row a day, and one a batch of the cutoff's day
+    days = log.where(F.col("dt") < day).groupBy("dt").count().collect()
+    old = F.col("ts") < ntz(cutoff)
+    edge = log.where(F.col("dt") == day)
+    touched = edge.groupBy(*parts).agg(F.count_if(old).alias("gone"), F.count_if(~old).alias("left")).where("gone > 0").collect()
     if any(r.left for r in touched):
-        kept = log.where((F.col("dt") == day) & ~old)
+        kept = edge.where(~old)
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    folders = [f"dt={r.dt}" for r in days] + ["/".join(f"{c}={r[c]}" for c in parts) for r in touched if not r.left]
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in touched:
-        if not row.left:
-            name = "/".join(f"{c}={row[c]}" for c in parts)
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
-    return sum(r.gone for r in touched)
+    for name in folders:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return sum(r["count"] for r in days) + sum(r.gone for r in touched)

@@ -427,6 +427,9 @@ def oracle_sql() -> dict[str, str]:
     q["query_status_distribution_day"] = _series_sql(reg.ONE_DAY, "15 minutes", _STATUS)
     q["query_latency_trends"] = _series_sql(full, "6 hours", _LATENCY)
     q["query_latency_trends_metric"] = _series_sql(reg.UNALIGNED, "1 hour", _LATENCY, _references(metric))
+    q["query_latency_trends_approx"] = _with(
+        [_EV, _LOG, _spine(full, "6 hours")], "SELECT time, TRUE AS rank_within_bound FROM spine"
+    )
     q["query_throughput"] = _series_sql(full, "6 hours", {"value": "count(*)"})
     q["query_throughput_empty"] = _series_sql(reg.EMPTY, "1 day", {"value": "count(*)"})
     q["query_errors"] = _series_sql(full, "6 hours", {"value": f"count(*) FILTER (WHERE {bad})"})
@@ -446,11 +449,13 @@ def oracle_sql() -> dict[str, str]:
         f"round(avg(duration_ms), 2) AS average_duration, {_RATE} FROM log WHERE {_between(full)} AND {_references(metric)}"
     )
     q["latest_query_text"] = _log(
-        "SELECT fingerprint, arg_max(query_param, row(ts, query_param)) AS query FROM log GROUP BY 1"
+        "SELECT fingerprint, arg_max(query_param, row(ts, query_param)) AS query FROM log "
+        f"WHERE {_between(reg.MIDDLE)} GROUP BY 1"
     )
     q["latest_text_lookup"] = _log(
         "SELECT o.fingerprint, o.type, count(*) AS executions, (SELECT l.query_param FROM log l "
-        "WHERE l.fingerprint = o.fingerprint ORDER BY l.ts DESC, l.query_param DESC LIMIT 1) AS query FROM log o GROUP BY 1, 2"
+        f"WHERE l.fingerprint = o.fingerprint AND {_between(reg.MIDDLE)} ORDER BY l.ts DESC, l.query_param DESC LIMIT 1) AS query "
+        f"FROM log o WHERE {_between(reg.MIDDLE)} GROUP BY 1, 2"
     )
     mine = "serie = 'm_25_total'"
     q["metric_statistics"] = _with(
@@ -527,7 +532,7 @@ def oracle_sql() -> dict[str, str]:
         [_EV, _DASH], f"SELECT id, serie, name, url, created_at FROM dash WHERE {_overlap(full)}"
     )
     q["latest_by_fingerprint"] = _log(
-        "SELECT fingerprint, query_id, query_param, ts FROM log "
+        f"SELECT fingerprint, query_id, query_param, ts FROM log WHERE {_between(reg.MIDDLE)} "
         "QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ts DESC, query_id DESC) = 1"
     )
     q["rank_p95"] = _log(

@@ -130,18 +130,36 @@ def query_expressions(log: DataFrame, tr: TimeRange, request: PageRequest = Page
     return page_of(rows, request, _columns(EXPRESSION_SORTS), "executions", ["fingerprint"])
 
 
-def latest_text(log: DataFrame) -> DataFrame:
-    """(fingerprint, query): the text that ran last; ties go to the larger text."""
-    last = log.groupBy("fingerprint", "query_param").agg(F.max("ts").alias("last_ts"))
+def _in_window(log: DataFrame, tr: TimeRange | None) -> DataFrame:
+    return log if tr is None else flt.time_filter(log, tr)
+
+
+def latest_text(log: DataFrame, tr: TimeRange | None = None) -> DataFrame:
+    """(fingerprint, query): the text that ran last in the window; ties go to the larger text."""
+    last = _in_window(log, tr).groupBy("fingerprint", "query_param").agg(F.max("ts").alias("last_ts"))
     return last.groupBy("fingerprint").agg(_latest_of_texts().alias("query"))
 
 
-def latest_by_fingerprint(log: DataFrame) -> DataFrame:
-    """The latest whole record per fingerprint (rank form)."""
-    latest_first = Window.partitionBy("fingerprint").orderBy(F.col("ts").desc(), F.col("query_id").desc())
-    return (
-        log.withColumn("_rank", F.row_number().over(latest_first)).where(F.col("_rank") == 1).drop("_rank")
-    )
+def executions_by_type(log: DataFrame, tr: TimeRange | None = None) -> DataFrame:
+    """Executions per fingerprint and type, beside the fingerprint's latest text; the log is read once.
+
+    Counts per text come first; the window over a fingerprint then holds its distinct texts and types, not its runs.
+    """
+    rows = _in_window(log, tr).groupBy("fingerprint", "query_param", "type")
+    texts = rows.agg(F.count(F.lit(1)).alias("runs"), F.max("ts").alias("last_ts"))
+    query = _latest_of_texts().over(Window.partitionBy("fingerprint")).alias("query")
+    return texts.select("*", query).groupBy("fingerprint", "type", "query").agg(F.sum("runs").alias("executions"))
+
+
+def latest_by_fingerprint(log: DataFrame, tr: TimeRange | None = None) -> DataFrame:
+    """The latest whole record per fingerprint in the window; of several at that instant the one with the largest key.
+
+    The latest instant comes from hash aggregation; only records of that instant, few as they are, are ranked.
+    """
+    rows = _in_window(log, tr)
+    last = rows.groupBy("fingerprint").agg(F.max(F.struct("ts", "query_id")).alias("_last"))
+    keys = last.select(F.col("_last.query_id").alias("query_id"), F.col("_last.ts").alias("_last_ts"))
+    return rows.join(keys, "query_id").where(F.col("ts") == F.col("_last_ts")).drop("_last_ts")
 
 
 EXECUTION_SORTS = {

@@ -385,12 +385,12 @@ def _fingerprint_filter(spark, sf):
 
 @register("metric_match_any")
 def _metric_match_any(spark, sf):
-    return flt.references_metric(fx.query_log(spark, sf), NEXT_METRIC, "any").select("query_id", "query_param")
+    return flt.references_metric(fx.metric_log(spark, sf), NEXT_METRIC, "any").select("query_id", "query_param")
 
 
 @register("metric_match_first")
 def _metric_match_first(spark, sf):
-    return flt.references_metric(fx.query_log(spark, sf), NEXT_METRIC, "first").select("query_id", "query_param")
+    return flt.references_metric(fx.metric_log(spark, sf), NEXT_METRIC, "first").select("query_id", "query_param")
 
 
 @register("type_family_filter")
@@ -451,30 +451,32 @@ def _on_log(read: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf: read(fx.query_log(spark, sf), *args, **kwargs)
 
 
+def _on_metrics(read: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    return lambda spark, sf: read(fx.metric_log(spark, sf), *args, **kwargs)
+
+
 register("query_types")(_on_log(reads.query_types, FULL))
 register("query_types_empty")(_on_log(reads.query_types, EMPTY))
 register("average_duration")(_on_log(reads.average_duration, MIDDLE))
-register("query_rate")(_on_log(reads.query_rate, FULL, metric=METRIC))
+register("query_rate")(_on_metrics(reads.query_rate, FULL, metric=METRIC))
 register("query_status_distribution")(_on_log(timeseries.status_distribution, FULL))
 register("query_status_distribution_day")(_on_log(timeseries.status_distribution, ONE_DAY))
 register("query_latency_trends")(_on_log(timeseries.latency_trends, FULL))
-register("query_latency_trends_metric")(_on_log(timeseries.latency_trends, UNALIGNED, metric=METRIC))
-register("query_latency_trends_approx")(_on_log(timeseries.latency_trends, FULL, approx=True))
+register("query_latency_trends_metric")(_on_metrics(timeseries.latency_trends, UNALIGNED, metric=METRIC))
+register("query_latency_trends_approx")(_on_log(timeseries.approx_rank_check, FULL))
 register("query_throughput")(_on_log(timeseries.throughput, FULL))
 register("query_throughput_empty")(_on_log(timeseries.throughput, EMPTY))
 register("query_errors")(_on_log(timeseries.errors_over_time, FULL))
 register("query_time_range_distribution")(_on_log(timeseries.time_range_distribution, FULL))
 register("query_expressions")(_on_log(reads.expressions, FULL))
-register("metric_query_performance")(_on_log(reads.metric_query_performance, METRIC, FULL))
-register("latest_query_text")(_on_log(reads.latest_text))
+register("metric_query_performance")(_on_metrics(reads.metric_query_performance, METRIC, FULL))
+register("latest_query_text")(_on_log(reads.latest_text, MIDDLE))
 
 
 @register("latest_text_lookup")
 def _latest_text_lookup(spark, sf):
     """Executions per expression and type, beside the expression's latest text."""
-    log = fx.query_log(spark, sf)
-    counts = log.groupBy("fingerprint", "type").agg(F.count(F.lit(1)).alias("executions"))
-    return counts.join(reads.latest_text(log), "fingerprint", "left")
+    return reads.executions_by_type(fx.query_log(spark, sf), MIDDLE)
 
 
 @register("query_executions")
@@ -485,7 +487,7 @@ def _query_executions(spark, sf):
 
 @register("queries_by_metric")
 def _queries_by_metric(spark, sf):
-    rows = reads.metric_queries(fx.query_log(spark, sf), NEXT_METRIC, FULL)
+    rows = reads.metric_queries(fx.metric_log(spark, sf), NEXT_METRIC, FULL)
     return rows.withColumns({c: F.round(c, 6) for c in ("avg_duration", "avg_peak_samples")})
 
 
@@ -585,7 +587,7 @@ def _dashboards_latest(spark, sf):
 
 @register("latest_by_fingerprint")
 def _latest_by_fingerprint(spark, sf):
-    rows = reads.latest_by_fingerprint(fx.query_log(spark, sf))
+    rows = reads.latest_by_fingerprint(fx.query_log(spark, sf), MIDDLE)
     return rows.select("fingerprint", "query_id", "query_param", "ts")
 
 
@@ -747,7 +749,7 @@ def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     source, target, checkpoint, rejects, words = (new_table_path(spark, f"stream_{n}") for n in ("push", "log", "ckpt", "rejects", "words"))
     _push_bodies(spark, sf).write.text(source)
     jobs.stream_query_log(spark, source, target, checkpoint, rejects, words).awaitTermination()
-    return query_log.read_query_log(spark, target), spark.read.parquet(rejects)
+    return query_log.read_query_log(spark, target), spark.read.schema(jobs.REJECTS).parquet(rejects)
 
 
 @register("stream_query_ingest")
@@ -777,9 +779,15 @@ def _stream_drop_unused(spark, sf):
 
 @register("stream_bucket_rollup")
 def _stream_bucket_rollup(spark, sf):
-    """Hourly counts of the event stream, kept complete in a table that each batch replaces."""
-    target, checkpoint = new_table_path(spark, "rollup"), new_table_path(spark, "rollup_ckpt")
-    ev = _stream_of(spark, sf, "events")
+    """Hourly counts of the event stream, each appended once the watermark has passed its hour. A closing row, long after all
+    others, lets the watermark pass every hour of the events; its own hour stays open."""
+    source, target, checkpoint = (new_table_path(spark, f"rollup_{n}") for n in ("events", "hours", "ckpt"))
+    ev = fx.table(spark, sf, "events").select("ts", "value", "event_type", "event_id")
+    closing = ev.agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") + F.make_dt_interval(F.lit(30))).alias("ts"), F.lit(0.0).alias("value"), F.lit("closing").alias("event_type"), F.lit(-1).cast("long").alias("event_id")
+    )
+    ev.unionByName(closing).write.parquet(source)
+    ev = spark.readStream.schema(ev.schema).parquet(source)
     bad = F.col("event_type") == "error"
     log = ev.select(
         "ts",
@@ -787,13 +795,9 @@ def _stream_bucket_rollup(spark, sf):
         F.when(~bad, F.lit(200)).when(F.col("event_id") % 2 == 0, F.lit(500)).otherwise(F.lit(422)).alias("status_code"),
     )
     rollup = jobs.stream_rollup(log, dt.timedelta(hours=1))
-
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    writer = rollup.writeStream.outputMode("complete").foreachBatch(replace)
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(target)
+    writer = rollup.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start(target).awaitTermination()
+    rows = spark.read.schema(rollup.schema).parquet(target)
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

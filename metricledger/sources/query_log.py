@@ -36,6 +36,13 @@ def append_query_log(log: DataFrame, path: str, spread: bool = True, expressions
     sorted_rows.write.mode("append").options(**identity_bloom(expressions)).partitionBy("dt").parquet(path)
 
 
+def append_metric_log(rows: DataFrame, path: str) -> None:
+    """Append rows of :func:`enrich.metric_log`, one folder per day, sorted by metric inside each file: the
+    bounds of row groups then tell which hold a metric. The rebalance splits a day, or a metric, that holds much."""
+    daily = rows.withColumn("dt", F.to_date("ts")).hint("rebalance", F.col("dt"), F.col("metric"))
+    daily.sortWithinPartitions("dt", "metric", "ts").write.mode("append").partitionBy("dt").parquet(path)
+
+
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -21,7 +21,8 @@ def _start(writer, trigger: dict) -> StreamingQuery:
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-REJECTS = ["received", "record", "error", "dt", "batch_id"]
+REJECTS = "received timestamp_ntz, record string, error string, dt date, batch_id long"
+REJECTED = [column.split()[0] for column in REJECTS.split(", ")]
 
 
 def stream_query_log(
@@ -61,7 +62,7 @@ def stream_query_log(
             key = F.xxhash64("file", "batch_id", "line", "position").alias("query_id")
             named = enrich.enrich(valid.withColumn("query_id", key), every).select(*LOG_COLUMNS, "dt", "batch_id")
             _replace(named.sortWithinPartitions("ts"), target, ["dt", "batch_id"], identity_bloom())
-            _replace(checked.where("error IS NOT NULL").select(*REJECTS), rejects, ["dt", "batch_id"])
+            _replace(checked.where("error IS NOT NULL").select(*REJECTED), rejects, ["dt", "batch_id"])
         finally:
             checked.unpersist()
 

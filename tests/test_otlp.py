@@ -2,8 +2,11 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from metricledger import schemas
 from metricledger.operators import otlp
+from metricledger.plans.inventory import Tables
 from metricledger.streaming import jobs
 from tests.conftest import BASE, plan_of
 
@@ -161,17 +164,27 @@ def test_hot_metric_is_not_shuffled(spark, flat, tmp_path):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
-def test_stream_filter(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("idle", "a", 1), ("busy", "a", 1)], "metric_name string, job string, points long").write.parquet(source)
-    stream = spark.readStream.schema("metric_name string, job string, points long").parquet(source)
-    names = spark.createDataFrame([("idle",)], "metric_name string")
-    query = (
-        jobs.stream_drop_unused(stream, names)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "ckpt"))
-        .trigger(availableNow=True)
-        .start(target)
-    )
-    query.awaitTermination()
-    assert [r.metric_name for r in spark.read.parquet(target).collect()] == ["busy"]
+def test_stream_filter_follows_the_summary(spark, tmp_path):
+    """Many unused names, and one that becomes used while the stream goes on."""
+    root, source, target, ckpt = (str(tmp_path / n) for n in ("tables", "in", "out", "ckpt"))
+    tables = Tables(spark, root)
+
+    def summary(unused):
+        flags = [(f"m{i}", i in unused) for i in range(2_500)]
+        zero = [F.lit(0).cast("long").alias(c) for c in ("alert_count", "record_count", "dashboard_count", "query_count")]
+        no_time = [F.lit(None).cast("timestamp_ntz").alias(c) for c in ("last_queried_at", "updated_at")]
+        tables.write("metrics_usage_summary", spark.createDataFrame(flags, "name string, is_unused boolean").select("name", *zero, *no_time, "is_unused"))
+
+    def send(export_id):
+        tree = export(spark, ({"job": "a"}, [[(f"m{i}", "gauge", 1) for i in range(2_500)]]))
+        tree.withColumn("export_id", F.lit(export_id).cast("long")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(tree.schema).parquet(source)
+        jobs.stream_drop_unused(stream, root, target, ckpt).awaitTermination()
+
+    summary(set(range(2_400)))
+    send(1)
+    summary(set(range(2_399)))
+    send(2)
+    kept = otlp.flatten_otlp(spark.read.schema(schemas.OTLP_EXPORT).parquet(target))
+    names = {i: {r.metric_name for r in kept.where(F.col("export_id") == i).collect()} for i in (1, 2)}
+    assert names == {1: {f"m{i}" for i in range(2_400, 2_500)}, 2: {f"m{i}" for i in range(2_399, 2_500)}}

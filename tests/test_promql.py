@@ -5,32 +5,32 @@ from metricledger.functions import promql
 from metricledger.operators import enrich
 
 SAME = [
-    ('foo{b="1",a="2"}', 'foo{a="X",b="Y"}'),
-    ("sum by (b,a) (foo)", "sum by (a,b) (foo)"),
-    ("sum(foo) by (b, a)", "sum by (a,b) (foo)"),
-    ("foo + on(b,a) group_left(c) bar", "foo + on(a,b) group_left(c) bar"),
-    ("a / ignoring(b) group_left b", "a / ignoring(b) group_left() b"),
-    ("rate(foo[60s])", "rate( foo [1m] )  # comment"),
-    ("foo[90m]", "foo[1h30m]"),
-    ("rate(foo[300])", "rate(foo[5m])"),
-    ("SUM(foo)", "sum(foo)"),
-    ("sum by () (foo)", "sum(foo)"),
-    ("foo{a='x'}", 'foo{a="y"}'),
-    ('foo{a="}"}', 'foo{a=","}'),
-    ("foo * 1.0", "foo * 0x1"),
-    ("foo * 1_000", "foo * 1000"),
-    ("foo > +Inf", "foo > Inf"),
+    ('queue_depth{zone="north",cell="9"}', 'queue_depth{cell="3",zone="south"}'),
+    ("max by (zone, cell) (queue_depth)", "max by (cell,zone) (queue_depth)"),
+    ("min(queue_depth) without (zone, cell)", "min without (cell, zone) (queue_depth)"),
+    ("used - on(zone,cell) group_right(rack) free", "used - on(cell,zone) group_right(rack) free"),
+    ("used / ignoring(rack) group_left free", "used / ignoring(rack) group_left() free"),
+    ("irate(jobs_done[120s])", "irate( jobs_done [2m] )  # note"),
+    ("jobs_done[150m]", "jobs_done[2h30m]"),
+    ("delta(jobs_done[600])", "delta(jobs_done[10m])"),
+    ("MAX(queue_depth)", "max(queue_depth)"),
+    ("max by () (queue_depth)", "max(queue_depth)"),
+    ("queue_depth{zone='n'}", 'queue_depth{zone="s"}'),
+    ('queue_depth{zone="}"}', 'queue_depth{zone=","}'),
+    ("queue_depth * 2.0", "queue_depth * 0x2"),
+    ("queue_depth * 2_500", "queue_depth * 2500"),
+    ("queue_depth < +Inf", "queue_depth < Inf"),
     ("+1 * (+2)", "1 * (2)"),
     ("avg(sum(x) by (b,a)) without (c)", "avg without (c) (sum by (a, b) (x))"),
     ("max_over_time(rate(x[5m])[60m:30s])", "max_over_time(rate(x[5m])[1h:30s])"),
 ]
 DIFFERENT = [
-    ("rate(foo[5m])", "rate(foo[1h])"),
-    ("a + b", "b + a"),
+    ("irate(jobs_done[2m])", "irate(jobs_done[20m])"),
+    ("used - free", "free - used"),
     ("a + 1", "+a * 1"),
-    ('foo{a="x"}', 'foo{a!="x"}'),
-    ("foo", "bar"),
-    ("foo offset 5m", "foo"),
+    ('queue_depth{zone="n"}', 'queue_depth{zone!="n"}'),
+    ("used", "free"),
+    ("used offset 3m", "used"),
     ('label_replace(up, "a", "$1", "b", "(.*)")', 'label_replace(up, "a", "$1", "b", "(.+)")'),
     ("sum by (a) (x)", "sum without (a) (x)"),
     ('{__name__="up"}', '{__name__="down"}'),
@@ -74,13 +74,13 @@ VALID = [
 ]
 INVALID = [
     "",
-    "up{",
-    "rate(",
-    "up{job=}",
-    "invalid_function(up)",
-    "rate(up)",
-    "sum(up[5m])",
-    "up up",
+    "used{",
+    "delta(",
+    "used{rack=}",
+    "no_such_function(used)",
+    "delta(used)",
+    "max(used[3m])",
+    "used free",
     "up)(",
     "x$y",
     "{}",
@@ -140,13 +140,13 @@ def test_invalid(described, text):
 
 
 def test_values_are_masked(described):
-    text = described['foo{b="1",a="2"}'].canonical
-    assert text == 'foo{a="MASKED",b="MASKED"}'
+    text = described['queue_depth{zone="north",cell="9"}'].canonical
+    assert text == 'queue_depth{cell="MASKED",zone="MASKED"}'
 
 
 def test_ranges_can_be_ignored(described):
-    a, b = described["rate(foo[5m])"], described["rate(foo[1h])"]
-    assert a.canonical_any_range == b.canonical_any_range == "rate(foo[0s])"
+    a, b = described["irate(jobs_done[2m])"], described["irate(jobs_done[20m])"]
+    assert a.canonical_any_range == b.canonical_any_range == "irate(jobs_done[0s])"
     assert a.fingerprint_any_range == b.fingerprint_any_range
 
 
@@ -198,3 +198,18 @@ def test_long_texts_are_read_whole(spark):
     df = spark.createDataFrame([(t,) for t in LONG], "query_param string")
     got = {r.query_param: r.fingerprint != "" for r in enrich.expression_dictionary(df).collect()}
     assert got == LONG
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        (r'"\x41\x2d"', "A-"),
+        (r'"\u00e9\U0001F600"', "é😀"),
+        (r'"\101\n\t\r"', "A\n\t\r"),
+        (r'"a\\nb\"\'"', "a\\nb\"'"),
+        (r"`\x41`", r"\x41"),
+    ],
+)
+def test_escapes_in_matchers(spark, text, value):
+    rows = spark.createDataFrame([("used{rack=" + text + "}",)], "query_param string")
+    assert enrich.enrich_inline(rows).first().label_matchers[0]["rack"] == value

@@ -13,7 +13,7 @@ from metricledger.plans import reads, timeseries
 from tests.conftest import BASE, plan_of
 
 # Jobs that write or stream before they return; their plans only read the result.
-JOBS = {"inventory_sync", "retention_delete", "stream_query_ingest", "stream_bucket_rollup", "stream_catalog_sync"}
+JOBS = {"stream_query_rejects", "stream_drop_unused", "safe_order_by", "inventory_sync", "retention_delete", "stream_query_ingest", "stream_bucket_rollup", "stream_catalog_sync"}
 LOG_READS = [
     "query_status_distribution",
     "query_latency_trends",
@@ -109,3 +109,10 @@ def test_invalid_texts_share_one_identity(spark):
     rows = {r.query_id: r for r in enrich.enrich(log, enrich.expression_dictionary(log)).collect()}
     assert [rows[i].fingerprint for i in (0, 1, 2)] == ["", "", ""]
     assert rows[3].fingerprint != ""
+
+
+@pytest.mark.parametrize("name", ["query_rate", "queries_by_metric", "metric_query_performance", "query_latency_trends_metric", "metric_match_any"])
+def test_metric_reaches_the_scan(spark, sf, name):
+    plan = plan_of(registry.queries()[name](spark, sf))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "metric_log" in line)
+    assert "EqualTo(metric," in scan

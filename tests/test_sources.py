@@ -175,3 +175,29 @@ def test_retention_of_a_streamed_log(spark, make_log, tmp_path):
     assert maintenance.apply_retention(spark, path, BASE + dt.timedelta(hours=4)) == 4
     left = sorted((r.batch_id, (r.ts - BASE).total_seconds() / 3600) for r in spark.read.parquet(path).collect())
     assert left == [(2, 9), (4, 30)]
+
+
+@pytest.mark.parametrize(
+    "change, error",
+    [
+        ({"body_size": "abc"}, "invalid field body_size"),
+        ({"duration": "5ms"}, "invalid field duration"),
+        ({"peak_samples": 1.5}, "invalid field peak_samples"),
+        ({"start": "garbage"}, "invalid field start"),
+        ({"time_param": "garbage"}, "invalid field time_param"),
+        ({"time_param": "1704067200"}, "invalid field time_param"),
+        ({"http_headers": "x"}, "invalid field http_headers"),
+        ({"http_headers": {"a": 1}}, "invalid field http_headers"),
+        ({"query_param": 5}, "invalid field query_param"),
+        ({"status_code": 2**40}, "invalid field status_code"),
+        ({"step": True}, "invalid field step"),
+        ({"step": 1.5, "http_headers": {"a": "b", "c": None}, "end": None}, None),
+    ],
+)
+def test_fields_of_a_wrong_type(spark, change, error):
+    assert parse(spark, {**GOOD, **change}).first().error == error
+
+
+def test_field_names_compare_without_case(spark):
+    row = parse(spark, '{"Query_Param":"up","STATUS_code":404,"status_code":200}').first()
+    assert (row.error, row.query_param, row.status_code) == (None, "up", 200)

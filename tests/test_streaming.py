@@ -3,6 +3,10 @@ import json
 import os
 import time
 
+import pytest
+
+from metricledger.operators import enrich
+from metricledger.plans import reads
 from metricledger.plans.inventory import Tables
 from metricledger.streaming import jobs
 from tests.conftest import BASE
@@ -16,18 +20,62 @@ def drop_file(folder, name, lines):
         out.write("\n".join(lines))
 
 
-def test_ingest_continues_and_does_not_repeat(spark, tmp_path):
-    source, target, ckpt = (str(tmp_path / n) for n in ("in", "log", "ckpt"))
-    drop_file(source, "a.json", [json.dumps([PUSH, {**PUSH, "type": "bad"}])])
-    jobs.stream_query_log(spark, source, target, ckpt).awaitTermination()
-    drop_file(source, "b.json", [json.dumps({**PUSH, "query_param": 'up{a="2"}'}), json.dumps({**PUSH, "x": 1})])
+@pytest.fixture
+def ingest(spark, tmp_path):
+    """Runs the ingest stream to its end; gives log, rejects and the checkpoint."""
+    source, target, ckpt, rejects, words = (str(tmp_path / n) for n in ("in", "log", "ckpt", "rejects", "words"))
+
+    def run():
+        jobs.stream_query_log(spark, source, target, ckpt, rejects, words).awaitTermination()
+        return spark.read.parquet(target), spark.read.schema(jobs.REJECTS).parquet(rejects)
+
+    run.source, run.ckpt, run.words = source, ckpt, words
+    return run
+
+
+def test_ingest_continues_and_does_not_repeat(spark, ingest):
+    drop_file(ingest.source, "a.json", [json.dumps([PUSH, {**PUSH, "type": "bad"}])])
+    ingest()
+    drop_file(ingest.source, "b.json", [json.dumps({**PUSH, "query_param": 'up{a="2"}'}), json.dumps({**PUSH, "x": 1}), "no json"])
     for _ in range(2):
-        jobs.stream_query_log(spark, source, target, ckpt).awaitTermination()
-    rows = spark.read.parquet(target).collect()
-    assert len(rows) == 2
+        log, rejects = ingest()
+    rows = log.collect()
+    assert len(rows) == 2 and len({r.query_id for r in rows}) == 2
     assert len({r.fingerprint for r in rows}) == 1
     assert sorted(r.label_matchers[0]["a"] for r in rows) == ["1", "2"]
     assert {r.batch_id for r in rows} == {0, 1}
+    refused = sorted((r.batch_id, r.error) for r in rejects.collect())
+    assert refused == [(0, "invalid query type"), (1, "invalid record"), (1, "unknown field x")]
+    assert spark.read.parquet(ingest.words).where("batch_id >= 0").count() == 2  # each text described once
+
+
+def test_repeated_batch_on_another_day(spark, ingest):
+    """The commit of a batch is lost and the stream goes on in a zone where it is another day."""
+    drop_file(ingest.source, "a.json", [json.dumps([PUSH, {**PUSH, "step": "x"}])])
+    before = {r.query_id: r.ts for r in ingest()[0].collect()}
+    for f in os.listdir(os.path.join(ingest.ckpt, "commits")):
+        os.remove(os.path.join(ingest.ckpt, "commits", f))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("Pacific/Kiritimati", "Pacific/Pago_Pago"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            log, rejects = ingest()
+            assert {r.query_id: r.ts for r in log.collect()} == before and rejects.count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    assert all(abs((now - ts).total_seconds()) < 600 for ts in before.values())
+
+
+def test_reads_run_on_the_streamed_log(spark, ingest, tmp_path):
+    drop_file(ingest.source, "a.json", [json.dumps([PUSH] * 3), json.dumps({**PUSH, "query_param": "down"})])
+    log, _ = ingest()
+    assert reads.latest_by_fingerprint(log).count() == 2
+    assert enrich.metric_refs(log).count() == 4
+    day = log.first().dt
+    for _ in range(2):
+        jobs.close_day(spark, str(tmp_path / "log"), str(tmp_path / "closed"), day)
+    assert spark.read.parquet(str(tmp_path / "closed")).count() == 4
 
 
 def log_stream(spark, folder, batches):
