@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from metricledger import schemas
 from metricledger.operators import enrich, otlp, upserts
 from metricledger.operators.validate import check_queries
-from metricledger.plans.inventory import Tables
+from metricledger.plans.inventory import Snapshot, Tables
 from metricledger.sources.query_log import identity_bloom, parse_query_push, utc_now
 
 LOG_COLUMNS = [name for name in schemas.QUERY_LOG.names if name != "dt"]
@@ -170,16 +170,22 @@ def stream_catalog_sync(
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         tables = Tables(batch.sparkSession, root)
-        catalog = tables.read("metrics_catalog")
-        due = due_items(batch, catalog, ttl).persist()
-        try:
+        held = batch.persist()
+
+        def change(there: Snapshot) -> dict[str, DataFrame]:
+            catalog = there.read("metrics_catalog")
+            due = due_items(held, catalog, ttl)
             now = due.agg(F.max("synced_at").alias("now")).first().now
             if now is None:
-                return
-            summary = upserts.add_placeholders(tables.read("metrics_usage_summary"), due, now)
-            tables.write("metrics_usage_summary", summary)
-            tables.write("metrics_catalog", upserts.upsert_catalog(catalog, due.withColumn("seq", F.col("synced_at"))))
+                return {}
+            return {
+                "metrics_usage_summary": upserts.add_placeholders(there.read("metrics_usage_summary"), due, now),
+                "metrics_catalog": upserts.upsert_catalog(catalog, due.withColumn("seq", F.col("synced_at"))),
+            }
+
+        try:
+            tables.update(change)
         finally:
-            due.unpersist()
+            held.unpersist()
 
     return _start(metrics.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)

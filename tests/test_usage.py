@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -295,3 +296,26 @@ def test_inventory_reports_a_failed_summary(spark, empty, tmp_path):
     placeholder = tables.read("metrics_usage_summary").first()
     assert placeholder.is_unused is False
     assert tables.read("metrics_usage_summary").where(F.col("updated_at") == ntz(BASE)).count() == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    tables = inventory.Tables(spark, str(tmp_path / "inv"))
+    schema = "name string, type string, help string, unit string"
+
+    def sync(n):
+        for i in range(3):
+            items = spark.createDataFrame([(f"m{n}_{i}", "gauge", "h", "u")], schema)
+            inventory.sync_catalog(inventory.Tables(spark, tables.root), items, BASE)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(sync, range(3)))
+    want = {f"m{n}_{i}" for n in range(3) for i in range(3)}
+    snapshot = tables.snapshot()
+    assert snapshot.number == 9
+    for name in ("metrics_catalog", "metrics_usage_summary"):
+        assert sorted(r.name for r in snapshot.read(name).collect()) == sorted(want)
+    with pytest.raises(inventory.ConflictError):
+        tables.publish(inventory.Snapshot(spark, 3, {}), {})
+    assert tables.vacuum(dt.timedelta(days=1)) == 0
+    assert tables.vacuum(dt.timedelta(0)) >= 16
+    assert tables.snapshot().read("metrics_catalog").count() == 9
