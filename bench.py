@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from metricledger import fixtures as fx
 from metricledger import registry
 from metricledger.functions.expr_tools import ntz
+from metricledger.operators import otlp
 from metricledger.params import PageRequest
 from metricledger.plans import metadata
 from metricledger.session import local_session, new_table_path
@@ -49,6 +51,8 @@ LISTINGS = (
     (240_000, 1, (10, 10_000)),
     (240_000, 6, (10, 1_000, 10_000)),
 )
+# OTLP filter: exported metrics, and how many of ten are unused.
+OTLP_SHAPES = [(size, unused) for size in (100, 1_000, 10_000, 100_000, 1_048_576) for unused in (0, 5, 9)]
 REPEATS = 3
 
 
@@ -94,9 +98,18 @@ def listing_tables(spark: SparkSession, size: int, unused_of_ten: int) -> tuple[
     return tuple(out)
 
 
+def otlp_tables(spark: SparkSession, size: int, unused_of_ten: int) -> tuple[DataFrame, DataFrame]:
+    """Flat metrics of five points each, and the stored names of the unused ones."""
+    name, n = F.format_string("metric_%07d", F.col("id")), F.col("id")
+    metrics = spark.range(size).select(name.alias("metric_name"), F.concat(F.lit("job"), n % 100).alias("job"), F.lit(5).cast("long").alias("points"))
+    path = new_table_path(spark, "bench_names")
+    spark.range(size).where(n % 10 < unused_of_ten).select(name.alias("metric_name")).write.parquet(path)
+    return metrics, spark.read.schema("metric_name string").parquet(path)
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="bench", shared=tempfile.mkdtemp(prefix="bench-"))
     times: dict[str, float] = {}
 
     start = time.perf_counter()
@@ -125,6 +138,10 @@ def main() -> None:
             times[f"series_metadata_unused_{shape}_page{page}"] = timed(unused)
             times[f"series_metadata_unused_job_{shape}_page{page}"] = timed(unused_job)
 
+    for size, unused_of_ten in OTLP_SHAPES:
+        metrics, names = otlp_tables(spark, size, unused_of_ten)
+        times[f"otlp_filter_{size}_{unused_of_ten}0pct"] = timed(lambda: consume(otlp.drop_unused(metrics, names)))
+
     result = {
         "metric": "total_seconds_of_headline_queries",
         "value": round(sum(v for k, v in times.items() if k != "ingest_cold"), 4),

@@ -18,8 +18,10 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "8g", app: str = "metricledger") -> SparkSession:
-    """A local session for tests and benchmarks."""
+def local_session(
+    cores: int | str = 8, memory: str = "8g", app: str = "metricledger", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; ``shared`` is its folder for written tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -27,6 +29,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "metricle
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", memory)
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

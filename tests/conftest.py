@@ -15,8 +15,8 @@ BASE = dt.datetime(2024, 1, 10)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, app="tests")
+def spark(tmp_path_factory):
+    session = local_session(8, app="tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
