@@ -55,8 +55,14 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Views of a few rows each, so that few texts are Python objects at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    for part in slices(batch):
+        yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
 def batches_from(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

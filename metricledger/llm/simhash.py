@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, texts, written
+from metricledger.llm.common import batches_from, by_size, slices, texts, written
 from metricledger.llm.components import stars
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            values = [fingerprint(t) for part in slices(b) for t in part.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], schema=schema)
 
     return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
@@ -136,20 +136,17 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     members, edges = nodes.select("fp"), []
     for level in (1, 2, 3):
         keys = [f"k{i + 1}" for i in range(level)]
-        signed = _signed(members, level)
-        sizes = written(
-            signed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u")).where("n > 1"), f"signatures{level}"
-        )
-        edges.append(sizes.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v"))
+        met = _signed(members, level).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
+        met = written(met.select("fp", *keys, "n"), f"signatures{level}")  # few: what shares its signature
+        pairs = met.where("n = 2").groupBy(*keys).agg(F.min("fp").alias("v"), F.max("fp").alias("u"))
+        edges.append(pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v"))
         some = F.col("n") > 2
         if level < 3:
             some = some & (F.col("n") <= crowded)
-        shared = signed.join(sizes.where(some).select(*keys), keys)
-        edges.append(_forests(shared.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")))
-        many = sizes.where(F.col("n") > crowded).select(*keys)
-        if level == 3 or many.isEmpty():
+        edges.append(_forests(met.where(some).groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")))
+        members = met.where(F.col("n") > crowded).drop("n")
+        if level == 3 or members.isEmpty():
             break
-        members = written(signed.join(many, keys), f"crowded{level}")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
