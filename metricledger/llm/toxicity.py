@@ -44,7 +44,7 @@ PREFIXES = (3, 4, 5, 6)
 LOOK_ALIKE, DROPPED, REPEATED = -1.0, -0.5, -0.7
 #: Price of a blank that stays in a run of single characters.
 KEPT_BLANK = -2.0
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of a token that are decoded; longer ones are no words. Of a run of single characters, each place begins a word of so many.
 LONGEST_TOKEN, LONGEST_IN_RUN = 64, 16
 
@@ -81,7 +81,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """trigram, n: of all texts of a task."""
     total = np.zeros(SYMBOLS**3, np.int64)
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for (text,) in rows_of(b, "text"):
             s = _TABLE[np.minimum(np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
             # a boundary once, however many characters it has
             s = s[(s > 0) | (np.append(s[1:], 1) > 0)]
