@@ -10,8 +10,8 @@ pieces, to
 * exchange it for two smaller pieces of another bin, or two of its pieces for one of another bin,
 
 always so that the fuller bin gains; where none of these is possible, two other bins exchange pieces alike. The sum of squared
-fills grows with each step, so the search ends. A bin that has
-lost all its pieces is gone. Bins left with much room are gathered over all groups and packed once more.
+fills grows with each step, so the search ends. A bin that has lost all its pieces is gone; where a bin cannot be emptied, its
+pieces stay as they were. Bins left with much room are gathered over all groups and packed once more.
 
 * Null texts are empty; an empty text is one piece with the closing id only.
 * Repeated rows are packed as often as they occur.
@@ -44,6 +44,8 @@ GROUP_PIECES = 8_192
 REMEMBERED_WORDS = 400_000
 #: Steps of the local search for one bin that is being emptied.
 STEPS_A_BIN = 200
+#: Bins in a row that cannot be emptied, after which the search ends: later ones are fuller still.
+TRIES = 24
 #: Share of room from which a bin is packed once more with those of other groups.
 OPEN_SHARE = 0.02
 
@@ -160,15 +162,15 @@ class _Bins:
 
     def search(self) -> None:
         """Empties bins, the emptiest first, until none can be emptied or no fewer can hold the pieces."""
-        fewest, bins = -(-int(self.sizes.sum()) // self.capacity), len(self.room)
+        fewest, bins, failed = -(-int(self.sizes.sum()) // self.capacity), len(self.room), 0
         for victim in np.argsort(-self.room, kind="stable").tolist():
-            if bins <= fewest or not self.room[victim]:
+            if bins <= fewest or not self.room[victim] or failed >= TRIES:
                 break
             kept = self.of.copy(), self.room.copy()
             if self._empty(victim):
-                bins -= 1
+                bins, failed = bins - 1, 0
             else:
-                self.of, self.room = kept
+                (self.of, self.room), failed = kept, failed + 1
 
     def _empty(self, victim: int) -> bool:
         """Moves all pieces of a bin elsewhere; each step leaves less in it."""
