@@ -39,6 +39,8 @@ LEAST_WORDS = 28
 GEAR = np.random.default_rng(20_240_101).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Spans (24 bytes each) up to which a table of them is sent to all tasks.
+SENT_SPANS = 1_000_000
 #: Chunks handed to the JVM at once.
 CHUNK_ROWS = 32_768
 
@@ -163,8 +165,10 @@ def cut(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     Documents of which no word is left are gone.
     """
-    spans = written(repeats(docs, least_words), "repeats").groupBy(F.col("doc_id").alias("_cut_doc"))
-    spans = spans.agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_cut_spans"))
+    found = written(repeats(docs, least_words).select(F.col("doc_id").alias("_cut_doc"), "start", "length"), "repeats")
+    spans = found.groupBy("_cut_doc").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_cut_spans"))
+    if found.count() <= SENT_SPANS:
+        spans = F.broadcast(spans)  # the texts then stay where they are; else they are shuffled, with the same result
     joined = docs.join(spans, docs["doc_id"] == F.col("_cut_doc"), "left")
     data, none = F.col("text").cast("binary"), F.col("_cut_spans").isNull()
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut_spans", lambda s: s["start"] + s["length"]))
