@@ -45,8 +45,8 @@ LOOK_ALIKE, DROPPED, REPEATED = -1.0, -0.5, -0.7
 #: Price of a blank that stays in a run of single characters.
 KEPT_BLANK = -2.0
 REMEMBERED = 150_000
-#: Characters of a token that are decoded; longer ones are no words. Of a run of single characters, each place begins a word of so many.
-LONGEST_TOKEN, LONGEST_IN_RUN = 64, 16
+#: Of a run of single characters, each place begins a word of so many.
+LONGEST_IN_RUN = 16
 
 # Which letters a character may stand for.
 LOOKS = {
@@ -110,6 +110,14 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _spelled(path: tuple | None) -> str:
+    letters = []
+    while path is not None:
+        path, x = path
+        letters.append(x)
+    return "".join(reversed(letters))
+
+
 class Decoder:
     """Restores tokens under a character model."""
 
@@ -122,7 +130,8 @@ class Decoder:
         Of letters three or more times in a row any may go; of doubled ones only if ``doubled`` is set.
         """
         model = self.model
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # the last letter and what stood before it, so that a path of any length costs the same a character
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, c in enumerate(token):
             again = i > 0 and token[i - 1] == c and (doubled or token[i - 2 : i + 1] == 3 * c or token[i - 1 : i + 2] == 3 * c)
             reads = [(x, LOOK_ALIKE) for x in LOOKS.get(c, "")]
@@ -131,12 +140,12 @@ class Decoder:
             if c == " ":
                 reads.append((" ", KEPT_BLANK))
             drop = DROPPED if c in SEPARATORS or not reads else REPEATED if again else None
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (price, text) in paths.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (price, path) in paths.items():
                 if drop is not None:
                     old = after.get((a, b))
                     if old is None or old[0] < price + drop:
-                        after[a, b] = price + drop, text
+                        after[a, b] = price + drop, path
                 for x, more in reads:
                     if x == " " and b == 0:
                         continue
@@ -145,9 +154,11 @@ class Decoder:
                     key = (b, s) if s else (0, 0)
                     old = after.get(key)
                     if old is None or old[0] < total:
-                        after[key] = total, text + x
+                        after[key] = total, (path, x)
             paths = after or paths
-        return max((price + (self.model[a][b][0] if b else 0.0), text) for (a, b), (price, text) in paths.items())[1]
+        ends = [(price + (model[a][b][0] if b else 0.0), path) for (a, b), (price, path) in paths.items()]
+        best = max(price for price, _ in ends)
+        return max(_spelled(path) for price, path in ends if price == best)
 
     def words(self, token: str) -> list[str]:
         """The words of a token in lower case, restored if it shows signs of disguise."""
@@ -155,7 +166,7 @@ class Decoder:
         core = core.rstrip("!$|@+=~^/\\-_")
         if not core or core.isalpha() and not _THRICE.search(core):
             return [core] if core else []
-        if len(core) > LONGEST_TOKEN or not any(c.isalpha() or c in LOOKS for c in core) or core.isdigit():
+        if not any(c.isalpha() or c in LOOKS for c in core) or core.isdigit():
             return _LETTERS.findall(core)
         return self.viterbi(core).split() + (_LETTERS.findall(core) if not core.isalpha() else [])
 
@@ -217,7 +228,7 @@ class Scorer:
             # doubled letters are common; they are decoded only where a weighted word may stand behind them
             single = _TWICE.sub(r"\1", token)
             if any(self._of_word(w) for w in self.decoder.words(single)):
-                best = max(map(self._of_word, self.decoder.viterbi(token[:LONGEST_TOKEN], True).split()), default=0.0)
+                best = max(map(self._of_word, self.decoder.viterbi(token, True).split()), default=0.0)
         return best
 
     def inputs(self, text: str | None) -> list[float]:

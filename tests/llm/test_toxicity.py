@@ -129,3 +129,14 @@ def test_clean_rows_stay(spark):
     left = toxicity.keep_clean(table, labels_of(spark, labels))
     assert left.columns == table.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == sorted([i for i, _, t in labels if not t] + [1, -1, 500])
+
+
+def test_tokens_of_any_length_are_decoded(fitted):
+    _, _, model = fitted
+    decoder, scorer = toxicity.Decoder(model.characters), model.scorer()
+    assert "moron" in decoder.words("m" + "o" * 70 + "ron")
+    assert "stupid" in decoder.words("s" + "." * 80 + "tup1d")
+    assert scorer.score("the en m" + "o" * 5_000 + "r0n anen") >= 0.5
+    # doubled letters behind the first 64 characters
+    assert scorer._of_token("." * 70 + "sstuppiidd") > 0
+    assert len(decoder.viterbi("a1" * 20_000)) == 40_000
