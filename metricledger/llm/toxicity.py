@@ -1,7 +1,7 @@
 """Toxicity scores over text that a noisy-channel decoder has restored.
 
 *Channel.* A writer may hide a word by look-alike characters (``1d10t``), separators or blanks between its letters (``l.o.s.e.r``,
-``m o r o n``) and repeated letters (``stuuupid``). For a token that shows such signs a lattice is built: every character stands
+``m o r o n``, with any white space) and repeated letters (``stuuupid``). For a token that shows such signs a lattice is built: every character stands
 for itself, for the letters it looks like, or for nothing (a separator, or one more of the same letter), each
 at a price. Viterbi decoding finds the cheapest path under a trigram model over characters. The model is counted over all
 documents. Runs of single letters are decoded as one lattice, in which a blank may stay or go.
@@ -54,9 +54,10 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = frozenset(".-_*~'`,:;/\\=^ ·•")
-_SINGLES = re.compile(r"(?:(?<=\s)|^)\S(?:[ ]\S){2,}(?=\s|$)")
+_SINGLES = re.compile(r"(?<!\S)\S(?!\S)(?:\s++\S(?!\S)){2,}+")
+_RUN = re.compile(rb"\x01{3,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_THRICE, _TWICE = re.compile(r"(\w)\1\1"), re.compile(r"(\w)\1+")
+_THRICE, _TWICE, _MORE = re.compile(r"(\w)\1\1"), re.compile(r"(\w)\1+"), re.compile(r"(\w)\1{3,}")
 
 
 def _symbol_table() -> np.ndarray:
@@ -172,22 +173,22 @@ class Decoder:
 
 
 def tokens_of(text: str | None) -> tuple[set[str], list[str]]:
-    """The distinct tokens, and the runs of single characters with blanks between them."""
-    low = (text or "").lower()
-    tokens = set(low.split())
-    single = sum(len(t) == 1 for t in tokens)
-    return tokens, _SINGLES.findall(low) if single > 2 else []
+    """The distinct tokens, and the runs of three or more single characters, with one blank for any white space between them."""
+    words = (text or "").lower().split()
+    single = bytes(map((1).__eq__, map(len, words)))
+    return set(words), [" ".join(words[m.start() : m.end()]) for m in _RUN.finditer(single)]
 
 
 def places(run: str) -> set[str]:
-    """What may be a word in a run of single characters: all stretches of bounded length, without the blanks."""
-    chars = run.replace(" ", "")
-    return {chars[i : i + LONGEST_IN_RUN] for i in range(len(chars) - 2)} if any(c.isalpha() for c in chars) else set()
+    """What may be a word in a run of single characters: all stretches of bounded length, without the blanks, and the run as a whole."""
+    # any of three equal letters may go, so more of them say nothing more
+    chars = _MORE.sub(r"\1\1\1", run.replace(" ", ""))
+    return {run} | {chars[i : i + LONGEST_IN_RUN] for i in range(len(chars) - 2)} if any(c.isalpha() for c in chars) else set()
 
 
 def restored(text: str | None, decoder: Decoder) -> str:
     """A text as the scorer reads it: runs of single characters and disguised tokens decoded, the rest in lower case."""
-    low = _SINGLES.sub(lambda m: decoder.viterbi(m[0]), (text or "").lower())
+    low = _SINGLES.sub(lambda m: decoder.viterbi(" ".join(m[0].split())), (text or "").lower())
     return re.sub(r"\S+", lambda m: " ".join(decoder.words(m[0])), low)
 
 

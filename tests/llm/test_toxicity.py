@@ -140,3 +140,17 @@ def test_tokens_of_any_length_are_decoded(fitted):
     # doubled letters behind the first 64 characters
     assert scorer._of_token("." * 70 + "sstuppiidd") > 0
     assert len(decoder.viterbi("a1" * 20_000)) == 40_000
+
+
+def test_spaced_words_of_few_letters_and_any_white_space(fitted):
+    _, _, model = fitted
+    decoder, scorer = toxicity.Decoder(model.characters), model.scorer()
+    assert toxicity.tokens_of("the a s s en")[1] == ["a s s"] and toxicity.tokens_of("b o o b")[1] == ["b o o b"]
+    assert toxicity.tokens_of("a b the c d en ab c")[1] == []
+    for blank in ["  ", "\t", "\n", "\u00a0", " \r\n "]:
+        spaced = blank.join("moron")
+        assert toxicity.tokens_of(f"the {spaced} en")[1] == ["m o r o n"]
+        assert toxicity.restored(f"the {spaced} en", decoder).split() == ["the", "moron", "en"]
+        assert scorer.score(f"the en {spaced} the en {blank.join('idi0t')}") >= 0.5
+    # a run is read as a whole too, so letters repeated often do not push a word out of every stretch
+    assert "stupid" in toxicity.read_words("s t " + "u " * 40 + "p i d", decoder)
