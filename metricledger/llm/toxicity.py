@@ -1,10 +1,12 @@
 """Toxicity scores over text that a noisy-channel decoder has restored.
 
-*Channel.* A writer may hide a word by look-alike characters (``1d10t``), separators or blanks between its letters (``l.o.s.e.r``,
+*Channel.* A writer may hide a word by look-alike characters (``1d10t``, ``a$$``), separators or blanks between its letters (``l.o.s.e.r``,
 ``m o r o n``, with any white space) and repeated letters (``stuuupid``). For a token that shows such signs a lattice is built: every character stands
 for itself, for the letters it looks like, or for nothing (a separator, or one more of the same letter), each
 at a price. Viterbi decoding finds the cheapest path under a trigram model over characters. The model is counted over all
 documents. Runs of single letters are decoded as one lattice, in which a blank may stay or go.
+In a token a separator goes in one reading and may end a word in another (``total-1d10t``); signs at a token's edges are read both as
+punctuation and as letters. The strongest weight of all readings counts, once for each token.
 
 *Score.* Words and word beginnings are weighted by how much more often they stand in toxic documents than in others; a document's
 strongest weights go through a logistic regression. Both are learned from labelled documents that are not held
@@ -42,8 +44,8 @@ LEAST_DOCS, LEAST_WEIGHT, LEAST_EVIDENCE = 4, 1.5, 4.4
 PREFIXES = (3, 4, 5, 6)
 #: Prices, as natural logarithms: a look-alike, a dropped separator or blank, a dropped repetition.
 LOOK_ALIKE, DROPPED, REPEATED = -1.0, -0.5, -0.7
-#: Price of a blank that stays in a run of single characters.
-KEPT_BLANK = -2.0
+#: Prices of a blank that stays in a run of single characters, and of another separator that ends a word.
+KEPT_BLANK, KEPT_SEPARATOR = -2.0, -0.5
 REMEMBERED = 150_000
 #: Of a run of single characters, each place begins a word of so many.
 LONGEST_IN_RUN = 16
@@ -56,6 +58,9 @@ LOOKS = {
 SEPARATORS = frozenset(".-_*~'`,:;/\\=^ ·•")
 _SINGLES = re.compile(r"(?<!\S)\S(?!\S)(?:\s++\S(?!\S)){2,}+")
 _RUN = re.compile(rb"\x01{3,}")
+#: What is taken off a token at both ends, and then at its end; some of it may stand for letters.
+BRACKETS, ENDINGS = "\"'()[]{}<>.,;:?*#%&", "!$|@+=~^/\\-_"
+_PARTS = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _THRICE, _TWICE, _MORE = re.compile(r"(\w)\1\1"), re.compile(r"(\w)\1+"), re.compile(r"(\w)\1{3,}")
 
@@ -111,10 +116,12 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def _spelled(path: tuple | None) -> str:
+def _spelled(path: tuple | None, last_word: bool = False) -> str:
     letters = []
     while path is not None:
         path, x = path
+        if last_word and x == " ":
+            break
         letters.append(x)
     return "".join(reversed(letters))
 
@@ -125,12 +132,16 @@ class Decoder:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
 
-    def viterbi(self, token: str, doubled: bool = False) -> str:
-        """The cheapest reading of a token; blanks in it may stay as word boundaries.
+    def viterbi(self, token: str, doubled: bool = False, joined: bool = False) -> str:
+        """The cheapest reading of a token; blanks in it may stay as word boundaries, and other separators if ``joined`` is set.
 
         Of letters three or more times in a row any may go; of doubled ones only if ``doubled`` is set.
         """
-        model = self.model
+        return self.beginnings(token, {len(token)}, doubled, joined)[-1]
+
+    def beginnings(self, token: str, ends: set[int], doubled: bool = False, joined: bool = False) -> list[str]:
+        """Of the cheapest reading of the token up to each of the ends the last word; for the token's length, which is the last end, the whole reading."""
+        model, found = self.model, []
         # the last letter and what stood before it, so that a path of any length costs the same a character
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, c in enumerate(token):
@@ -140,6 +151,8 @@ class Decoder:
                 reads.append((c, 0.0))
             if c == " ":
                 reads.append((" ", KEPT_BLANK))
+            elif joined and c in SEPARATORS:
+                reads.append((" ", KEPT_SEPARATOR))
             drop = DROPPED if c in SEPARATORS or not reads else REPEATED if again else None
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (price, path) in paths.items():
@@ -157,19 +170,45 @@ class Decoder:
                     if old is None or old[0] < total:
                         after[key] = total, (path, x)
             paths = after or paths
-        ends = [(price + (model[a][b][0] if b else 0.0), path) for (a, b), (price, path) in paths.items()]
-        best = max(price for price, _ in ends)
-        return max(_spelled(path) for price, path in ends if price == best)
-
-    def words(self, token: str) -> list[str]:
-        """The words of a token in lower case, restored if it shows signs of disguise."""
-        core = token.strip("\"'()[]{}<>.,;:?*#%&")
-        core = core.rstrip("!$|@+=~^/\\-_")
-        if not core or core.isalpha() and not _THRICE.search(core):
-            return [core] if core else []
+            if i + 1 in ends:
+                ended = [(price + (model[a][b][0] if b else 0.0), path) for (a, b), (price, path) in paths.items()]
+                best = max(price for price, _ in ended)
+                found.append(max(_spelled(path, i + 1 < len(token)) for price, path in ended if price == best))
+        return found or [""]
+
+    def words(self, token: str, doubled: bool = False) -> list[str]:
+        """The words of a token in lower case, restored if it shows signs of disguise; each reading of it adds its words."""
+        core = token.strip(BRACKETS)
+        core = core.rstrip(ENDINGS)
+        edges = self._of_edges(token, core, doubled) if len(core) < len(token) else []
+        if not core or core.isalpha() and not (doubled or _THRICE.search(core)):
+            return [core, *edges] if core else edges
         if not any(c.isalpha() or c in LOOKS for c in core) or core.isdigit():
-            return _LETTERS.findall(core)
-        return self.viterbi(core).split() + (_LETTERS.findall(core) if not core.isalpha() else [])
+            return _LETTERS.findall(core) + edges
+        found = self.viterbi(core, doubled).split()
+        if not SEPARATORS.isdisjoint(core):
+            # a separator stands between letters or between words: one reading where all go, one where each may end a word, and parts alone: between all, and between those of one kind
+            found += self.viterbi(core, doubled, True).split()
+            for part in dict.fromkeys([*_PARTS.split(core), *(x for c in sorted(SEPARATORS & set(core)) for x in core.split(c))]):
+                found += self.viterbi(part, doubled).split()
+        return found + (_LETTERS.findall(core) if not core.isalpha() else []) + edges
+
+    def _of_edges(self, token: str, core: str, doubled: bool) -> list[str]:
+        """The words of a token with the punctuation at its edges that may stand for letters: any number of such characters at its end, none, one or all at its beginning."""
+        if not core and len({c for c in token if c in LOOKS}) < 2:
+            return []  # nothing but one sign
+        first = len(token) - len(token.lstrip(BRACKETS)) if core else 0
+        last = first + len(core)
+        before = first - len(token[:first].rstrip("("))
+        # of three or more equal signs any may go
+        ends = {k for k in range(last + 1, len(token) + 1) if token[k - 1] in LOOKS and token[max(k - 4, last) : k] != 4 * token[k - 1]}
+        words: list[str] = []
+        for start in {first, first - min(before, 1), first - before}:
+            till = max(ends, default=last if start < first else start)
+            if till > start:
+                for reading in self.beginnings(token[start:till], {k - start for k in ends | {till}}, doubled, True):
+                    words += reading.split()
+        return words
 
 
 def tokens_of(text: str | None) -> tuple[set[str], list[str]]:
@@ -225,11 +264,11 @@ class Scorer:
 
     def _of_token(self, token: str) -> float:
         best = max(map(self._of_word, self.decoder.words(token)), default=0.0)
-        if not best and _TWICE.search(token):
+        if _TWICE.search(token):
             # doubled letters are common; they are decoded only where a weighted word may stand behind them
             single = _TWICE.sub(r"\1", token)
-            if any(self._of_word(w) for w in self.decoder.words(single)):
-                best = max(map(self._of_word, self.decoder.viterbi(token, True).split()), default=0.0)
+            if any(self._of_word(w) > best for w in self.decoder.words(single)):
+                best = max(best, max(map(self._of_word, self.decoder.words(token, True)), default=0.0))
         return best
 
     def inputs(self, text: str | None) -> list[float]:

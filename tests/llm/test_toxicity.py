@@ -154,3 +154,27 @@ def test_spaced_words_of_few_letters_and_any_white_space(fitted):
         assert scorer.score(f"the en {spaced} the en {blank.join('idi0t')}") >= 0.5
     # a run is read as a whole too, so letters repeated often do not push a word out of every stretch
     assert "stupid" in toxicity.read_words("s t " + "u " * 40 + "p i d", decoder)
+
+
+def test_separators_may_end_words(fitted):
+    _, _, model = fitted
+    decoder, scorer = toxicity.Decoder(model.characters), model.scorer()
+    for c in "-./,_~":
+        assert "idiot" in decoder.words(f"shon{c}1d10t") and "idiot" in decoder.words(f"1d10t{c}shon")
+        assert scorer.score(f"the en shon{c}1d10t anen the m0r0n{c}er") >= 0.5
+        assert "stupid" in decoder.words(c.join("stup1d"))
+    assert "idiot" in decoder.words("shon-1.d.1.0.t-en") and "idiot" in decoder.words("shon.1-d-1-0-t")
+    # a text with separators in place of all blanks, of more than 64 characters
+    assert scorer.score("the-en-anen-the-shon-titi-" * 5 + "w0rthl3ss-1d10t") >= 0.5
+    assert scorer.score("the-en-anen-the-shon-titi-" * 5) < 0.5
+
+
+def test_signs_at_the_edges_may_be_letters(fitted):
+    _, _, model = fitted
+    decoder, scorer = toxicity.Decoder(model.characters), model.scorer()
+    for token in ["a$$", "a$$!!", '"a$$".', "@$$", "(a$$)"]:
+        assert "ass" in decoder.words(token), token
+    assert "cum" in decoder.words("((um") and "a" in decoder.words("a$$")
+    assert decoder.words("the!")[0] == "the" and decoder.words("!!!") == decoder.words("$$$") == []
+    assert scorer.score("the en worthle$$ the 1d1o+ en") >= 0.5
+    assert len(decoder.words("en" + "!$" * 500)) == 1 + 1000
