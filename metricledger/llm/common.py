@@ -26,6 +26,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame, row: str) -> DataFrame:
+    """The same rows with a number of their own, from a written table: read twice, a row has the same number, however ``docs`` was made."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 #: Rows of identifiers (8 bytes each) up to which a table of them is sent to all tasks.
 SENT_IDS = 1_000_000
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, parts_for, rows_of, texts, written
+from metricledger.llm.common import batches_from, by_size, parts_for, rows_of, texts, with_rows, written
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -240,7 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were. Rows with a null doc_id are judged by a place of their own."""
     row = "_decontam_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = with_rows(docs, row)
     found = leaks(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark)
     dirty = written(found.select(F.col("doc_id").alias(row)).distinct(), "leaks")
     return numbered.join(by_size(dirty), row, "left_anti").drop(row)

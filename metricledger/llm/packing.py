@@ -329,12 +329,26 @@ def pack(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = tokenize(docs, tokenizer, tokens).select("doc_id", "row", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
-    return pack(written(pieces, "pieces"), tokens)
+    pieces = tokenize(docs, tokenizer, tokens)
+    return pack(written(_without_ids(pieces), "pieces"), tokens)
+
+
+def _without_ids(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The places of all pieces, as :func:`pack_documents` gives them, and the sequences with their ids."""
+    pieces = written(tokenize(docs, tokenizer, tokens), "pieces_with_ids")
+    packed = written(pack(_without_ids(pieces), tokens), "places")
+    return packed, sequences(pieces, packed)
 
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:
-    """The sequences themselves: sequence_id, ids (little-endian 32-bit). ``pieces`` come from :func:`tokenize`."""
+    """The sequences themselves: sequence_id, ids (little-endian 32-bit).
+
+    ``pieces`` come from :func:`tokenize` and must be a written table, the one that ``packed`` was made of: a second run of it may number rows anew.
+    """
     parts = pieces.select("doc_id", "row", "piece", "ids").join(packed.select("doc_id", "row", "piece", "sequence_id", "offset"), ["doc_id", "row", "piece"])
     ordered = F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("ids"))))
     return parts.groupBy("sequence_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["ids"]), "")).alias("ids"))

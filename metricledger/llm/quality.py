@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from metricledger.llm.common import labelled, texts, written
+from metricledger.llm.common import labelled, slices, texts, written
 from metricledger.llm.rules import base_counts
 
 #: Labelled documents learned from, at most.
@@ -201,8 +201,8 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    data = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-    return np.array([features(t) for t in data], float).reshape(-1, len(FEATURES))
+    at = b.schema.get_field_index("text")
+    return np.array([features(t) for part in slices(b) for t in part.column(at).cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_DOCS) -> Model:

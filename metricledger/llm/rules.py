@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, rows_of, texts, written
+from metricledger.llm.common import batches_from, by_size, rows_of, slices, texts, written
 
 LEAST_WORDS, WINDOW, MOST_REPEATED_PCT = 20, 8, 30
 #: Lengths of the n-grams in bytes, and the buckets that they are hashed to.
@@ -103,8 +103,9 @@ class Ratio:
         return total / n if n else 0.0
 
 
-def _as_bytes(b: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+def _as_bytes(b: pa.RecordBatch) -> Iterator[bytes]:
+    at = b.schema.get_field_index("text")
+    return (t or b"" for part in slices(b) for t in part.column(at).cast(pa.binary()).to_pylist())
 
 
 def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, slices, texts, written
+from metricledger.llm.common import batches_from, by_size, slices, texts, with_rows, written
 from metricledger.llm.components import stars
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -173,7 +173,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of several rows with that doc_id one stays. Of components without any doc_id one row stays as well.
     """
     row = "_near_duplicate_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = with_rows(docs, row)
     found = components(numbered.select(F.col(row).alias("doc_id"), "text"))
     # rows are named by their place here; the kept one is that of the smallest doc_id, then of the first place
     placed = found.withColumnRenamed("doc_id", row).join(numbered.select(row, "doc_id"), row)

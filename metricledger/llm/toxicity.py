@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, labelled, rows_of, texts, written
+from metricledger.llm.common import batches_from, labelled, rows_of, slices, texts, written
 
 #: Symbols of the character model: 0 a boundary, 1-26 a-z, then other letters by code point.
 SYMBOLS = 64
@@ -364,9 +364,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, all columns as they were."""
-    row = "_toxicity_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rated = score(numbered.select(F.col(row).alias("doc_id"), "text"), fit(docs, labels))
-    toxic = written(rated.where(F.col("score") >= threshold).select(F.col("doc_id").alias(row)), "toxic")
-    return numbered.join(by_size(toxic), row, "left_anti").drop(row)
+    """The documents whose score is below the threshold, all columns as they were. Rows are judged in one pass, where they stand."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value.scorer()
+        for b in batches:
+            for part in slices(b):
+                text = part.column(at).to_pylist()
+                yield part.filter(pa.array([scorer.score(t) < threshold for t in text], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
