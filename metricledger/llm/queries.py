@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricledger.llm import decontam, packing, quality, rules, sharding, simhash, substring, toxicity, urls, warc
+from metricledger.llm import decontam, merkle, packing, quality, rules, sharding, simhash, substring, toxicity, urls, warc
 from metricledger.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).drop("ratio")
 
 
+def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_chunks,
         op9_channel_toxicity,
         op10_ratio_rules,
+        op11_merkle_climb,
     )
 }
 
@@ -87,6 +92,19 @@ _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1,
 _PATH = r"coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '')"
 
 
+def _coded(field: str) -> str:
+    return f"coalesce(strlen({field}::VARCHAR) || ':' || {field}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({_coded('doc_id')} || {_coded('source')} || {_coded('lang')} || {_coded(n_chars)} || {_coded('text')})"
+
+
+_CRC = """xor(4294967295, list_reduce(
+            list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
 def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
@@ -108,4 +126,34 @@ TWINS: dict[str, str] = {
         SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first < page_id THEN first END AS refers_to
         FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest""",
+    "op11_merkle_climb": f"""
+        WITH RECURSIVE
+        rows AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS seen FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM rows),
+        tree AS (
+            SELECT lang, 0 AS level, pos, n, leaf AS h FROM placed
+            UNION ALL
+            SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+        subs AS (SELECT lang, level AS height, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos, n, h FROM subs
+            UNION ALL
+            SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+        climb AS (
+            SELECT doc_id, lang, leaf, 0 AS level, pos, seen AS folded, '' AS proof FROM placed
+            UNION ALL
+            SELECT c.doc_id, c.lang, c.leaf, c.level + 1, c.pos // 2,
+                   sha256(CASE WHEN s.h IS NULL THEN folded WHEN c.pos % 2 = 1 THEN s.h || folded ELSE folded || s.h END), proof || coalesce(s.h, '')
+            FROM climb c JOIN subs u ON c.lang IS NOT DISTINCT FROM u.lang AND c.level < u.height
+            LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = xor(c.pos, 1)),
+        over AS (
+            SELECT c.doc_id, c.leaf, u.h AS subroot, 0 AS level, u.pos, c.folded, c.proof
+            FROM climb c JOIN subs u ON c.lang IS NOT DISTINCT FROM u.lang AND c.level = u.height
+            UNION ALL
+            SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.pos // 2,
+                   sha256(CASE WHEN s.h IS NULL THEN folded WHEN c.pos % 2 = 1 THEN s.h || folded ELSE folded || s.h END), proof || coalesce(s.h, '')
+            FROM over c JOIN (SELECT level AS height FROM top WHERE n = 1) t ON c.level < t.height
+            LEFT JOIN top s ON s.level = c.level AND s.pos = xor(c.pos, 1))
+        SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+        FROM over c JOIN top t ON t.n = 1 AND c.level = t.level""",
 }
