@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricledger.llm import decontam, merkle, packing, quality, rules, sharding, simhash, substring, toxicity, urls, warc
+from metricledger.llm import decontam, merkle, packing, phrases, quality, rules, sharding, simhash, substring, toxicity, urls, warc
 from metricledger.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op9_channel_toxicity,
         op10_ratio_rules,
         op11_merkle_climb,
+        op12_toivonen_phrases,
     )
 }
 
@@ -156,4 +161,29 @@ TWINS: dict[str, str] = {
             LEFT JOIN top s ON s.level = c.level AND s.pos = xor(c.pos, 1))
         SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
         FROM over c JOIN top t ON t.n = 1 AND c.level = t.level""",
+    "op12_toivonen_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        runs AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM words, range(1, 5) AS t(k) WHERE len(w) >= k),
+        found AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+        candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM found WHERE k > 1),
+        parts AS (
+            SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+            FROM candidates, range(1, 4) AS t(cut) WHERE cut < k),
+        cuts AS (
+            SELECT p.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+            FROM parts p JOIN found x ON x.lang = p.lang AND x.phrase = head JOIN found y ON y.lang = p.lang AND y.phrase = tail),
+        scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+            FROM candidates, range(2, 4) AS t(j), range(1, 4) AS u(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+        kept AS (SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
