@@ -90,9 +90,9 @@ def test_windows_of_a_long_text(monkeypatch):
     found, load, now = Counter(), phrases._Load(), all_proposed()
 
     def take():
-        for b in load.counted(range(1, 5), now, None):
-            for r in b.to_pylist():
-                if r["words"]:
+        for level in load.levels(4, now):
+            for b in level.by_words():
+                for r in b.to_pylist():
                     found[r["lang"], tuple(r["phrase"].split(" "))] += r["f"]
 
     for _, text, lang in rows:
@@ -103,18 +103,18 @@ def test_windows_of_a_long_text(monkeypatch):
     assert found == plain_counts(rows)[0]
 
 
-def test_passes_count_what_they_admit_once():
-    """What a pass with more proposals counts is what the earlier one did not."""
+def test_closing_pass_takes_up_what_was_not_admitted():
     load, full, none = phrases._Load(), all_proposed(), phrases.Proposals()
     for _ in load.add("en", b"a b c d e a b c"):
         pass
 
-    def runs(lengths, now, before):
-        return Counter({r["phrase"]: r["f"] for b in load.counted(lengths, now, before) for r in b.to_pylist() if r["words"]})
+    def runs(now, before=None):
+        return {r["phrase"]: r["f"] for level in load.levels(4, now, before) for b in level.by_words() for r in b.to_pylist()}
 
-    first, later = runs(range(1, 5), none, None), runs(range(2, 5), full, none)
-    assert first + later == runs(range(1, 5), full, None) and not first.keys() & later.keys()
-    assert later["a b c"] == 2 and not runs(range(2, 5), full, full)
+    assert runs(none, none) == {}  # words were counted, and are not marked
+    assert runs(full, none) == runs(full) and runs(full)["a b c"] == 2
+    assert runs(full, full) == runs(full)
+    assert load.totals().to_pylist() == [{"lang": "en", "words": 0, "phrase": "", "f": 8}]
 
 
 def test_empty_table(spark):
