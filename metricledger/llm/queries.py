@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricledger.llm import decontam, merkle, packing, phrases, quality, rules, sharding, simhash, substring, toxicity, urls, warc
+from metricledger.llm import decontam, merkle, minhash, packing, phrases, quality, rules, sharding, simhash, substring, toxicity, urls, warc
 from metricledger.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op10_ratio_rules,
         op11_merkle_climb,
         op12_toivonen_phrases,
+        op13_hamming_minhash,
     )
 }
 
