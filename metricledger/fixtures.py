@@ -16,6 +16,7 @@ from metricledger.params import TimeRange
 from metricledger.plans.summary import usage_summary as summarize
 from metricledger.session import new_table_path
 from metricledger.sources.catalog_feeds import catalog_from_metadata
+from metricledger.sources.text_index import TextIndex
 from metricledger.sources.query_log import append_metric_log, append_query_log
 
 FULL = TimeRange.of("2024-01-01T00:00:00", "2024-01-31T00:00:00")
@@ -97,6 +98,7 @@ def raw_query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_INDEXES: dict[tuple[str, str, str], TextIndex] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
@@ -210,6 +212,15 @@ def _job_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 rules_usage = _snapshot("rules_usage", _rules)
 dashboard_usage = _snapshot("dashboard_usage", _dashboards)
 metrics_catalog = _snapshot("metrics_catalog", _catalog)
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The catalog's trigram index, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "text_index")
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(spark, new_table_path(spark, "text_index")).build(metrics_catalog(spark, sf_dir))
+    return _INDEXES[key]
+
 job_index = _snapshot("metrics_job_index", _job_index)
 
 

@@ -7,8 +7,9 @@ description, unit, points``. Lookups fail open: whatever is not known to be unus
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,22 +242,26 @@ def seen_dedup(
     """(name, flush) for every catalog write: a sighting is written at its flush tick unless the
     name was written less than ``ttl`` before.
 
-    Sightings reduce to distinct ticks per name before anything is grouped, so the list a name
-    brings to its fold is bounded by the number of ticks in the data's time span, not by how
-    often the metric was sent.
+    Sightings reduce to distinct ticks by hash aggregation first. Ticks are then walked in order of name and time within their
+    partitions; all that is held is the last write of the name at hand, however long the data's time span.
     """
     step, life = int(tick.total_seconds()), int(ttl.total_seconds())
-    ticks = items.select(
-        "name", (F.floor(epoch_seconds(F.col(ts)) / F.lit(step)) * F.lit(step)).cast("long").alias("tick")
-    ).distinct()
-    start = F.array().cast("array<bigint>")
-
-    def fold(written: Column, at: Column) -> Column:
-        last = F.element_at(written, -1)
-        due = (F.size(written) == 0) | (at - last >= life)
-        return F.when(due, F.concat(written, F.array(at))).otherwise(written)
-
-    per_name = ticks.groupBy("name").agg(F.array_sort(F.collect_list("tick")).alias("ticks"))
-    return per_name.select("name", F.explode(F.aggregate("ticks", start, fold)).alias("at")).select(
-        "name", from_epoch_seconds(F.col("at")).alias("flush")
-    )
+    ticks = items.select("name", tick_of(F.col(ts), step).alias("tick")).distinct()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = None, None
+        for b in batches:
+            due = []
+            for i, (own, at) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if own != name or last is None or at - last >= life:
+                    due.append(i)
+                    name, last = own, at
+            yield b.take(pa.array(due, pa.int64()))
+
+    in_order = ticks.repartition("name").sortWithinPartitions("name", "tick")
+    return in_order.mapInArrow(walk, "name string, tick long").select("name", from_epoch_seconds(F.col("tick")).alias("flush"))
+
+
+def tick_of(ts: Column, step: int) -> Column:
+    """The flush tick of an instant, in epoch seconds."""
+    return (F.floor(epoch_seconds(ts) / F.lit(step)) * F.lit(step)).cast("long")

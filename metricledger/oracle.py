@@ -392,6 +392,10 @@ def oracle_sql() -> dict[str, str]:
         with_jobs,
         f"SELECT {described} FROM catalog c LEFT JOIN summ s USING (name) WHERE c.name ILIKE '%m_1%' OR c.help ILIKE '%m_1%'",
     )
+    q["series_metadata_indexed"] = q["series_metadata"]
+    q["ilike_contains_indexed"] = _with(
+        [_CATALOG], "SELECT name, type, help FROM catalog WHERE name ILIKE '%M_1%_coU%' OR help ILIKE '%M_1%_coU%'"
+    )
     q["series_metadata_unused"] = _with(
         with_jobs, f"SELECT {described} FROM catalog c JOIN summ s USING (name) WHERE s.is_unused"
     )
@@ -644,6 +648,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT w.name, (SELECT min(t.tick) FROM ticks t WHERE t.name = w.name AND t.tick >= w.flush + INTERVAL '1 day') AS flush
       FROM written w WHERE w.flush IS NOT NULL
     ) SELECT name, flush FROM written WHERE flush IS NOT NULL"""
+    q["stream_seen_writes"] = q["catalog_seen_dedup"]
     q["stream_catalog_sync"] = _with(
         [_OTLP, _OTLP_ITEMS], "SELECT DISTINCT name, type, help, unit, FALSE AS is_unused FROM items"
     )

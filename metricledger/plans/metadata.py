@@ -11,6 +11,7 @@ from metricledger.operators import filters as flt
 from metricledger.operators.filters import COUNT_COLUMNS
 from metricledger.operators.paging import MAX_METADATA_SIZE, Page, page_of
 from metricledger.params import PageRequest
+from metricledger.sources.text_index import TextIndex
 
 METADATA_SORTS = {
     "name": "name",
@@ -30,12 +31,13 @@ def _described(joined: DataFrame) -> DataFrame:
     return joined.select(*_CATALOG, *counts, "last_queried_at")
 
 
-def _catalog_rows(catalog: DataFrame, text: str, kind: str) -> DataFrame:
-    return flt.type_family(flt.ilike_any(catalog, ["name", "help"], text), kind).select(*_CATALOG)
+def _catalog_rows(catalog: DataFrame | TextIndex, text: str, kind: str) -> DataFrame:
+    found = catalog.search(text) if isinstance(catalog, TextIndex) else flt.ilike_any(catalog, ["name", "help"], text)
+    return flt.type_family(found, kind).select(*_CATALOG)
 
 
 def metadata_rows(
-    catalog: DataFrame,
+    catalog: DataFrame | TextIndex,
     summary: DataFrame,
     job_index: DataFrame | None = None,
     text: str = "",
@@ -43,7 +45,7 @@ def metadata_rows(
     usage: str = "all",
     job: str = "",
 ) -> DataFrame:
-    """Catalog rows with usage counts. ``unused`` starts from the flag, and with a job from the
+    """Catalog rows with usage counts; a text is looked up where the catalog is given by its index. ``unused`` starts from the flag, and with a job from the
     job's metrics, so that the small side leads."""
     usage = flt.normalize_usage(usage)
     rows = _catalog_rows(catalog, text, kind)
@@ -60,7 +62,7 @@ def metadata_rows(
 
 
 def series_metadata(
-    catalog: DataFrame,
+    catalog: DataFrame | TextIndex,
     summary: DataFrame,
     job_index: DataFrame | None,
     request: PageRequest = PageRequest(sort_by="queryCount"),

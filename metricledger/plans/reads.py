@@ -154,12 +154,16 @@ def executions_by_type(log: DataFrame, tr: TimeRange | None = None) -> DataFrame
 def latest_by_fingerprint(log: DataFrame, tr: TimeRange | None = None) -> DataFrame:
     """The latest whole record per fingerprint in the window; of several at that instant the one with the largest key.
 
-    The latest instant comes from hash aggregation; only records of that instant, few as they are, are ranked.
+    Instant and key are packed into one decimal, whose maximum hash aggregation can keep; a struct's it cannot, and would sort the log.
+    The record is then fetched by its key.
     """
     rows = _in_window(log, tr)
-    last = rows.groupBy("fingerprint").agg(F.max(F.struct("ts", "query_id")).alias("_last"))
-    keys = last.select(F.col("_last.query_id").alias("query_id"), F.col("_last.ts").alias("_last_ts"))
-    return rows.join(keys, "query_id").where(F.col("ts") == F.col("_last_ts")).drop("_last_ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(18,0)")
+    packed = micros * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col("query_id").cast("decimal(19,0)")
+    last = rows.groupBy("fingerprint").agg(F.max(packed.cast("decimal(38,0)")).alias("_last"))
+    keys = last.select(F.col("fingerprint").alias("_fingerprint"), "_last")
+    same = (F.col("fingerprint").eqNullSafe(F.col("_fingerprint"))) & (packed.cast("decimal(38,0)") == F.col("_last"))
+    return rows.join(keys, same).drop("_fingerprint", "_last")
 
 
 EXECUTION_SORTS = {

@@ -421,6 +421,18 @@ def _metadata(spark: SparkSession, sf: str, **kwargs) -> DataFrame:
 
 
 register("series_metadata")(partial(_metadata, text="m_1"))
+
+
+@register("series_metadata_indexed")
+def _series_metadata_indexed(spark, sf):
+    return metadata.metadata_rows(fx.text_index(spark, sf), fx.usage_summary(spark, sf), text="m_1")
+
+
+@register("ilike_contains_indexed")
+def _ilike_contains_indexed(spark, sf):
+    return fx.text_index(spark, sf).search("M_1%_coU").select("name", "type", "help")
+
+
 register("series_metadata_unused")(partial(_metadata, usage="unused"))
 register("series_metadata_unused_job")(partial(_metadata, usage="unused", job=JOB))
 
@@ -846,6 +858,15 @@ def _catalog_seen_dedup(spark, sf):
     return otlp.seen_dedup(items, ttl=dt.timedelta(days=1))
 
 
+@register("stream_seen_writes")
+def _stream_seen_writes(spark, sf):
+    target, checkpoint = new_table_path(spark, "seen_writes"), new_table_path(spark, "seen_writes_ckpt")
+    items = _stream_of(spark, sf, "events").select(fx.metric_name(F.col("user_id")).alias("name"), "ts")
+    found = jobs.stream_seen_writes(items, ttl=dt.timedelta(days=1))
+    found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.schema(found.schema).parquet(target)
+
+
 @register("stream_catalog_sync")
 def _stream_catalog_sync(spark, sf):
     root, checkpoint = new_table_path(spark, "otlp_catalog"), new_table_path(spark, "otlp_catalog_ckpt")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from metricledger import schemas
+from metricledger.functions.scalars import from_epoch_seconds
 from metricledger.operators import enrich, otlp, upserts
 from metricledger.operators.validate import check_queries
 from metricledger.plans.inventory import Snapshot, Tables
@@ -135,6 +139,41 @@ def stream_seen_dedup(items: DataFrame, ttl: dt.timedelta = otlp.SEEN_TTL, ts: s
     return timed.withWatermark(ts, f"{int(ttl.total_seconds())} seconds").dropDuplicatesWithinWatermark(["name"])
 
 
+def stream_seen_writes(
+    items: DataFrame,
+    ttl: dt.timedelta = otlp.SEEN_TTL,
+    tick: dt.timedelta = otlp.FLUSH_EVERY,
+    lateness: dt.timedelta = dt.timedelta(minutes=5),
+    ts: str = "ts",
+) -> DataFrame:
+    """(name, flush) for every catalog write, as :func:`otlp.seen_dedup` gives them, on a stream.
+
+    State of a name is the instant of its last write; it expires by event time when the next sighting is due in any case, so what is held are
+    the names of one ``ttl``. Ticks within a micro-batch are taken in order, so the result is that of the batch form for records
+    that come in order between micro-batches. A record that is older than the last write of its name is not due.
+    """
+    step, life = int(tick.total_seconds()), int(ttl.total_seconds())
+    timed = items.select("name", F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", f"{int(lateness.total_seconds())} seconds")
+    ticks = timed.select("name", "ts", otlp.tick_of(F.col("ts").cast("timestamp_ntz"), step).alias("tick"))
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        due = []
+        for at in sorted({int(t) for chunk in chunks for t in chunk["tick"].unique()}):
+            if last is None or at - last >= life:
+                due.append(at)
+                last = at
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + life + step) * 1_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"name": [key[0]] * len(due), "tick": pd.Series(due, dtype="int64")})
+
+    found = ticks.groupBy("name").applyInPandasWithState(run, "name string, tick long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("name", from_epoch_seconds(F.col("tick")).alias("flush"))
+
+
 def due_items(metrics: DataFrame, catalog: DataFrame, ttl: dt.timedelta) -> DataFrame:
     """Catalog rows to write for a batch of flat metrics with ``ts``: those the catalog does not have,
     or has not had confirmed for ``ttl``.

@@ -9,7 +9,7 @@ from metricledger.operators import paging
 from metricledger.params import PageRequest, TimeRange
 from metricledger.plans import reads, timeseries
 from tests.compare import difference, duck
-from tests.conftest import BASE
+from tests.conftest import BASE, plan_of
 
 MINUTE = dt.timedelta(minutes=1)
 HOUR = TimeRange(BASE - dt.timedelta(hours=1), BASE + dt.timedelta(hours=1))
@@ -212,3 +212,19 @@ def test_metric_statistics_and_producers(spark):
     assert reads.producer_contribution(producers).first().percent == 100
     assert reads.series_shape(series, "m").first().asDict() == {"serie_count": 3, "label_count": 3}
     assert reads.series_shape(series, "x").first().asDict() == {"serie_count": 0, "label_count": 0}
+
+
+def test_latest_records_need_no_sort(make_log):
+    day = BASE.replace(hour=3)
+    log = make_log(
+        {"query_id": 5, "ts": day, "fingerprint": "a"},
+        {"query_id": 9, "ts": day, "fingerprint": "a"},
+        {"query_id": 7, "ts": BASE, "fingerprint": "a"},
+        {"query_id": 8, "ts": BASE, "fingerprint": ""},
+        {"query_id": 2, "ts": BASE, "fingerprint": None},
+    )
+    latest = reads.latest_by_fingerprint(log)
+    assert sorted((str(r.fingerprint), r.query_id) for r in latest.collect()) == [("", 8), ("None", 2), ("a", 9)]
+    assert latest.columns == log.columns
+    plan = plan_of(reads.latest_by_fingerprint(log))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

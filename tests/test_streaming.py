@@ -5,11 +5,11 @@ import time
 
 import pytest
 
-from metricledger.operators import enrich
+from metricledger.operators import enrich, otlp
 from metricledger.plans import reads
 from metricledger.plans.inventory import Tables
 from metricledger.streaming import jobs
-from tests.conftest import BASE
+from tests.conftest import BASE, plan_of
 
 PUSH = {"query_param": 'up{a="1"}', "duration": 5_000_000, "status_code": 200, "type": "instant"}
 
@@ -157,3 +157,25 @@ def test_stream_dedup_emits_a_name_once(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.name for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def test_seen_writes_of_stream_and_batch_agree(spark, tmp_path):
+    """Seven micro-batches in order of time; names fall silent, come back after their state expired, and repeat within it."""
+    folder, target, ckpt = (str(tmp_path / p) for p in ("in", "out", "ckpt"))
+    rows = sorted((at((i * i * 7) % 1_000 + (i * 13) % 60 / 60), f"m{i % 11 if i % 5 else 99}") for i in range(700))
+    schema = "ts timestamp_ntz, name string"
+    os.makedirs(folder)
+    found = jobs.stream_seen_writes(spark.readStream.schema(schema).parquet(folder), dt.timedelta(hours=1), dt.timedelta(seconds=30), dt.timedelta(0))
+    for part in range(7):
+        chosen = rows[part * 100 : part * 100 + 100]
+        spark.createDataFrame(chosen, schema).coalesce(1).write.mode("append").parquet(folder)
+        query = found.writeStream.format("parquet").option("checkpointLocation", ckpt).trigger(availableNow=True).start(target)
+        query.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(target).collect()))
+    batch = otlp.seen_dedup(spark.createDataFrame(rows, schema), dt.timedelta(hours=1), dt.timedelta(seconds=30))
+    assert got == sorted(map(tuple, batch.collect())) and len(got) > 60
+
+
+def test_seen_dedup_holds_no_list(spark):
+    rows = spark.createDataFrame([("a", at(0))], "name string, ts timestamp_ntz")
+    assert "collect_list" not in plan_of(otlp.seen_dedup(rows))
