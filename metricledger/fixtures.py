@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from metricledger.functions.expr_tools import ntz
 from metricledger.functions.scalars import prom_metric_name, resolve_job
 from metricledger.operators import enrich, otlp, upserts
 from metricledger.params import TimeRange
+from metricledger.plans import strides
+from metricledger.plans.summary import append_daily_counts
 from metricledger.plans.summary import usage_summary as summarize
 from metricledger.session import new_table_path
 from metricledger.sources.catalog_feeds import catalog_from_metadata
@@ -131,6 +134,23 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "metric_log", lambda path: append_metric_log(enrich.metric_log(query_log(spark, sf_dir)), path))
 
 
+def in_batches(log: DataFrame, append: Callable[..., None], *args) -> None:
+    """The log as a main batch and one of late records, of every day."""
+    late = F.col("query_id") % 10 == 0
+    append(log.where(~late), *args, batch=0)
+    append(log.where(late), *args, batch=1)
+
+
+def log_strides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log by minute, hour and day, and fingerprint."""
+    return stored(spark, sf_dir, "log_strides", lambda path: in_batches(query_log(spark, sf_dir), partial(strides.append, dims=["fingerprint"]), path))
+
+
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries by metric and day."""
+    return stored(spark, sf_dir, "daily_counts", lambda path: in_batches(query_log(spark, sf_dir), append_daily_counts, path))
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -437,6 +437,10 @@ def oracle_sql() -> dict[str, str]:
     q["query_throughput"] = _series_sql(full, "6 hours", {"value": "count(*)"})
     q["query_throughput_empty"] = _series_sql(reg.EMPTY, "1 day", {"value": "count(*)"})
     q["query_errors"] = _series_sql(full, "6 hours", {"value": f"count(*) FILTER (WHERE {bad})"})
+    q["stride_status_distribution"] = _series_sql(reg.UNALIGNED, "1 hour", _STATUS)
+    q["stride_throughput"] = q["query_throughput"]
+    q["stride_errors"] = _series_sql(reg.UNALIGNED, "1 hour", {"value": f"count(*) FILTER (WHERE {bad})"}, f"m1 = '{metric}' AND tpl IN (1, 2)")
+    q["stride_latency_trends"] = f"SELECT *, TRUE AS rank_within_bound FROM ({_series_sql(reg.UNALIGNED, '1 hour', {'value': _LATENCY['value']})})"
     q["query_time_range_distribution"] = _with([_EV, _LOG, _RANGES], "SELECT label, count, percent FROM dist")
     q["query_expressions"] = _with([_EV, _LOG, _EXPRESSIONS], "SELECT * FROM expr")
     q["query_executions"] = _log(
@@ -513,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
     q["query_count_by_metric"] = _log(
         f"SELECT m1 AS name, count(*) AS query_count, max(ts) AS last_queried_at FROM log WHERE tpl <> 7 AND {_between(reg.MIDDLE)} GROUP BY 1"
     )
+    q["query_count_by_metric_daily"] = q["query_count_by_metric"].replace(_between(reg.MIDDLE), _between(reg.UNALIGNED))
     q["usage_summary"] = _with(_SUMMARY, "SELECT * FROM summ")
     q["usage_summary_refresh_join"] = _with(
         [_EV, _LOG, _RULES, _DASH, _CATALOG, _summary_cte(reg.MIDDLE)], "SELECT * FROM summ"

@@ -33,16 +33,32 @@ def dashboard_counts(dashboards: DataFrame, tr: TimeRange) -> DataFrame:
     )
 
 
-def query_counts(log: DataFrame, tr: TimeRange) -> DataFrame:
-    """Queries per metric of their first selector; the rest of the selectors do not count here."""
-    first = F.get(flt.selector_names(log), F.lit(0))
-    return (
-        flt.time_filter(log, tr)
-        .select(first.alias("name"), "ts")
-        .where(F.col("name").isNotNull())
-        .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("query_count"), F.max("ts").alias("last_queried_at"))
-    )
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    first = F.get(flt.selector_names(rows), F.lit(0)).alias("name")
+    named = rows.select(first, "ts", *keys).where(F.col("name").isNotNull())
+    return named.groupBy("name", *keys).agg(F.count(F.lit(1)).alias("query_count"), F.max("ts").alias("last_queried_at"))
+
+
+def query_counts(log: DataFrame, tr: TimeRange, days: DataFrame | None = None) -> DataFrame:
+    """Queries per metric of their first selector; the rest of the selectors do not count here.
+
+    With ``days``, the table that :func:`append_daily_counts` keeps, the log is read for the days that the window cuts only.
+    """
+    if days is None:
+        return _counted(flt.time_filter(log, tr))
+    first = tr.start.date() if tr.start.time() == dt.time() else tr.start.date() + dt.timedelta(days=1)
+    inner = F.col("dt").between(F.lit(first), F.lit(tr.end.date() - dt.timedelta(days=1)))
+    ends = _counted(flt.time_filter(log, tr).where(~inner))
+    rows = days.where(inner).select(ends.columns).unionByName(ends)
+    return rows.groupBy("name").agg(F.sum("query_count").alias("query_count"), F.max("last_queried_at").alias("last_queried_at"))
+
+
+def append_daily_counts(log: DataFrame, path: str, batch: int = 0) -> None:
+    """Queries and last time per metric and day of a batch of the log. Late records are rows of their own for a day that is there
+    already; a repeated batch overwrites its own folders."""
+    rows = _counted(log, "dt").withColumn("batch", F.lit(batch).cast("long"))
+    writer = rows.hint("rebalance", "dt").sortWithinPartitions("name").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(path)
 
 
 def usage_summary(
@@ -52,13 +68,15 @@ def usage_summary(
     log: DataFrame,
     tr: TimeRange,
     now: dt.datetime | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputed summary rows of the metrics still synced within the window.
 
-    The three inputs are aggregated by metric first, so every join is one row to one row.
+    The three inputs are aggregated by metric first, so every join is one row to one row. With the counts by day a
+    refresh reads the new days, not the window.
     """
     joined = catalog.where(F.col("last_synced_at") >= ntz(tr.start)).select("name")
-    for side in (rule_counts(rules, tr), dashboard_counts(dashboards, tr), query_counts(log, tr)):
+    for side in (rule_counts(rules, tr), dashboard_counts(dashboards, tr), query_counts(log, tr, days)):
         joined = joined.join(side, "name", "left")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in COUNT_COLUMNS}
     return joined.select(

@@ -110,14 +110,14 @@ def latency_trends(
     return _series(log, tr, agg)
 
 
-def approx_rank_check(log: DataFrame, tr: TimeRange) -> DataFrame:
-    """time, rank_within_bound: whether the approximate percentile of each bucket is a duration whose ranks come within
-    n / 10 000 (and one row) of 0.95 n. Buckets without rows are."""
-    stated = latency_trends(log, tr, approx=True).select("time", "p95")
+def approx_rank_check(log: DataFrame, tr: TimeRange, stated: DataFrame | None = None, error: float = 1 / 10_000) -> DataFrame:
+    """time, rank_within_bound: whether the stated p95 of each bucket is a duration whose ranks come within
+    ``error`` n (and one row) of 0.95 n. Buckets without rows are. Without ``stated`` it is the approximate percentile."""
+    stated = (latency_trends(log, tr, approx=True) if stated is None else stated).select("time", "p95")
     counts = _duration_counts(_window(log, tr), "idx")
     start = B.bucket_start(F.col("idx"), B.bucket_origin(tr), B.bucket_stride(tr)).alias("time")
     ranks = counts.select(start, F.col("duration_ms").alias("p95"), "upto", (F.col("upto") - F.col("n")).alias("below"), "total")
-    target, slack = F.col("total") * F.lit(0.95), F.col("total") / F.lit(10_000) + 1
+    target, slack = F.col("total") * F.lit(0.95), F.col("total") * F.lit(error) + 1
     within = (F.col("below") <= target + slack) & (F.col("upto") >= target - slack)
     empty = stated.join(counts.select(start).distinct(), "time", "left_anti").select("time", F.lit(True).alias("rank_within_bound"))
     filled = stated.join(counts.select(start).distinct(), "time", "left_semi").join(ranks, ["time", "p95"], "left")

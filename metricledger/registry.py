@@ -21,7 +21,7 @@ from metricledger.operators import buckets, enrich, maintenance, otlp, paging, u
 from metricledger.operators import filters as flt
 from metricledger.operators.validate import check_queries
 from metricledger.params import PageRequest, TimeRange
-from metricledger.plans import inventory, metadata, reads, summary, timeseries, usage
+from metricledger.plans import inventory, metadata, reads, strides, summary, timeseries, usage
 from metricledger.session import new_table_path
 from metricledger.sources import catalog_feeds, query_log, usage_push
 from metricledger.streaming import jobs
@@ -479,6 +479,19 @@ register("query_latency_trends_approx")(_on_log(timeseries.approx_rank_check, FU
 register("query_throughput")(_on_log(timeseries.throughput, FULL))
 register("query_throughput_empty")(_on_log(timeseries.throughput, EMPTY))
 register("query_errors")(_on_log(timeseries.errors_over_time, FULL))
+register("stride_status_distribution")(lambda spark, sf: strides.status_distribution(fx.log_strides(spark, sf), fx.query_log(spark, sf), UNALIGNED))
+register("stride_throughput")(lambda spark, sf: strides.throughput(fx.log_strides(spark, sf), fx.query_log(spark, sf), FULL))
+register("stride_errors")(lambda spark, sf: strides.errors_over_time(fx.log_strides(spark, sf), fx.query_log(spark, sf), UNALIGNED, FINGERPRINT))
+
+
+@register("stride_latency_trends")
+def _stride_latency_trends(spark, sf):
+    """Averages from the stored cells, and whether the p95 of merged sketches keeps its stated rank error."""
+    log = fx.query_log(spark, sf)
+    trends = strides.latency_trends(fx.log_strides(spark, sf), log, UNALIGNED)
+    return trends.select("time", "value").join(timeseries.approx_rank_check(log, UNALIGNED, trends, strides.RANK_ERROR), "time")
+
+
 register("query_time_range_distribution")(_on_log(timeseries.time_range_distribution, FULL))
 register("query_expressions")(_on_log(reads.expressions, FULL))
 register("metric_query_performance")(_on_metrics(reads.metric_query_performance, METRIC, FULL))
@@ -553,6 +566,7 @@ def _dashboards_count_by_metric(spark, sf):
 
 
 register("query_count_by_metric")(_on_log(summary.query_counts, MIDDLE))
+register("query_count_by_metric_daily")(lambda spark, sf: summary.query_counts(fx.query_log(spark, sf), UNALIGNED, fx.daily_counts(spark, sf)))
 
 
 @register("usage_summary")
