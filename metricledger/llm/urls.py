@@ -8,7 +8,7 @@ block at once. Of the globs that match, the one with the highest priority decide
 
 * Null URLs and such without ``://``: host and path are empty, no rule fits, the default verdict holds.
 * Hosts are compared with A-Z in lower case; paths as they are.
-* Very long URLs are stepped with others of their length only.
+* Very long URLs are stepped in blocks of few: a block holds at most ``BLOCK_BYTES`` padded bytes, or one URL.
 * Rows are kept one to one, repeated ones as well. An empty table gives an empty result.
 """
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: URLs stepped together, after sorting a batch by length.
-BLOCK = 2_048
+#: URLs stepped together, after sorting a batch by length, and the bytes that they take when padded to the longest.
+BLOCK, BLOCK_BYTES = 2_048, 1 << 22
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,6 +59,18 @@ RULES = (
 )
 
 
+def blocks(lengths: Sequence[int]) -> Iterator[list[int]]:
+    """Places of the lengths in blocks of similar ones, shortest first."""
+    held: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if held and (len(held) == BLOCK or (len(held) + 1) * lengths[i] > BLOCK_BYTES):
+            yield held
+            held = []
+        held.append(i)
+    if held:
+        yield held
+
+
 class Automaton:
     """Masks of all globs. ``loops[b]`` holds the positions that may stay on byte ``b``, ``moves[b]`` those entered by it."""
 
@@ -112,9 +124,7 @@ class Automaton:
         out = np.zeros((len(urls), len(self.last)), bool)
         if not self.last:
             return out
-        order = sorted(range(len(urls)), key=lambda i: len(urls[i]))
-        for i in range(0, len(order), BLOCK):
-            block = order[i : i + BLOCK]
+        for block in blocks([len(u) for u in urls]):
             out[block] = self._block([urls[j] for j in block])
         return out
 

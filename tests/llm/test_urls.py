@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +71,24 @@ def test_long_urls_and_other_rules(spark):
     assert got[:2] == [(1, "long", "block")] * 2 and got[2] == (2, None, "allow")
     assert {r.verdict for r in urls.judge(pages, [], default="block").collect()} == {"block"}
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_one_long_url_takes_bounded_memory():
+    """Among many short ones, a URL of 200 KB is stepped by itself: peak below 32 MB, result as for the short ones alone."""
+    short = [f".h{i}.example.net/en/{i}".encode() for i in range(2_047)]
+    automaton = urls.Automaton(urls.RULES)
+    want = automaton.match(short)
+    tracemalloc.start()
+    got = automaton.match([*short, b".a.org/fr/" + b"x" * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[:-1] == want).all() and got[-1].tolist() == [r.name == "org/fr/" for r in urls.RULES]
+    assert peak < 32 << 20
+
+
+def test_blocks_hold_every_url_once():
+    lengths = [0, 5_000_000, 3, 3, 1_000_000, 2_000_000, 2_000_000, *range(5_000)]
+    got = list(urls.blocks(lengths))
+    assert sorted(i for block in got for i in block) == list(range(len(lengths)))
+    assert all(len(b) == 1 or len(b) <= urls.BLOCK and len(b) * max(lengths[i] for i in b) <= urls.BLOCK_BYTES for b in got)
+    assert list(urls.blocks([])) == []
