@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
+from metricledger.functions.expr_tools import ntz
 from metricledger.params import PageRequest
 
 DEFAULT_SIZE = 10
@@ -126,3 +128,66 @@ def page_of(
     total = counted if counted is not None else rows.agg(F.count(F.lit(1)).alias("total"))
     counts = total.select(F.col("total"), total_pages(F.col("total"), size).alias("total_pages"))
     return Page(paginate(rows, keys, request.page, request.size, cap), counts, keys, (page - 1) * size)
+
+
+# ---- keyset paging ----------------------------------------------------------------------
+@dataclass(frozen=True)
+class Order:
+    """A total order: one sort column, then ascending ties that make it unique. NULLs come last both ways."""
+
+    first: Column
+    ascending: bool
+    ties: tuple[str, ...]
+
+    @classmethod
+    def of(cls, fields: dict[str, Column], default: str, request: PageRequest, ties: Sequence[str]) -> Order:
+        field = fields.get(request.sort_by.strip(), fields[default])
+        return cls(field, (request.order or "").strip().lower() == "asc", tuple(ties))
+
+    def _parts(self) -> list[tuple[Column, bool]]:
+        return [(self.first, self.ascending), *((F.col(t), True) for t in self.ties)]
+
+    def values(self) -> Column:
+        return F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(self._parts())])
+
+    def keys(self) -> list[Column]:
+        return [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in self._parts()]
+
+    def behind(self, cursor: Sequence) -> Column:
+        """Rows that follow the row whose key values are ``cursor``."""
+        out, same = F.lit(False), F.lit(True)
+        for (column, up), value in zip(self._parts(), cursor, strict=True):
+            at = ntz(value) if isinstance(value, dt.datetime) else F.lit(value)
+            if value is not None:
+                out = out | (same & (((column > at) if up else (column < at)) | column.isNull()))
+            same = same & column.eqNullSafe(at)
+        return out
+
+
+@dataclass
+class Fetched:
+    """A page's rows, the number of all rows, and the cursor of the page behind it; None after the last."""
+
+    rows: list[Row]
+    total: int
+    cursor: tuple | None
+
+
+def keyset_page(rows: DataFrame, order: Order, size: int, after: Sequence | None = None) -> DataFrame:
+    """The first ``size`` rows behind ``after``. Its cost does not grow with the pages before, unlike an offset's."""
+    wanted = rows if after is None else rows.where(order.behind(after))
+    return wanted.orderBy(*order.keys()).limit(size)
+
+
+def fetch_page(rows: DataFrame, order: Order, size: int = DEFAULT_SIZE, after: Sequence | None = None, cap: int = MAX_SIZE) -> Fetched:
+    """Page and total in one pass: rows are counted while they flow into the top-k, so their plan runs once.
+
+    What comes to the driver is bounded by the page size.
+    """
+    _, size = clamp_page(1, size, cap)
+    seen = Observation()
+    counted = rows.withColumn("_key", order.values()).observe(seen, F.count(F.lit(1)).alias("total"))
+    got = keyset_page(counted, order, size + 1, after).collect()
+    page, more = got[:size], len(got) > size
+    names = rows.columns
+    return Fetched([Row(**{n: r[n] for n in names}) for r in page], seen.get["total"], tuple(page[-1]["_key"]) if more else None)

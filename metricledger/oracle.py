@@ -443,6 +443,9 @@ def oracle_sql() -> dict[str, str]:
     q["stride_latency_trends"] = f"SELECT *, TRUE AS rank_within_bound FROM ({_series_sql(reg.UNALIGNED, '1 hour', {'value': _LATENCY['value']})})"
     q["query_time_range_distribution"] = _with([_EV, _LOG, _RANGES], "SELECT label, count, percent FROM dist")
     q["query_expressions"] = _with([_EV, _LOG, _EXPRESSIONS], "SELECT * FROM expr")
+    q["query_expressions_keyset"] = _with(
+        [_EV, _LOG, _EXPRESSIONS], "SELECT *, (SELECT count(*) FROM expr) AS total FROM expr ORDER BY executions DESC, fingerprint LIMIT 10 OFFSET 10"
+    )
     q["query_executions"] = _log(
         "SELECT query_id, ts, status_code, duration_ms, total_queryable_samples AS samples, type, coalesce(step, 0.0) AS steps, "
         f"'user-agent=' || user_agent AS http_headers, start_ts, end_ts FROM log WHERE {_between(full)} AND m1 = '{metric}' "

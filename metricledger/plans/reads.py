@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricledger.functions.expr_tools import percent
 from metricledger.operators import filters as flt
-from metricledger.operators.paging import Page, page_of
+from metricledger.operators.paging import Fetched, Order, Page, fetch_page, page_of
 from metricledger.params import PageRequest, TimeRange
 
 
@@ -130,6 +130,15 @@ def query_expressions(log: DataFrame, tr: TimeRange, request: PageRequest = Page
     return page_of(rows, request, _columns(EXPRESSION_SORTS), "executions", ["fingerprint"])
 
 
+def expression_order(request: PageRequest = PageRequest()) -> Order:
+    return Order.of(_columns(EXPRESSION_SORTS), "executions", request, ["fingerprint"])
+
+
+def fetch_expressions(log: DataFrame, tr: TimeRange, request: PageRequest = PageRequest(), after: tuple | None = None) -> Fetched:
+    """One page of :func:`expressions` and their total in one pass over the log; ``after`` is the cursor of the page before."""
+    return fetch_page(expressions(log, tr, request.filter), expression_order(request), request.size, after)
+
+
 def _in_window(log: DataFrame, tr: TimeRange | None) -> DataFrame:
     return log if tr is None else flt.time_filter(log, tr)
 

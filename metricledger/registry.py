@@ -494,6 +494,16 @@ def _stride_latency_trends(spark, sf):
 
 register("query_time_range_distribution")(_on_log(timeseries.time_range_distribution, FULL))
 register("query_expressions")(_on_log(reads.expressions, FULL))
+
+
+@register("query_expressions_keyset")
+def _query_expressions_keyset(spark, sf):
+    """The page behind the cursor of the first page, with the total that came along with the first."""
+    log = fx.query_log(spark, sf)
+    first = reads.fetch_expressions(log, FULL)
+    return paging.keyset_page(reads.expressions(log, FULL), reads.expression_order(), 10, first.cursor).withColumn("total", F.lit(first.total).cast("long"))
+
+
 register("metric_query_performance")(_on_metrics(reads.metric_query_performance, METRIC, FULL))
 register("latest_query_text")(_on_log(reads.latest_text, MIDDLE))
 
