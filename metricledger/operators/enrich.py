@@ -32,13 +32,18 @@ def _described(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_d", _describe(key, column))
 
 
+def distinct_texts(log: DataFrame) -> DataFrame:
+    """The texts of a log, each once; a missing text counts as the empty one."""
+    return log.select(F.coalesce(F.col("query_param"), F.lit("")).alias("query_param")).distinct()
+
+
 def expression_dictionary(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per distinct text with its identity, with and without ranges, and its matchers.
 
     Identities never change, so with a ``known`` dictionary only new texts are worked out and
     returned; the whole dictionary is the union of both.
     """
-    texts = log.select(F.coalesce(F.col("query_param"), F.lit("")).alias("query_param")).distinct()
+    texts = distinct_texts(log)
     if known is not None:
         texts = texts.join(known.select("query_param"), "query_param", "left_anti")
     # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe.

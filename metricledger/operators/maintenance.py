@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,16 @@ def retention_report(log: DataFrame, cutoff: dt.datetime) -> DataFrame:
     return log.agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("kept"))
 
 
-def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
+def apply_retention(spark: SparkSession, path: str, cutoff: dt.datetime, parts: Sequence[str] | None = None) -> int:
     """Delete rows before ``cutoff`` from a log partitioned by day (and batch); returns how many.
 
+    ``parts`` names the folders; by default the log has some for the batch if it has such a column.
+
     Days before the cutoff's go as whole folders, counted without reading a column. Only the cutoff's own day is read and
     rewritten, as a dynamic partition overwrite, whose new files replace the old ones at commit.
     """
     log = spark.read.parquet(path)
-    parts = [c for c in ("dt", "batch_id") if c in log.columns]
+    parts = list(parts or [c for c in ("dt", "batch_id") if c in log.columns])
     day = F.lit(cutoff.date())
     # one row a day, and one a batch of the cutoff's day
     days = log.where(F.col("dt") < day).groupBy("dt").count().collect()

@@ -623,6 +623,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {_PUSHED.replace('coalesce(step, 0.0)', '''CASE WHEN type = 'range' THEN 15.0 ELSE 0.0 END::DOUBLE''')}, fingerprint "
         f"FROM log WHERE {wrong} IS NULL"
     )
+    q["stream_closed_days"] = q["stream_query_ingest"]
+    narrow = "query_param, fingerprint, type, duration_ms, status_code, total_queryable_samples, peak_samples"
+    q["stream_metric_log"] = _log(
+        f"SELECT m1 AS metric, TRUE AS is_first, {narrow} FROM log WHERE {wrong} IS NULL AND canonical <> '' "
+        f"UNION ALL SELECT m2, FALSE, {narrow} FROM log WHERE {wrong} IS NULL AND tpl = 6 AND m2 <> m1"
+    )
     q["stream_query_rejects"] = _log(f"SELECT coalesce({wrong}, 'none') AS error, count(*) AS records FROM log GROUP BY 1")
     q["stream_bucket_rollup"] = _log(
         "SELECT date_trunc('hour', ts) AS time, count(*) AS total, "

@@ -24,7 +24,7 @@ from metricledger.params import PageRequest, TimeRange
 from metricledger.plans import inventory, metadata, reads, strides, summary, timeseries, usage
 from metricledger.session import new_table_path
 from metricledger.sources import catalog_feeds, query_log, usage_push
-from metricledger.streaming import jobs
+from metricledger.streaming import jobs, log_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -781,11 +781,17 @@ def _stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(fx.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def _ingest(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Runs the ingest stream over the pushed bodies to its end; the folders it wrote."""
+    at = {n: new_table_path(spark, f"stream_{n}") for n in ("push", "log", "ckpt", "rejects", "words", "metrics", "closed")}
+    _push_bodies(spark, sf).write.text(at["push"])
+    jobs.stream_query_log(spark, at["push"], at["log"], at["ckpt"], at["rejects"], at["words"], metrics=at["metrics"]).awaitTermination()
+    return at
+
+
 def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    source, target, checkpoint, rejects, words = (new_table_path(spark, f"stream_{n}") for n in ("push", "log", "ckpt", "rejects", "words"))
-    _push_bodies(spark, sf).write.text(source)
-    jobs.stream_query_log(spark, source, target, checkpoint, rejects, words).awaitTermination()
-    return query_log.read_query_log(spark, target), spark.read.schema(jobs.REJECTS).parquet(rejects)
+    at = _ingest(spark, sf)
+    return query_log.read_query_log(spark, at["log"]), spark.read.schema(jobs.REJECTS).parquet(at["rejects"])
 
 
 @register("stream_query_ingest")
@@ -793,6 +799,20 @@ def _stream_query_ingest(spark, sf):
     return _ingested(spark, sf)[0].select(*_PUSHED, "fingerprint")
 
 
+@register("stream_metric_log")
+def _stream_metric_log(spark, sf):
+    """The metric log that the stream writes beside the log; keys and times of receipt are its own."""
+    return spark.read.parquet(_ingest(spark, sf)["metrics"]).select("metric", "is_first", *[c for c in enrich.METRIC_LOG if c not in ("query_id", "ts")])
+
+
+@register("stream_closed_days")
+def _stream_closed_days(spark, sf):
+    """The streamed log once its days are closed, read through both tables."""
+    at = _ingest(spark, sf)
+    log_days.close_finished(spark, at["log"], f"{at['closed']}/log", dt.date.max)
+    return log_days.read_streamed(spark, at["log"], f"{at['closed']}/log").select(*_PUSHED, "fingerprint")
+
+
 @register("stream_query_rejects")
 def _stream_query_rejects(spark, sf):
     """Refused records by reason, and how many records came in."""

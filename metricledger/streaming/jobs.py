@@ -16,7 +16,9 @@ from metricledger.functions.scalars import from_epoch_seconds
 from metricledger.operators import enrich, otlp, upserts
 from metricledger.operators.validate import check_queries
 from metricledger.plans.inventory import Snapshot, Tables
+from metricledger.sources.dictionary_runs import DictionaryRuns
 from metricledger.sources.query_log import identity_bloom, parse_query_push, utc_now
+from metricledger.streaming import log_days
 
 LOG_COLUMNS = [name for name in schemas.QUERY_LOG.names if name != "dt"]
 
@@ -38,37 +40,53 @@ def stream_query_log(
     dictionary: str,
     max_files: int = 1_000,
     trigger: dict | None = None,
+    metrics: str | None = None,
+    closed: str | None = None,
+    keep: dt.timedelta | None = None,
 ) -> StreamingQuery:
     """Pushed JSON files -> validated, enriched log, partitioned by day and batch; what is refused goes to ``rejects``.
 
     The time of receipt is a column of the streaming plan, so Spark fixes it for a batch and repeats it with the batch. Log,
     rejects and new dictionary rows overwrite the folders of their batch: a repeated batch, on whatever
-    day, leaves no duplicates. The known dictionary is read first, so only new texts are described. Records of log and
-    rejects add up to the input. The source limits how much a batch takes; nothing is dropped when input is faster.
+    day, leaves no duplicates. The dictionary (:class:`DictionaryRuns`) is asked for the batch's texts first, so only new texts are
+    described. Records of log and rejects add up to the input. The source limits how much a batch takes; nothing is dropped
+    when input is faster. ``metrics`` is a folder for the metric log of the same records. With ``closed``, a batch also closes the
+    days before its own (:mod:`log_days`), in ``closed/log`` and ``closed/metrics``, and ``keep`` deletes what is older than that.
+    A dictionary belongs to the checkpoint it was begun with.
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(source)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), utc_now().alias("received"))
-    words = enrich.expression_dictionary(spark.createDataFrame([], "query_param string")).withColumn("batch_id", F.lit(-1).cast("long"))
-    words.write.mode("ignore").partitionBy("batch_id").parquet(dictionary)  # so that it can be read from the first batch on
-    schema = words.schema
+    words = DictionaryRuns(spark, dictionary)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("line", F.monotonically_increasing_id())
         parsed = parse_query_push(placed, received=F.col("received"))
         checked = check_queries(parsed.withColumnRenamed("error", "refused"), F.col("received"))
         checked = checked.withColumns({"error": F.coalesce("refused", "error"), "dt": F.to_date("received"), "batch_id": F.lit(batch_id).cast("long")}).persist()
+        held = [checked]
         try:
             valid = checked.where("error IS NULL")
-            known = spark.read.schema(schema).parquet(dictionary).where(F.col("batch_id") != batch_id)
-            fresh = enrich.expression_dictionary(valid, known).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            _replace(fresh, dictionary, ["batch_id"])
-            every = spark.read.schema(schema).parquet(dictionary)
+            words.settle(batch_id)
+            found = words.known(enrich.distinct_texts(valid), batch_id).persist()
+            held.append(found)
+            fresh = words.add(enrich.expression_dictionary(found.where("part IS NULL")), batch_id)
+            every = found.where("part IS NOT NULL").drop("part").unionByName(fresh)
             key = F.xxhash64("file", "batch_id", "line", "position").alias("query_id")
-            named = enrich.enrich(valid.withColumn("query_id", key), every).select(*LOG_COLUMNS, "dt", "batch_id")
+            named = enrich.enrich(valid.withColumn("query_id", key), every).select(*LOG_COLUMNS, "dt", "batch_id").persist()
+            held.append(named)
             _replace(named.sortWithinPartitions("ts"), target, ["dt", "batch_id"], identity_bloom())
+            if metrics:
+                rows = enrich.metric_log(named).withColumns({"dt": F.to_date("ts"), "batch_id": F.lit(batch_id).cast("long")})
+                _replace(rows.sortWithinPartitions("metric", "ts"), metrics, ["dt", "batch_id"])
             _replace(checked.where("error IS NOT NULL").select(*REJECTED), rejects, ["dt", "batch_id"])
+            today = checked.agg(F.max("dt")).first()[0] if closed else None
+            if today:
+                log_days.close_finished(spark, target, f"{closed}/log", today, keep=keep)
+                if metrics:
+                    log_days.close_finished(spark, metrics, f"{closed}/metrics", today, ("metric", "ts"), keep)
         finally:
-            checked.unpersist()
+            for rows in held:
+                rows.unpersist()
 
     return _start(lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 
@@ -79,12 +97,6 @@ def _replace(rows: DataFrame, path: str, parts: list[str], options: dict[str, st
     writer.partitionBy(*parts).parquet(path)
 
 
-def close_day(spark: SparkSession, streamed: str, log: str, day: dt.date) -> None:
-    """Moves a finished day's batches into the log as few sorted files. Run again, it gives the same result."""
-    rows = spark.read.parquet(streamed).where(F.col("dt") == F.lit(day)).select(*LOG_COLUMNS, "dt")
-    _replace(rows.hint("rebalance").sortWithinPartitions("ts"), log, ["dt"], identity_bloom())
-
-
 def stream_rollup(stream: DataFrame, stride: dt.timedelta, delay: dt.timedelta | None = None) -> DataFrame:
     """Per-bucket counts of a log stream: total, success, errors, duration sum.
 

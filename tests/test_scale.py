@@ -13,7 +13,7 @@ from metricledger.plans import reads, timeseries
 from tests.conftest import BASE, plan_of
 
 # Jobs that write or stream before they return; their plans only read the result.
-JOBS = {"stream_query_rejects", "stream_drop_unused", "safe_order_by", "inventory_sync", "retention_delete", "stream_query_ingest", "stream_bucket_rollup", "stream_catalog_sync"}
+JOBS = {"stream_query_rejects", "stream_drop_unused", "safe_order_by", "inventory_sync", "retention_delete", "stream_query_ingest", "stream_bucket_rollup", "stream_catalog_sync", "stream_metric_log", "stream_closed_days"}
 LOG_READS = [
     "query_status_distribution",
     "query_latency_trends",
