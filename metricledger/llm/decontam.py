@@ -24,10 +24,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,6 +188,12 @@ class Benchmark:
                     yield sized.items[item], at, size, int(np.bitwise_count(prints[window] ^ sized.prints[item]).sum()), similarity
 
 
+@lru_cache(maxsize=1)
+def index_of(sent: Broadcast) -> Benchmark:
+    """One for each Python worker, which serves many tasks: a worker keeps one object for a broadcast."""
+    return Benchmark(sent.value)
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
     items = texts(benchmark, item, text).where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -213,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Benchmark(sent.value)
+            known = index_of(sent)
 
             def rows() -> Iterator[tuple]:
                 for b in batches:

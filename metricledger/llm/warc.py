@@ -1,13 +1,15 @@
 """WARC archives as a chunked record table.
 
-Writing: a payload is taken in chunks. Each chunk becomes a segment record of its own (``WARC-Segment-Number``,
+Writing: a payload is cut into rows of one chunk each before it leaves the JVM. Each chunk becomes a segment record of its own (``WARC-Segment-Number``,
 ``continuation`` records as in the WARC standard), that carries the SHA-256 of the payload up to its end. So a
 record, as a row, is never longer than a chunk and its headers. Spark's text writer puts the rows into gzip files, on whatever
 file system the path names; a task that is lost is written again by Spark's commit protocol.
 
-Reading: an archive is inflated piece by piece, and each segment comes out as one row (record identifier, chunk number). The
+Reading: Spark's text reader inflates a gzip archive as a stream and hands on its lines (a line ends with CR LF, so none is longer than a
+chunk and a header); lines become records again, and each segment comes out as one row (record identifier, chunk number). The
 digest runs on over the segments of a record and is held against what each segment carries; the last
-row of a record has the digest and the length of the whole payload. No step holds a whole payload.
+row of a record has the digest and the length of the whole payload. No step holds a whole archive. A whole payload is held only
+by the row of the input that brings it, and once more while that row is cut.
 
 Of the rows with equal payloads of at least ``least`` bytes, those with the smallest page_id are ``response`` records; the others
 are ``revisit`` records that name it and hold no payload. Payloads are compared by length and SHA-256.
@@ -21,13 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricledger.functions.expr_tools import bind
 from metricledger.llm.common import batches_from, rows_of, written
 from metricledger.session import new_table_path
 
@@ -35,12 +37,11 @@ from metricledger.session import new_table_path
 CHUNK_BYTES = 64 * 1024
 #: Payloads from this length on can be revisited.
 LEAST_BYTES = 100
-#: Bytes taken from a compressed archive, and inflated from it, at once.
-STEP_BYTES = 256 * 1024
 #: The date in all records: results do not depend on when they are made.
 DATE = "2024-01-01T00:00:00Z"
 #: Rows of chunks handed to the JVM at once.
 CHUNK_ROWS = 64
+_CRLF = "\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 CHUNKS = pa.schema(
@@ -88,102 +89,90 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n"  # the writer adds the last line end
 
 
-def _segments(page_id: int | None, url: str | None, payload: memoryview, digest: str, size: int, kind: str, refers_to: int | None, chunk: int) -> Iterator[bytes]:
-    head = [("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").splitlines())), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Page-ID", page_id)]
-    if kind == "revisit":
-        refers = [("WARC-Refers-To", record_id(refers_to)), ("Refers-To-Page", refers_to), ("Payload-Length", size)]
-        yield _record([("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), *head, *refers], b"")
-        return
-    running, pieces = hashlib.sha256(), max(1, -(-len(payload) // chunk))
-    for i in range(pieces):
-        part = payload[i * chunk : (i + 1) * chunk]
+def chunk_rows(records: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """The planned records, a row for each chunk of a payload: ``segment`` of ``segments``, and its bytes as ``part``."""
+
+    def cut(payload: Column) -> Column:
+        last = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / chunk).cast("int"))
+        return F.transform(
+            F.sequence(F.lit(1), last),
+            lambda i: F.struct(i.alias("segment"), last.alias("segments"), F.substring(payload, (i - 1) * chunk + 1, F.lit(chunk)).alias("part")),
+        )
+
+    names = ("page_id", "url", "digest", "payload_bytes", "record_type", "refers_to")
+    # cut before rows are multiplied, from a payload worked out once: else every chunk would copy the whole payload
+    return records.select(*names, F.inline(bind(F.col("payload"), cut)))
+
+
+def _segments(rows: Iterable[tuple]) -> Iterator[bytes]:
+    """The records of chunk rows, in which the chunks of a payload follow one another."""
+    running = hashlib.sha256()
+    for page_id, url, digest, size, kind, refers_to, segment, segments, part in rows:
+        head = [("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").splitlines())), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Page-ID", page_id)]
+        if kind == "revisit":
+            refers = [("WARC-Refers-To", record_id(refers_to)), ("Refers-To-Page", refers_to), ("Payload-Length", size)]
+            yield _record([("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), *head, *refers], b"")
+            continue
+        first = segment == 1
+        if first:
+            running = hashlib.sha256()
         running.update(part)
-        names = [("WARC-Type", "continuation" if i else kind), ("WARC-Record-ID", record_id(page_id, i + 1)), *head]
-        if pieces > 1:
-            names += [("WARC-Segment-Number", i + 1)]
-        if i:
+        names = [("WARC-Type", kind if first else "continuation"), ("WARC-Record-ID", record_id(page_id, segment)), *head]
+        if segments > 1:
+            names += [("WARC-Segment-Number", segment)]
+        if not first:
             names += [("WARC-Segment-Origin-ID", record_id(page_id))]
-        if i and i + 1 == pieces:
-            names += [("WARC-Segment-Total-Length", len(_HTTP) + len(payload))]
-        names += [("Segments", pieces), ("Digest-So-Far", running.hexdigest()), ("Content-Type", "application/http;msgtype=response")]
-        yield _record(names, (b"" if i else _HTTP) + bytes(part))
+            if segment == segments:
+                names += [("WARC-Segment-Total-Length", len(_HTTP) + size)]
+        names += [("Segments", segments), ("Digest-So-Far", running.hexdigest()), ("Content-Type", "application/http;msgtype=response")]
+        yield _record(names, (_HTTP if first else b"") + part)
 
 
 def write_archives(records: DataFrame, path: str, chunk: int = CHUNK_BYTES) -> None:
     """One gzip archive for each task's records. The segments of a record stand one after another."""
 
+    names = ("page_id", "url", "digest", "payload_bytes", "record_type", "refers_to", "segment", "segments", "part")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                payloads = b.column(b.schema.get_field_index("payload"))
-                for i, x in enumerate(rows_of(b, "page_id", "url", "digest", "payload_bytes", "record_type", "refers_to")):
-                    page_id, url, digest, size, kind, refers_to = x
-                    for record in _segments(page_id, url, memoryview(payloads[i].as_buffer()), digest, size, kind, refers_to, chunk):
-                        yield (record,)
-
-        yield from batches_from(rows(), pa.schema([("value", pa.binary())]), CHUNK_ROWS)
-
-    records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
-
-
-class _Source:
-    """Takes a gzip archive piece by piece; ``read`` and ``line`` give what comes next."""
-
-    def __init__(self, packed: memoryview) -> None:
-        self.packed, self.at, self.inflate, self.held = packed, 0, zlib.decompressobj(31), bytearray()
-
-    def _more(self) -> bool:
-        while True:
-            if self.inflate.unconsumed_tail:
-                got = self.inflate.decompress(self.inflate.unconsumed_tail, STEP_BYTES)
-            elif self.inflate.eof and self.inflate.unused_data:
-                rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
-                got = self.inflate.decompress(rest, STEP_BYTES)
-            elif self.at < len(self.packed):
-                if self.inflate.eof:
-                    self.inflate = zlib.decompressobj(31)
-                got = self.inflate.decompress(self.packed[self.at : self.at + STEP_BYTES], STEP_BYTES)
-                self.at += STEP_BYTES
-            else:
-                got = self.inflate.flush()
-                self.held += got
-                return bool(got)
-            if got:
-                self.held += got
-                return True
-
-    def headers(self) -> dict[str, str] | None:
-        """Of the next record; None at the end."""
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
-            if not self._more():
-                if self.held.strip():
-                    raise ValueError("the archive ends within a header")
-                return None
-        lines = self.held[:end].decode().split("\r\n")
-        del self.held[: end + 4]
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record: {lines[0][:80]!r}")
-        return dict(line.split(": ", 1) for line in lines[1:])
-
-    def read(self, n: int) -> bytes:
-        while len(self.held) < n:
-            if not self._more():
-                raise ValueError("the archive ends within a block")
-        out = bytes(self.held[:n])
-        del self.held[:n]
-        return out
+        rows = (row for b in batches for row in rows_of(b, *names))
+        yield from batches_from(((record,) for record in _segments(rows)), pa.schema([("value", pa.binary())]), CHUNK_ROWS)
+
+    lines = chunk_rows(records, chunk).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", _CRLF).option("compression", "gzip").text(path)
+
+
+def _records(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record in the lines of archives."""
+    for line in lines:
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:80]!r}")
+        headers: dict[str, str] = {}
+        while (line := _next(lines, "a header")) != b"":
+            name, _, value = line.decode().partition(": ")
+            headers[name] = value
+        length = int(headers["Content-Length"])
+        block = bytearray(_next(lines, "a block"))
+        while len(block) < length:  # line ends of the block itself
+            block += b"\r\n" + _next(lines, "a block")
+        if len(block) != length or _next(lines, "a record") != b"":
+            raise ValueError("a record does not end with two line ends")
+        yield headers, bytes(block)
+
+
+def _next(lines: Iterator[bytes], where: str) -> bytes:
+    try:
+        return next(lines)
+    except StopIteration:
+        raise ValueError(f"the archive ends within {where}") from None
 
 
 def _whole(text: str) -> int | None:
     return int(text) if text else None
 
 
-def _chunks(packed: memoryview, with_payload: bool) -> Iterator[tuple]:
-    source, running, seen, first = _Source(packed), hashlib.sha256(), 0, {}
-    while (h := source.headers()) is not None:
-        block = source.read(int(h["Content-Length"]))
-        if source.read(4) != b"\r\n\r\n":
-            raise ValueError("a record does not end with two line ends")
+def _chunks(lines: Iterator[bytes], with_payload: bool) -> Iterator[tuple]:
+    running, seen, first = hashlib.sha256(), 0, {}
+    for h, block in _records(lines):
         page, declared = _whole(h["Page-ID"]), h["WARC-Payload-Digest"].removeprefix("sha256:")
         if h["WARC-Type"] == "revisit":
             yield h["WARC-Record-ID"], page, h["WARC-Target-URI"], "revisit", _whole(h["Refers-To-Page"]), 0, True, int(h["Payload-Length"]), declared, None
@@ -203,14 +192,14 @@ def _chunks(packed: memoryview, with_payload: bool) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The chunked record table of all archives under the path."""
+    """The chunked record table of all gzip archives under the path. An archive is read by one task, in order, as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                yield from batches_from(_chunks(memoryview(content.as_buffer()), with_payload), CHUNKS, CHUNK_ROWS if with_payload else 4_096)
+        lines = (line for b in batches for (line,) in rows_of(b, "line"))
+        yield from batches_from(_chunks(lines, with_payload), CHUNKS, CHUNK_ROWS if with_payload else 4_096)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _CHUNKS_DDL)
+    lines = spark.read.schema("value string").option("lineSep", _CRLF).text(path)
+    return lines.select(F.col("value").cast("binary").alias("line")).mapInArrow(run, _CHUNKS_DDL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

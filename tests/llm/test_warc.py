@@ -1,6 +1,10 @@
 import gzip
 import hashlib
 import os
+import random
+
+import pytest
+from pyspark.errors import PySparkException
 
 from metricledger.llm import warc
 
@@ -63,15 +67,46 @@ def test_archives_are_warc(spark, tmp_path):
     assert data.count(b"WARC-Type: continuation") == 3 and data.count(b"WARC-Segment-Total-Length") == 1
 
 
-def test_damage_is_noticed():
-    record = next(warc._segments(1, "u", memoryview(b"payload"), hashlib.sha256(b"payload").hexdigest(), 7, "response", None, 100)) + b"\r\n"
-    assert list(warc._chunks(memoryview(gzip.compress(record) + gzip.compress(record)), True))[1][-1] == b"payload"
-    for bad in (record.replace(b"payload", b"paxload"), record[:-20]):
-        try:
-            list(warc._chunks(memoryview(gzip.compress(bad)), True))
-        except ValueError:
-            continue
-        raise AssertionError("damage went unnoticed")
+def test_damage_is_noticed(spark, tmp_path):
+    row = (1, "u", hashlib.sha256(b"payload").hexdigest(), 7, "response", None, 1, 1, b"payload")
+    record = next(warc._segments([row])) + b"\r\n"
+
+    def read(name, *members):
+        (tmp_path / name).write_bytes(b"".join(gzip.compress(m) for m in members))
+        return warc.read_archives(spark, str(tmp_path / name)).collect()
+
+    assert [r.payload for r in read("good.warc.gz", record, record)] == [b"payload", b"payload"]  # members of one archive
+    for i, bad in enumerate((record.replace(b"payload", b"paxload"), record[:-20], record + b"x", record[:40], record.replace(b"Length: ", b"Length: 1"))):
+        with pytest.raises(PySparkException, match="ValueError"):
+            read(f"bad{i}.warc.gz", bad)
+
+
+def test_line_ends_within_payloads(spark, tmp_path):
+    """Line ends, halves of them and chunks cut within characters come back byte by byte, across the reader's own buffers too."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices(["\r", "\n", "\r\n", "é", "x"], k=n)) for n in (1, 2, 3, 5, 8, 40, 300, 150_000)] + ["\r\n", "\r\n\r\n", "\r", "\n"]
+    rows = [(i, f"u{i}", t) for i, t in enumerate(texts)]
+    for chunk in (2, 4_097, warc.CHUNK_BYTES):
+        path = str(tmp_path / f"warc{chunk}")
+        own = rows if chunk > 2 else [r for r in rows if len(r[2]) < 1_000]
+        warc.write_archives(warc.plan_records(pages_of(spark, own)), path, chunk=chunk)
+        payloads = {}
+        for r in sorted(warc.read_archives(spark, path).collect(), key=lambda r: r.chunk_no):
+            payloads[r.page_id] = payloads.get(r.page_id, b"") + r.payload
+        assert payloads == {i: t.encode() for i, _, t in own}
+
+
+def test_a_large_page_leaves_the_jvm_in_chunks(spark, tmp_path):
+    """Neither side hands Python a whole payload or a whole archive."""
+    size = 100 << 20
+    page = spark.range(1).selectExpr("id AS page_id", "'u' AS url", f"repeat('0123456789abcdef', {size // 16}) AS html")
+    page.write.parquet(str(tmp_path / "page"))
+    page = spark.read.parquet(str(tmp_path / "page"))
+    rows = warc.chunk_rows(warc.plan_records(page))
+    assert rows.selectExpr("max(octet_length(part))", "count(*)").first() == (warc.CHUNK_BYTES, size // warc.CHUNK_BYTES)
+    last = warc.round_trip(page).where("is_last").first()
+    assert (last.bytes_so_far, last.chunk_no) == (size, size // warc.CHUNK_BYTES - 1)
+    assert last.digest_so_far == hashlib.sha256(b"0123456789abcdef" * (size // 16)).hexdigest()
 
 
 def test_empty_table(spark):
