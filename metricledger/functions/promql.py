@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metricledger.functions.expr_tools import bind, split_keep
+from metricledger.functions.patterns import empty_match
 
 # ---- fixed values: PromQL vocabulary -------------------------------------------------
 GROUPING_WORDS = ("by", "without")
@@ -234,7 +235,10 @@ def _string_at(mark: Column, tokens: Column) -> Column:
 
 
 def _selector_parts(segment: Column, tokens: Column) -> Column:
-    """Matchers of one selector, in text order: array<struct<label, op, value>>."""
+    """Matchers of one selector, in text order: array<struct<label, op, value, bare, empty>>.
+
+    ``empty`` tells whether the value or pattern matches the empty text (``e``), does not (``a``), or is no pattern (``!``).
+    """
     name = F.regexp_extract(segment, rf"^({_NAME})", 1)
     inside = F.regexp_extract(segment, r"\{ ([^{}]*)\}", 1)
 
@@ -242,23 +246,28 @@ def _selector_parts(segment: Column, tokens: Column) -> Column:
         label = F.regexp_extract(item, rf"^({_LABEL}|⟨s\d+⟩)(?: |$)", 1)
         quoted = F.coalesce(_unquote(_string_at(label, tokens)), label)
         op = F.regexp_extract(item, rf" ({_MATCH_OP}) ", 1)
-        value = _unquote(_string_at(F.regexp_extract(item, r"(⟨s\d+⟩)$", 1), tokens))
-        return F.struct(
-            F.when(op == "", F.lit("__name__")).otherwise(quoted).alias("label"),
-            F.when(op == "", F.lit("=")).otherwise(op).alias("op"),
-            F.coalesce(value, F.lit("")).alias("value"),
-            (op == "").alias("bare"),
-        )
+        text = F.coalesce(_unquote(_string_at(F.regexp_extract(item, r"(⟨s\d+⟩)$", 1), tokens)), F.lit(""))
+
+        def with_value(value: Column) -> Column:
+            return F.struct(
+                F.when(op == "", F.lit("__name__")).otherwise(quoted).alias("label"),
+                F.when(op == "", F.lit("=")).otherwise(op).alias("op"),
+                value.alias("value"),
+                (op == "").alias("bare"),
+                F.when(op.isin("=~", "!~"), empty_match(value)).when(value == "", F.lit("e")).otherwise(F.lit("a")).alias("empty"),
+            )
+
+        return bind(text, with_value)
 
     items = F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
     named = F.when(
         name != "",
         F.array(
             F.struct(
-                F.lit("__name__").alias("label"), F.lit("=").alias("op"), name.alias("value"), F.lit(True).alias("bare")
+                F.lit("__name__").alias("label"), F.lit("=").alias("op"), name.alias("value"), F.lit(True).alias("bare"), F.lit("a").alias("empty")
             )
         ),
-    ).otherwise(F.array().cast("array<struct<label:string,op:string,value:string,bare:boolean>>"))
+    ).otherwise(F.array().cast("array<struct<label:string,op:string,value:string,bare:boolean,empty:string>>"))
     return F.concat(F.transform(items, matcher), named)
 
 
@@ -271,14 +280,9 @@ def _selector_ok(segment: Column, matchers: Column) -> Column:
         (names == 1) & F.exists(matchers, lambda m: (m.label == "__name__") & (m.op == "=") & ~m.bare)
     )
     # At least one matcher has to exclude the empty string.
-    selective = F.exists(
-        matchers,
-        lambda m: ((m.op == "=") & (m.value != ""))
-        | ((m.op == "!=") & (m.value == ""))
-        | ((m.op == "=~") & ~m.value.isin("", ".*"))
-        | ((m.op == "!~") & m.value.isin("", ".*")),
-    )
-    return shaped & ~twice & selective
+    selective = F.exists(matchers, lambda m: (m.empty == "a") == m.op.isin("=", "=~"))
+    patterns = F.forall(matchers, lambda m: m.empty != "!")
+    return shaped & ~twice & selective & patterns
 
 
 def _selector_text(segment: Column, matchers: Column) -> Column:
@@ -354,7 +358,7 @@ _AGGREGATE_CALL = (
     + ")"
 )
 _BINARY_OP = (
-    r"(?:(?:==|!=|<=|>=|<|>)(?: bool)?|and|or|unless|atan2|[-+*/%^])(?: ⟨o\d+:⟩(?: ⟨j\d+:⟩)?)?"
+    r"(?:(?:(?:==|!=|<=|>=|<|>)(?: bool)?|atan2|[-+*/%^])(?: ⟨o\d+:⟩(?: ⟨j\d+:⟩)?)?|(?:and|or|unless)(?: ⟨o\d+:⟩)?)"
 )
 _CHAIN = rf"^(?:[-+] )*+[VN](?: {_BINARY_OP} (?:[-+] )*+[VN])*+$"
 
@@ -372,14 +376,17 @@ def _by_precedence(chain: Column) -> Column:
     """
     t = F.regexp_replace(chain, r"(?:^|(?<=[^VN] ))(?:[-+] )++", "")  # signs
 
-    def collapse(t: Column, scalars: str, mixed: str) -> Column:
+    def collapse(t: Column, scalars: str, op: str, from_right: bool = False) -> Column:
+        """A matching clause stands between two vectors only."""
         t = F.regexp_replace(t, rf"(?<![^ ])N(?: {scalars} N)*+", "N")
-        t = F.regexp_replace(t, rf"(?<![^ ])V(?: {mixed} [VN])*+", "V")
-        return F.regexp_replace(t, rf"(?<![^ ])N {mixed} V", "V")
+        if from_right:
+            t = F.regexp_replace(t, rf"(?<![^ ])N {op} V", "V")
+        t = F.regexp_replace(t, rf"(?<![^ ])V(?: {op}(?:{_MATCHING} V| N))*+", "V")
+        return F.regexp_replace(t, rf"(?<![^ ])N {op} V", "V")
 
     for op in _ARITHMETIC:
-        t = collapse(t, op, op + _MATCHING)
-    t = collapse(t, _COMPARISON + " bool", _COMPARISON + "(?: bool)?" + _MATCHING)
+        t = collapse(t, op, op, op == _ARITHMETIC[0])
+    t = collapse(t, _COMPARISON + " bool", _COMPARISON + "(?: bool)?")
     for op in ("(?:and|unless)", "or"):
         t = F.regexp_replace(t, rf"(?<![^ ])V(?: {op}{_MATCHING} V)*+", "V")
     return F.when(t.isin("V", "N"), t).otherwise(F.lit("!"))
@@ -404,7 +411,7 @@ def _flat_types(flat: Column) -> Column:
 
     def arg(a: Column) -> Column:
         vector = F.when(a.contains("V"), F.lit("V")).otherwise(F.lit("N"))
-        delicate = a.contains("N") & _matches(a, "[=<>]|and|or|unless")
+        delicate = a.contains("N") & _matches(a, "[=<>⟨]|and|or|unless")
         return (
             F.when(_matches(a, "^[MS]$"), a)
             .when(~_matches(a, _CHAIN), F.lit("!"))

@@ -72,6 +72,15 @@ VALID = [
     "x{a=\"1\",}",
     "quantile_over_time(0.5, x[5m])",
     'label_join(x, "d", ",", "a", "b")',
+    "2 * a * on(x) b",
+    "a * on(x) b * 2 > bool 1",
+    "a ^ on(x) 2 ^ b",
+    "1 + a / on(x) group_left(y) b - 3",
+    "a and on(x) b > 1",
+    '{job=~".+"}',
+    '{job!~".*"}',
+    '{job!~"a?"}',
+    'up{job=~"[a-z]*|x{2,3}?"}',
 ]
 INVALID = GENERATED[2] + [
     "",
@@ -103,6 +112,23 @@ INVALID = GENERATED[2] + [
     '"unclosed',
     "foo[5m",
     "sum(a,b)",
+    "a + on(x) 1",
+    "1 + on(x) a",
+    "1 + ignoring(x) 2",
+    "a * on(x) 2 * b",
+    "a > bool on(x) 1",
+    "a + on(x) group_left(y) 2",
+    "a and on(x) group_left b",
+    "a > 1 or on(x) 2",
+    '{job=~"a*"}',
+    '{job=~"(a|b?)"}',
+    '{job!~"a"}',
+    '{job=~"x|"}',
+    'up{job=~"["}',
+    'up{job=~"("}',
+    'up{job!~"a)"}',
+    'up{job=~"*a"}',
+    'up{job=~"a**"}',
 ]
 
 
