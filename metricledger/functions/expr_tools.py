@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A character that no text to be split holds.
+_CUT = "\u0001"
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
@@ -30,11 +34,20 @@ def percent(part: Column, whole: Column) -> Column:
     return F.round(ratio, 2)
 
 
+def split_at(text: Column, pattern: str) -> Column:
+    """The parts of a text between the matches of ``pattern``.
+
+    ``split`` compiles its pattern for every row unless it is a single plain character, ``regexp_replace`` once: the matches become
+    that character first. The text must not hold it itself.
+    """
+    return F.split(F.regexp_replace(text, pattern, _CUT), _CUT, -1)
+
+
 def split_keep(text: Column, pattern: str, on_match: Callable[[Column, Column], Column]) -> Column:
     """Rewrite every match of ``pattern`` with ``on_match(match, index)``; the rest stays."""
 
     def rewrite(t: Column) -> Column:
-        gaps = F.split(t, pattern, -1)
+        gaps = split_at(t, pattern)
         hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), on_match)
         return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
 

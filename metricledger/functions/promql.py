@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from metricledger.functions.expr_tools import bind, split_keep
+from metricledger.functions.expr_tools import bind, split_at, split_keep
 from metricledger.functions.patterns import empty_match
 
 # ---- fixed values: PromQL vocabulary -------------------------------------------------
@@ -72,7 +72,7 @@ _TOKEN = (
     rf"#[^\n]*|{_STRING}|{_DURATION}(?![A-Za-z0-9_])|(?:{_NUMBER})(?![A-Za-z0-9_])|{_NAME}"
     r"|=~|!~|!=|==|<=|>=|[-+*/%^(){}\[\],@:<>=]|\S"
 )
-_STRAY = r"^[^A-Za-z0-9_:\-+*/%^(){}\[\],@<>=]$"
+_STRAY = r"(?<![^ ])[^A-Za-z0-9_:\-+*/%^(){}\[\],@<>= ](?![^ ])"
 _LIST_WORDS = "|".join(GROUPING_WORDS + MATCHING_WORDS + JOIN_WORDS)
 _ALL_AGGREGATORS = "|".join(name for names in AGGREGATORS.values() for name in names)
 _KEYWORDS = "|".join(SET_OPERATORS + OTHER_WORDS) + "|" + _LIST_WORDS
@@ -103,7 +103,7 @@ def _matches(col: Column, pattern: str) -> Column:
 
 
 def _is_string(token: Column) -> Column:
-    return _matches(token, r'^["\'`]') & (F.length(token) > 1)
+    return F.substring(token, 1, 1).isin('"', "'", "`") & (F.length(token) > 1)
 
 
 # Escapes of one letter.
@@ -113,7 +113,6 @@ _PIECE = r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[0-7]{3}|.)|[^\\
 
 def _unquote(token: Column) -> Column:
     """The text a quoted token stands for: one-letter, hexadecimal, octal and code point escapes."""
-    inner = F.substring(token, F.lit(2), F.length(token) - 2)
 
     def piece(x: Column) -> Column:
         digits = F.substring(x, F.lit(3), F.length(x))
@@ -124,9 +123,12 @@ def _unquote(token: Column) -> Column:
         out = out.when(x.rlike(r"^\\[0-7]{3}"), _character(F.conv(F.substring(x, F.lit(2), F.length(x)), 8, 10)))
         return out.otherwise(F.substring(x, F.lit(2), F.length(x)))
 
-    pieces = F.transform(F.regexp_extract_all(inner, F.lit(f"(?s){_PIECE}"), F.lit(0)), piece)
-    plain = F.when(inner.contains("\\"), F.array_join(pieces, "")).otherwise(inner)
-    return F.when(token.startswith("`"), inner).otherwise(plain)
+    def text(t: Column) -> Column:
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        pieces = F.transform(F.regexp_extract_all(inner, F.lit(f"(?s){_PIECE}"), F.lit(0)), piece)
+        return F.when(t.contains("\\") & ~t.startswith("`"), F.array_join(pieces, "")).otherwise(inner)
+
+    return bind(token, text)
 
 
 def _character(code: Column) -> Column:
@@ -135,9 +137,9 @@ def _character(code: Column) -> Column:
 
 
 def _quote(text: Column) -> Column:
-    escaped = F.regexp_replace(text, r'(["\\])', r"\\$1")
-    escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    for char, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(char), F.lit(shown))
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def _print_duration(token: Column) -> Column:
@@ -190,15 +192,15 @@ def _tokens(text: Column) -> Column:
             in_range = before.isin("[", "offset") | ((before == ":") & after.isin("]"))
             seconds = F.when(_matches(t, r"^\d+$"), F.concat(t, F.lit("s"))).otherwise(t)
             lowered = F.lower(t)
-            word = _matches(lowered, rf"^(?:{_KEYWORDS}|{_ALL_AGGREGATORS})$") & ~F.coalesce(
+            word = lowered.isin(*f"{_KEYWORDS}|{_ALL_AGGREGATORS}".split("|")) & ~F.coalesce(
                 after.isin("=", "!=", "=~", "!~", "{"), F.lit(False)
             )
-            return (
+            figure = (
                 F.when(_matches(t, rf"^{_DURATION}$") | (in_range & _matches(t, r"^\d+$")), _print_duration(seconds))
                 .when(_matches(t, rf"^(?:{_NUMBER})$"), _print_number(t))
-                .when(word, lowered)
                 .otherwise(t)
             )
+            return F.when(F.substring(t, 1, 1).between(".", "9"), figure).when(word, lowered).otherwise(t)
 
         return F.transform(tokens, one)
 
@@ -231,7 +233,15 @@ def _list_items(inside: Column) -> Column:
 
 
 def _string_at(mark: Column, tokens: Column) -> Column:
-    return F.get(tokens, F.regexp_extract(mark, r"⟨s(\d+)⟩", 1).try_cast("int"))
+    return F.get(tokens, F.when(mark.startswith("⟨s"), F.substring(mark, F.lit(3), F.length(mark) - 3)).try_cast("int"))
+
+
+def _name_of(segment: Column) -> Column:
+    return F.when(segment.startswith("{"), F.lit("")).otherwise(F.substring_index(segment, " ", 1))
+
+
+def _inside_of(segment: Column) -> Column:
+    return F.when(segment.contains("{ "), F.substring_index(F.substring_index(segment, "{ ", -1), "}", 1)).otherwise(F.lit(""))
 
 
 def _selector_parts(segment: Column, tokens: Column) -> Column:
@@ -239,45 +249,45 @@ def _selector_parts(segment: Column, tokens: Column) -> Column:
 
     ``empty`` tells whether the value or pattern matches the empty text (``e``), does not (``a``), or is no pattern (``!``).
     """
-    name = F.regexp_extract(segment, rf"^({_NAME})", 1)
-    inside = F.regexp_extract(segment, r"\{ ([^{}]*)\}", 1)
 
-    def matcher(item: Column) -> Column:
-        label = F.regexp_extract(item, rf"^({_LABEL}|⟨s\d+⟩)(?: |$)", 1)
-        quoted = F.coalesce(_unquote(_string_at(label, tokens)), label)
-        op = F.regexp_extract(item, rf" ({_MATCH_OP}) ", 1)
-        text = F.coalesce(_unquote(_string_at(F.regexp_extract(item, r"(⟨s\d+⟩)$", 1), tokens)), F.lit(""))
+    def matcher(words: Column) -> Column:
+        """``label op value``, or the value alone. What has another shape is refused by :func:`_selector_ok`."""
+        label, bare = F.get(words, F.lit(0)), F.size(words) == 1
+        quoted = F.when(label.startswith("⟨s"), _unquote(_string_at(label, tokens))).otherwise(label)
+        text = F.coalesce(_unquote(_string_at(F.element_at(words, -1), tokens)), F.lit(""))
 
-        def with_value(value: Column) -> Column:
+        def with_value(value: Column, op: Column) -> Column:
             return F.struct(
-                F.when(op == "", F.lit("__name__")).otherwise(quoted).alias("label"),
-                F.when(op == "", F.lit("=")).otherwise(op).alias("op"),
+                F.when(bare, F.lit("__name__")).otherwise(quoted).alias("label"),
+                F.when(bare, F.lit("=")).otherwise(op).alias("op"),
                 value.alias("value"),
-                (op == "").alias("bare"),
+                bare.alias("bare"),
                 F.when(op.isin("=~", "!~"), empty_match(value)).when(value == "", F.lit("e")).otherwise(F.lit("a")).alias("empty"),
             )
 
-        return bind(text, with_value)
+        return bind(text, lambda value: with_value(value, F.coalesce(F.get(words, F.lit(1)), F.lit(""))))
 
-    items = F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
-    named = F.when(
-        name != "",
-        F.array(
-            F.struct(
-                F.lit("__name__").alias("label"), F.lit("=").alias("op"), name.alias("value"), F.lit(True).alias("bare"), F.lit("a").alias("empty")
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<label:string,op:string,value:string,bare:boolean,empty:string>>"))
-    return F.concat(F.transform(items, matcher), named)
+    def matchers(name: Column) -> Column:
+        named = F.when(
+            name != "",
+            F.array(
+                F.struct(
+                    F.lit("__name__").alias("label"), F.lit("=").alias("op"), name.alias("value"), F.lit(True).alias("bare"), F.lit("a").alias("empty")
+                )
+            ),
+        ).otherwise(F.array().cast("array<struct<label:string,op:string,value:string,bare:boolean,empty:string>>"))
+        return F.when(segment.contains("{ "), F.concat(F.transform(F.transform(items, lambda x: F.split(x, " ")), matcher), named)).otherwise(named)
+
+    items = F.filter(F.transform(F.split(_inside_of(segment), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return bind(_name_of(segment), matchers)
 
 
 def _selector_ok(segment: Column, matchers: Column) -> Column:
-    inside = F.regexp_extract(segment, r"\{ ([^{}]*)\}", 1)
     item = rf"(?:(?:{_LABEL}|⟨s\d+⟩) {_MATCH_OP} ⟨s\d+⟩|⟨s\d+⟩)"
-    shaped = _matches(F.trim(inside), rf"^(?:{item}(?: , {item})*+(?: ,)?)?$")
-    names = F.size(F.filter(matchers, lambda m: m.bare))
-    twice = (names > 1) | (
-        (names == 1) & F.exists(matchers, lambda m: (m.label == "__name__") & (m.op == "=") & ~m.bare)
+    shaped = ~segment.contains("{ ") | _matches(F.trim(_inside_of(segment)), rf"^(?:{item}(?: , {item})*+(?: ,)?)?$")
+    twice = bind(
+        F.size(F.filter(matchers, lambda m: m.bare)),
+        lambda names: (names > 1) | ((names == 1) & F.exists(matchers, lambda m: (m.label == "__name__") & (m.op == "=") & ~m.bare)),
     )
     # At least one matcher has to exclude the empty string.
     selective = F.exists(matchers, lambda m: (m.empty == "a") == m.op.isin("=", "=~"))
@@ -286,16 +296,17 @@ def _selector_ok(segment: Column, matchers: Column) -> Column:
 
 
 def _selector_text(segment: Column, matchers: Column) -> Column:
-    name = F.regexp_extract(segment, rf"^({_NAME})", 1)
-
     def show(m: Column) -> Column:
-        value = F.when(m.label == "__name__", m.value).otherwise(F.lit(MASK))
+        value = F.when(m.label == "__name__", _quote(m.value)).otherwise(F.lit(f'"{MASK}"'))
         label = F.when(_matches(m.label, rf"^{_LABEL}$"), m.label).otherwise(_quote(m.label))
-        return F.when(m.bare, _quote(m.value)).otherwise(F.concat(label, m.op, _quote(value)))
+        return F.when(m.bare, _quote(m.value)).otherwise(F.concat(label, m.op, value))
+
+    def with_name(name: Column) -> Column:
+        shown = F.filter(matchers, lambda m: ~(m.bare & (m.value == name)))
+        inside = F.array_join(F.array_sort(F.transform(shown, show)), ",")
+        return bind(inside, lambda x: F.concat(name, F.when(x != "", F.concat(F.lit("{"), x, F.lit("}"))).otherwise(F.lit(""))))
 
-    shown = F.filter(matchers, lambda m: ~(m.bare & (m.value == name)))
-    inside = F.array_join(F.array_sort(F.transform(shown, show)), ",")
-    return F.concat(name, F.when(inside != "", F.concat(F.lit("{"), inside, F.lit("}"))).otherwise(F.lit("")))
+    return F.when(segment.contains("{ "), bind(_name_of(segment), with_name)).otherwise(segment)
 
 
 def _selector_map(matchers: Column) -> Column:
@@ -330,9 +341,9 @@ def _is_list(segment: Column) -> Column:
 
 
 def _segment_kind(segment: Column) -> Column:
-    word = F.regexp_extract(segment, r"^(\w*)", 1)
+    word = F.substring_index(segment, " ", 1)
     return (
-        F.when(~_is_list(segment), F.lit("v"))
+        F.when(~word.isin(*GROUPING_WORDS, *MATCHING_WORDS, *JOIN_WORDS) | ~_is_list(segment), F.lit("v"))
         .when(word.isin(*GROUPING_WORDS), F.lit("g"))
         .when(word.isin(*MATCHING_WORDS), F.lit("o"))
         .otherwise(F.lit("j"))
@@ -392,22 +403,44 @@ def _by_precedence(chain: Column) -> Column:
     return F.when(t.isin("V", "N"), t).otherwise(F.lit("!"))
 
 
+def _where(text: Column, has: str | tuple[str, ...], *changes: tuple[str, str]) -> Column:
+    """The changes, pattern by pattern, where the text has what each of them needs."""
+
+    def changed(t: Column) -> Column:
+        out, there = t, F.lit(False)
+        for pattern, new in changes:
+            out = F.regexp_replace(out, pattern, new)
+        for part in (has,) if isinstance(has, str) else has:
+            there = there | t.contains(part)
+        return F.when(there, out).otherwise(t)
+
+    return bind(text, changed)
+
+
 def _flat_types(flat: Column) -> Column:
     """Type letters of the comma-separated arguments in ``flat``; ``!`` marks a broken one."""
-    t = F.regexp_replace(flat, rf"⟨v\d+:⟩ \[ (?:{_DURATION}) \]", "M")
-    t = F.regexp_replace(t, r"⟨v\d+:⟩", "V")
-    t = F.regexp_replace(t, rf"(?<=[VM]){_MODIFIERS}", "")
-    t = F.regexp_replace(t, _VECTOR_CALL, "W")
-    t = F.regexp_replace(t, _SCALAR_CALL, "N")
-    t = F.regexp_replace(t, _AGGREGATE_CALL, "W")
-    t = F.regexp_replace(t, r"(?<![^ ])(?<![a-z0-9_] )⟨p\d+:V⟩", "W")
-    t = F.regexp_replace(t, r"(?<=bool |and |or |unless |atan2 )⟨p\d+:V⟩", "W")
-    t = F.regexp_replace(t, r"(?<=bool |and |or |unless |atan2 )⟨p\d+:N⟩", "N")
-    t = F.regexp_replace(t, r"(?<![^ ])(?<![a-z0-9_] )⟨p\d+:([NMS])⟩", "$1")
-    t = F.regexp_replace(t, rf"[VW] \[ (?:{_DURATION}) : (?:(?:{_DURATION}) )?\]{_MODIFIERS}?", "M")
-    t = F.regexp_replace(t, r"⟨s\d+⟩", "S")
+    return bind(flat, _types_of)
+
+
+def _types_of(flat: Column) -> Column:
+    t = _where(flat, "[", (rf"⟨v\d+:⟩ \[ (?:{_DURATION}) \]", "M"))
+    t = _where(t, "⟨v", (r"⟨v\d+:⟩", "V"))
+    t = _where(t, ("offset", "@"), (rf"(?<=[VM]){_MODIFIERS}", ""))
+    t = _where(
+        t,
+        "⟨p",
+        (_VECTOR_CALL, "W"),
+        (_SCALAR_CALL, "N"),
+        (_AGGREGATE_CALL, "W"),
+        (r"(?<![^ ])(?<![a-z0-9_] )⟨p\d+:V⟩", "W"),
+        (r"(?<=bool |and |or |unless |atan2 )⟨p\d+:V⟩", "W"),
+        (r"(?<=bool |and |or |unless |atan2 )⟨p\d+:N⟩", "N"),
+        (r"(?<![^ ])(?<![a-z0-9_] )⟨p\d+:([NMS])⟩", "$1"),
+    )
+    t = _where(t, "[", (rf"[VW] \[ (?:{_DURATION}) : (?:(?:{_DURATION}) )?\]{_MODIFIERS}?", "M"))
+    t = _where(t, "⟨s", (r"⟨s\d+⟩", "S"))
     t = F.regexp_replace(t, rf"(?<![^ ])(?:(?:{_NUMBER})|{_NUMBER_WORD}|{_DURATION}|\d+\.?\d*E-?\d+)(?![^ ])", "N")
-    t = F.regexp_replace(t, "W", "V")
+    t = F.replace(t, F.lit("W"), F.lit("V"))
 
     def arg(a: Column) -> Column:
         vector = F.when(a.contains("V"), F.lit("V")).otherwise(F.lit("N"))
@@ -419,9 +452,8 @@ def _flat_types(flat: Column) -> Column:
             .otherwise(vector)
         )
 
-    return F.when(F.trim(flat) == "", F.lit("")).otherwise(
-        F.array_join(F.transform(F.split(F.trim(t), " , "), arg), "")
-    )
+    types = F.array_join(F.transform(split_at(F.trim(t), " , "), arg), "")
+    return F.when(F.trim(flat) == "", F.lit("")).when(_matches(flat, r"^⟨v\d+:⟩$"), F.lit("V")).otherwise(types)
 
 
 def _modifiers_first(flat: Column) -> Column:
@@ -440,12 +472,9 @@ def _fold_parentheses(text: Column) -> Column:
     )
 
     def step(acc: Column, k: Column) -> Column:
-        head = F.substring_index(acc.s, ")", 1)
-        body = F.substring_index(head, "(", -1)
-        pre = F.substring(acc.s, F.lit(1), F.length(head) - F.length(body) - 1)
-        post = F.substring(acc.s, F.length(head) + 2, F.length(acc.s))
-
-        def close(types: Column) -> Column:
+        def fold(head: Column, body: Column, types: Column) -> Column:
+            pre = F.substring(acc.s, F.lit(1), F.length(head) - F.length(body) - 1)
+            post = F.substring(acc.s, F.length(head) + 2, F.length(acc.s))
             mark = F.concat(F.lit("⟨p"), k.cast("string"), F.lit(":"), types, F.lit("⟩"))
             return F.struct(
                 F.concat(pre, mark, post).alias("s"),
@@ -456,7 +485,10 @@ def _fold_parentheses(text: Column) -> Column:
                 (acc.ok & head.contains("(") & ~types.contains("!")).alias("ok"),
             )
 
-        return bind(_flat_types(F.trim(body)), close)
+        def within(head: Column) -> Column:
+            return bind(F.substring_index(head, "(", -1), lambda body: bind(_flat_types(F.trim(body)), lambda types: fold(head, body, types)))
+
+        return bind(F.substring_index(acc.s, ")", 1), within)
 
     def while_ok(acc: Column, k: Column) -> Column:
         return F.when(acc.ok, step(acc, k)).otherwise(acc)
@@ -475,13 +507,10 @@ def _unfold(folded: Column) -> Column:
 
 
 def _spacing(text: Column) -> Column:
-    t = F.regexp_replace(text, r" ,", ",")
-    t = F.regexp_replace(t, r" \[ ", "[")
-    t = F.regexp_replace(t, r" \]", "]")
-    t = F.regexp_replace(t, r" : ?", ":")
-    t = F.regexp_replace(
-        t, rf"(?<![A-Za-z0-9_])(?!(?:{_KEYWORDS})(?![A-Za-z0-9_]))([a-z][a-z0-9_]*) \(", "$1("
-    )
+    t = F.replace(text, F.lit(" ,"), F.lit(","))
+    t = _where(t, "[", (r" \[ ", "["), (r" \]", "]"))
+    t = _where(t, " :", (r" : ?", ":"))
+    t = _where(t, " (", (rf"(?<![A-Za-z0-9_])(?!(?:{_KEYWORDS})(?![A-Za-z0-9_]))([a-z][a-z0-9_]*) \(", "$1("))
     return t
 
 
@@ -512,29 +541,29 @@ def describe(query: Column) -> Column:
         return bind(_join_tokens(tokens), lambda joined: with_joined(tokens, joined))
 
     def with_joined(tokens: Column, joined: Column) -> Column:
-        segments = F.transform(
-            F.regexp_extract_all(joined, F.lit(_LIST_OR_SELECTOR), F.lit(0)),
-            lambda s: bind(
-                _selector_parts(s, tokens),
-                lambda m: F.struct(
-                    F.when(_is_list(s), _list_text(s, tokens)).otherwise(_selector_text(s, m)).alias("text"),
-                    F.when(_is_list(s), _list_ok(s)).otherwise(_selector_ok(s, m)).alias("ok"),
-                    F.when(~_is_list(s), _selector_map(m)).alias("labels"),
-                ),
-            ),
-        )
-        marked = split_keep(
-            joined,
-            _LIST_OR_SELECTOR,
-            lambda s, i: F.concat(F.lit("⟨"), _segment_kind(s), i.cast("string"), F.lit(":⟩")),
-        )
+        found = F.regexp_extract_all(joined, F.lit(_LIST_OR_SELECTOR), F.lit(0))
+        return bind(F.transform(found, lambda s: F.struct(s.alias("text"), _segment_kind(s).alias("kind"))), lambda found: with_segments(tokens, joined, found))
+
+    def segment(s: Column, tokens: Column) -> Column:
+        def selector(m: Column) -> Column:
+            return F.struct(_selector_text(s, m).alias("text"), _selector_ok(s, m).alias("ok"), _selector_map(m).alias("labels"))
+
+        return bind(_selector_parts(s, tokens), selector)
+
+    def matching_list(s: Column, tokens: Column) -> Column:
+        return F.struct(_list_text(s, tokens).alias("text"), _list_ok(s).alias("ok"), F.lit(None).cast("map<string,string>").alias("labels"))
+
+    def with_segments(tokens: Column, joined: Column, found: Column) -> Column:
+        segments = F.transform(found, lambda f: F.when(f.kind == "v", segment(f.text, tokens)).otherwise(matching_list(f.text, tokens)))
+        marks = F.transform(found, lambda f, i: F.concat(F.lit("⟨"), f.kind, i.cast("string"), F.lit(":⟩")))
+        marked = F.array_join(F.zip_with(split_at(joined, _LIST_OR_SELECTOR), marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
         return bind(
             F.struct(segments.alias("segments"), bind(marked, _fold_parentheses).alias("folded")),
             lambda st: bind(
                 F.struct(
                     (
                         st.folded.ok
-                        & ~F.exists(tokens, lambda t: _matches(t, _STRAY))
+                        & ~_matches(joined, _STRAY)
                         & ~_matches(joined, r"[\[:] 0s (?:\]|:)")  # a range is longer than nothing
                         & F.forall(st.segments, lambda s: s.ok)
                         & _matches(_flat_types(st.folded.s), "^[VNMS]$")
@@ -560,11 +589,12 @@ def describe(query: Column) -> Column:
 
     def finish(tokens: Column, known: Column, plain: Column) -> Column:
         any_range = F.regexp_replace(plain, rf"(⟨v\d+:⟩) \[ (?:{_DURATION}) \]", "$1 [ 0s ]")
-        return F.struct(
-            _restore(_spacing(plain), tokens, known.texts).alias("canonical"),
-            _restore(_spacing(any_range), tokens, known.texts).alias("canonical_any_range"),
-            known.maps.alias("matchers"),
-        )
+
+        def texts(canonical: Column) -> Column:
+            shown = F.when(plain.contains("["), _restore(_spacing(any_range), tokens, known.texts)).otherwise(canonical)
+            return F.struct(canonical.alias("canonical"), shown.alias("canonical_any_range"), known.maps.alias("matchers"))
+
+        return bind(_restore(_spacing(plain), tokens, known.texts), texts)
 
     return bind(_tokens(F.coalesce(query, F.lit(""))), with_tokens)
 

@@ -46,9 +46,11 @@ def expression_dictionary(log: DataFrame, known: DataFrame | None = None) -> Dat
     texts = distinct_texts(log)
     if known is not None:
         texts = texts.join(known.select("query_param"), "query_param", "left_anti")
-    # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe.
-    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts if log.isStreaming else texts.repartition(tasks, "query_param")
+    # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe. A repartition by the text itself
+    # would be dropped: the distinct texts lie that way already, in as few tasks as their bytes fill.
+    spark = log.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = texts if log.isStreaming else texts.repartition(tasks, F.xxhash64("query_param"))
     return _described(spread, "query_param").select(
         "query_param",
         F.col("_d.canonical").alias("canonical"),
