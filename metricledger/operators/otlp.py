@@ -162,10 +162,12 @@ def drop_unused_nested(
 ) -> DataFrame:
     """The same on export trees, with emptied scopes and resources pruned.
 
-    The unused names an export holds are joined to it; their number is bounded by the export itself. Exports that
+    The unused names an export holds are joined to it; their number is bounded by the export itself. Only names that may be
+    dropped are looked up. The names are hashed and the trees pass by, so these are neither sorted nor spilled. Exports that
     end up empty have no resources left. On a stream this runs inside each batch, see ``stream_drop_unused``.
     """
-    present = flatten_otlp(exports.select(key, "resource_metrics")).select(key, "metric_name").distinct()
+    droppable = (F.col("points") > 0) & drop_active(F.col("job"), allow, deny)
+    present = flatten_otlp(exports.select(key, "resource_metrics")).where(droppable).select(key, "metric_name").distinct()
     hits = (
         present.join(unused.select("metric_name"), "metric_name")
         .groupBy(key)
@@ -173,7 +175,7 @@ def drop_unused_nested(
     )
     held = F.coalesce(F.col("_unused"), F.array().cast("array<string>"))
     trees = _pruned(lambda n: F.array_contains(held, n), allow, deny)
-    return exports.join(hits, key, "left").withColumn("resource_metrics", trees).drop("_unused")
+    return exports.join(hits.hint("shuffle_hash"), key, "left").withColumn("resource_metrics", trees).drop("_unused")
 
 
 def _pruned(is_unused: Callable[[Column], Column], allow: Sequence[str], deny: Sequence[str]) -> Column:

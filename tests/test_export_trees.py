@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from metricledger import fixtures as fx
+from metricledger import registry
+from metricledger.operators import otlp
 from tests.conftest import plan_of
 
 
@@ -23,3 +25,10 @@ def test_trees_hold_what_their_lines_say(spark, sf):
     said = said.withColumn("ts", F.when(F.col("points") > 0, F.col("ts")))
     assert said.count() == held.count() > 0
     assert said.exceptAll(held).isEmpty() and held.exceptAll(said).isEmpty()
+
+
+def test_trees_pass_by_the_hashed_names(spark, sf):
+    """Neither sorted nor spilled on the way to the names; names that no job may drop are not looked up."""
+    plan = plan_of(otlp.drop_unused_nested(fx.otlp_exports(spark, sf), fx.unused_names(spark, sf), registry.ALLOW, registry.DENY))
+    assert "ShuffledHashJoin [export_id" in plan
+    assert not any("Sort [export_id" in line for line in plan.splitlines())
