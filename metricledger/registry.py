@@ -45,6 +45,9 @@ CUTOFF = dt.datetime(2024, 1, 12, 7, 30)
 ALLOW, DENY = ("j1", "j2", "j3", "svc0"), ("j2",)
 DROP_NAMES, DROP_PREFIXES = ("m_4", "m_5_total"), ("m_11",)
 
+#: What a batch of a stream of export trees takes, in bytes of its files; whatever is left comes with the next batches.
+BATCH_BYTES = 512 << 20
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -828,7 +831,7 @@ def _stream_drop_unused(spark, sf):
     inventory.Tables(spark, root).write("metrics_usage_summary", fx.usage_summary(spark, sf))
     exports = fx.otlp_exports(spark, sf)
     exports.write.parquet(source)
-    stream = spark.readStream.schema(exports.schema).parquet(source)
+    stream = spark.readStream.schema(exports.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(source)
     jobs.stream_drop_unused(stream, root, target, checkpoint, ALLOW, DENY).awaitTermination()
     return otlp.flatten_otlp(spark.read.schema(exports.schema).parquet(target)).select("export_id", "job", "metric_name", "points")
 

@@ -125,17 +125,16 @@ def stream_drop_unused(
     exports: DataFrame, root: str, target: str, checkpoint: str, allow=(), deny=(), trigger: dict | None = None
 ) -> StreamingQuery:
     """The drop filter on a stream of export trees. Each batch reads the newest usage summary, so a metric that becomes used is
-    kept from the next batch on, and looks up only the names that it holds itself."""
+    kept from the next batch on, and looks up only the names that it holds itself.
+
+    Trees are read again for the names and for the lookup, not held: a cached tree takes some twenty times its bytes in a file. The
+    source limits how much a batch takes, and with it what a task reads."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        try:
-            summary = Tables(batch.sparkSession, root).read("metrics_usage_summary")
-            unused = otlp.otlp_unused(otlp.flatten_otlp(held), summary)
-            kept = otlp.drop_unused_nested(held, unused, allow, deny)
-            _replace(kept.withColumn("batch_id", F.lit(batch_id).cast("long")), target, ["batch_id"])
-        finally:
-            held.unpersist()
+        summary = Tables(batch.sparkSession, root).read("metrics_usage_summary")
+        unused = otlp.otlp_unused(otlp.flatten_otlp(batch), summary)
+        kept = otlp.drop_unused_nested(batch, unused, allow, deny)
+        _replace(kept.withColumn("batch_id", F.lit(batch_id).cast("long")), target, ["batch_id"])
 
     return _start(exports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
 

@@ -1,10 +1,14 @@
 """Export trees at scale: what is shuffled, sorted and held while they are built and filtered."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from metricledger import fixtures as fx
 from metricledger import registry
 from metricledger.operators import otlp
+from metricledger.session import shared_folder
+from metricledger.streaming import jobs
 from tests.conftest import plan_of
 
 
@@ -32,3 +36,24 @@ def test_trees_pass_by_the_hashed_names(spark, sf):
     plan = plan_of(otlp.drop_unused_nested(fx.otlp_exports(spark, sf), fx.unused_names(spark, sf), registry.ALLOW, registry.DENY))
     assert "ShuffledHashJoin [export_id" in plan
     assert not any("Sort [export_id" in line for line in plan.splitlines())
+
+
+def test_streamed_trees_come_in_batches_and_are_not_held(spark, sf, monkeypatch):
+    want = sorted(map(tuple, registry.queries()["otlp_drop_unused_nested"](spark, sf).collect()), key=str)
+    batches, write = [], jobs._replace
+
+    def counted(rows, *args):
+        batches.append(rows.sparkSession.sparkContext._jsc.getPersistentRDDs().size())
+        write(rows, *args)
+
+    monkeypatch.setattr(registry, "BATCH_BYTES", 1)
+    monkeypatch.setattr(jobs, "_replace", counted)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = sorted(map(tuple, registry.queries()["stream_drop_unused"](spark, sf).collect()), key=str)
+    assert got == want
+    assert batches and set(batches) == {held}
+    assert len(batches) == len(spark.read.parquet(_newest(spark, "drop_exports")).inputFiles())
+
+
+def _newest(spark, name):
+    return str(max(Path(shared_folder(spark)).glob(f"{name}-*"), key=lambda p: p.stat().st_mtime))
