@@ -200,6 +200,8 @@ class Decoder:
         first = len(token) - len(token.lstrip(BRACKETS)) if core else 0
         last = first + len(core)
         before = first - len(token[:first].rstrip("("))
+        if not before and LOOKS.keys().isdisjoint(token[last:]):
+            return []  # nothing here may stand for a letter
         # of three or more equal signs any may go
         ends = {k for k in range(last + 1, len(token) + 1) if token[k - 1] in LOOKS and token[max(k - 4, last) : k] != 4 * token[k - 1]}
         words: list[str] = []
@@ -257,8 +259,13 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.decoder, self.weights, self.coefficients = Decoder(model.characters), model.weights, model.coefficients
         self.known: dict[str, float] = {}
+        # a word of which no weighted feature shares the beginning has no weight
+        self.first = min(PREFIXES)
+        self.starts = {f[: self.first] for f in self.weights}
 
     def _of_word(self, word: str) -> float:
+        if word[: self.first] not in self.starts:
+            return 0.0
         weights = self.weights
         return max((weights[f] for f in features(word) if f in weights), default=0.0)
 
