@@ -1,18 +1,20 @@
 """Stored hierarchy of strides: counts and duration sketches of the log by minute, hour and day.
 
 The table holds one row for each level, cell and value of the dimensions. All its measures add up and its sketches merge, so a
-batch only appends the cells of its own rows; late records are deltas to cells that are there already. A batch that is
-repeated overwrites its own folders.
+batch only appends the cells of its own rows; late records are deltas to cells that are there already. A batch has a folder for
+each level, whatever its days, and one that is repeated overwrites its own folders. Files are sorted by time, so the bounds of their
+row groups and pages tell which hold a day: folders by day would have to be committed and listed one after the other.
 
 A read takes each bucket apart into the widest cells that lie in it whole. What is left of the first and the last minute of an unaligned
-window comes from the log, so counts and averages equal those of the log. Levels and days that cannot hold a cell of use are
-partition filters.
+window comes from the log, so counts and averages equal those of the log. Only levels that can hold a cell of use are read, and of
+them only the days that can: a filter pushed into the scan.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ SKETCH_SIZE = 800
 RANK_ERROR = 0.01
 _EPOCH = dt.datetime(1970, 1, 1)
 _MINUTE = dt.timedelta(minutes=1)
-_PARTS = ("level", "dt", "batch")
+_PARTS = ("level", "batch")
 
 
 def _floor(seconds: Column, width: int) -> Column:
@@ -69,7 +71,7 @@ def append(log: DataFrame, path: str, batch: int = 0, dims: Sequence[str] = ())
             cells = merge_cells(written, _floor(F.col("cell"), width).alias("cell"), *dims)
         day = F.date_from_unix_date(F.floor(F.col("cell") / LEVELS["day"]).cast("int"))
         placed = cells.withColumns({"level": F.lit(level), "dt": day, "batch": F.lit(batch).cast("long")})
-        writer = placed.hint("rebalance", "dt").sortWithinPartitions("cell", *dims).write.mode("overwrite")
+        writer = placed.hint("rebalance", "dt").sortWithinPartitions(*_PARTS, "dt", "cell", *dims).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(path)
         below = level
 
@@ -81,7 +83,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def compact(strides: DataFrame, path: str, dims: Sequence[str] = ()) -> None:
     """The table with its deltas merged, as one batch in a new folder."""
     cells = merge_cells(strides, "level", "dt", "cell", *dims).withColumn("batch", F.lit(0).cast("long"))
-    cells.hint("rebalance", "level", "dt").sortWithinPartitions("cell", *dims).write.mode("errorifexists").partitionBy(*_PARTS).parquet(path)
+    rows = cells.hint("rebalance", "level", "dt").sortWithinPartitions(*_PARTS, "dt", "cell", *dims)
+    rows.write.mode("errorifexists").partitionBy(*_PARTS).parquet(path)
 
 
 # ---- reads ------------------------------------------------------------------------------
@@ -106,18 +109,20 @@ def _stored(strides: DataFrame, tr: TimeRange, inner: TimeRange) -> DataFrame:
         first, last = (F.floor((at - F.lit(base)) / F.lit(stride)) for at in (start, start + F.lit(width - 1)))
         return (start >= low) & (start + width <= high) & (first == last)
 
-    keep = F.lit(False)
+    parts = []
     levels = [(level, width) for level, width in LEVELS.items() if width <= stride]
     for i, (level, width) in enumerate(levels):
-        folders = F.col("dt").between(F.lit(inner.start.date()), F.lit(inner.end.date()))
+        days = F.col("dt").between(F.lit(inner.start.date()), F.lit(inner.end.date()))
         use = fits(F.col("cell"), width)
         if i + 1 < len(levels):
             wider = levels[i + 1][1]
             use = use & ~fits(_floor(F.col("cell"), wider), wider)
             if base % wider == 0 and stride % wider == 0:  # then only the ends of the window divide wider cells
-                folders = F.col("dt").isin(inner.start.date(), inner.end.date())
-        keep = keep | ((F.col("level") == level) & folders & use)
-    return strides.where(keep)
+                if low % wider == 0 and high % wider == 0:
+                    continue
+                days = F.col("dt").isin(inner.start.date(), inner.end.date())
+        parts.append(strides.where((F.col("level") == level) & days & F.col("cell").between(low, high) & use))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cells_of(strides: DataFrame, log: DataFrame, tr: TimeRange, fingerprint: str | None = None) -> DataFrame:

@@ -87,6 +87,19 @@ def test_late_records_and_repeated_batches(spark, make_log, tmp_path):
     assert strides.read(spark, merged).count() == 3 * 2 < strides.read(spark, path).count()
 
 
+def test_folders_do_not_grow_with_days(spark, make_log, tmp_path):
+    """A batch of many days is committed in one folder for each level, and a read pushes its days into the scan."""
+    path = str(tmp_path / "strides")
+    strides.append(make_log(*[{"ts": BASE + dt.timedelta(days=d)} for d in range(40)]), path)
+    assert sorted(str(p.relative_to(path)) for p in tmp_path.glob("strides/*/*") if p.is_dir()) == sorted(f"level={level}/batch=0" for level in strides.LEVELS)
+    tr = TimeRange(BASE + dt.timedelta(days=3), BASE + dt.timedelta(days=33, hours=5, minutes=7))
+    used = strides._stored(strides.read(spark, path), tr, tr)
+    plan = spark._jvm.PythonSQLUtils.explainString(used._jdf.queryExecution(), "formatted")
+    pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
+    assert pushed and all("GreaterThanOrEqual(dt" in p or "In(dt" in p for p in pushed)
+    assert sorted(r.dt - BASE.date() for r in used.collect()) == [dt.timedelta(days=d) for d in range(3, 34)]
+
+
 def test_empty_log(spark, make_log, tmp_path):
     path = str(tmp_path / "strides")
     strides.append(make_log({"ts": BASE}), path)
