@@ -14,7 +14,7 @@ been counted yet. This pass admits them, and whatever longer runs these admit in
 closes the border at all levels at once. No phrase is missed and every count is exact, whatever the sample held and however hashes collide.
 
 *Memory.* Proposals and marks are sent to the tasks as bitmaps of hashed runs of fixed size (``CELLS`` bits, 16 MB each). Two runs that share a bit cost a superfluous
-count, never a wrong one. Tasks count some million words at a time and hand on what they have: hashes packed into a few rows, so a hot word or
+count, never a wrong one. Tasks count about a million words at a time and hand on what they have: hashes packed into a few rows, so a hot word or
 phrase is one entry of each load. Ranking takes the best of each of 64 parts of a language first.
 
 * Null texts count as empty, null languages as ``und``. Repeated rows count each time.
@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, slices, written
+from metricledger.llm.common import batches_from, handed_back, slices, written
 
 MOST_WORDS, SUPPORT, OVERLAP_PCT, BEST, SCALE = 4, 30, 80, 2_000, 2_000_000
 #: Share of the documents in the sample, and how much of its share of the support makes a proposal there.
 SAMPLE, LOWERED = 0.2, 0.5
 CELLS = 1 << 27
 #: Words counted at once in a task.
-LOAD = 2_000_000
+LOAD = 1_000_000
 _WINDOW = 1 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
@@ -231,7 +231,7 @@ def _over_loads(docs: DataFrame, each: Callable[[_Load], Iterator[pa.RecordBatch
         if load.known:
             yield from each(load)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(handed_back(run), ddl)
 
 
 def marked(docs: DataFrame, lengths: range, now: Proposals, bits: int, least: int) -> DataFrame:
