@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, parts_for, rows_of, texts, with_rows, written
+from metricledger.llm.common import batches_from, by_size, handed_back, parts_for, rows_of, texts, with_rows, written
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
 
             yield from batches_from(rows(), schema)
 
-        found = found.unionByName(rows.mapInArrow(run, ddl))
+        found = found.unionByName(rows.mapInArrow(handed_back(run), ddl))
     order = F.struct(F.col("similarity"), -F.col("start_word"), F.struct(*(c for c in found.columns if c not in ("doc_id", "item_id"))))
     best = found.groupBy("doc_id", "item_id").agg(F.max(order).alias("best"))
     return best.select("doc_id", "item_id", *(f"best.col3.{c}" for c in found.columns if c not in ("doc_id", "item_id")))

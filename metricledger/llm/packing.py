@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, rows_of, texts, written
+from metricledger.llm.common import batches_from, handed_back, rows_of, texts, written
 
 SEQUENCE_TOKENS = 2_048
 CLOSING_ID = 0
@@ -130,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS, clo
         yield from batches_from(rows(), PIECES, 1_024)
 
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(handed_back(run), "doc_id long, row long, piece int, start long, length long, ids binary")
 
 
 class _Bins:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, by_size, slices, texts, with_rows, written
+from metricledger.llm.common import batches_from, by_size, handed_back, slices, texts, with_rows, written
 from metricledger.llm.components import stars
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = [fingerprint(t) for part in slices(b) for t in part.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    return texts(docs).mapInArrow(handed_back(run), "doc_id long, fingerprint long")
 
 
 def _variants(part: str, bits: int) -> str:
@@ -128,7 +128,7 @@ def _forests(buckets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches_from((e for b in batches for fps in b.column(0).to_pylist() for e in forest(fps)), schema)
 
-    return buckets.mapInArrow(run, "u long, v long")
+    return buckets.mapInArrow(handed_back(run), "u long, v long")
 
 
 def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:

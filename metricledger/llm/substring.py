@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import rows_of, texts, written
+from metricledger.llm.common import handed_back, rows_of, texts, written
 
 #: Bytes on both sides within which the hash at a chunk's end is the largest.
 REACH = 16
@@ -129,7 +129,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield _batch(held, schema)
 
     rows = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, number int, start long, length int, words int, high long, low long")
+    return rows.mapInArrow(handed_back(run), "doc_id long, number int, start long, length int, words int, high long, low long")
 
 
 def _batch(held: list[list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricledger.llm.common import batches_from, labelled, rows_of, slices, texts, written
+from metricledger.llm.common import batches_from, handed_back, labelled, rows_of, slices, texts, written
 
 #: Symbols of the character model: 0 a boundary, 1-26 a-z, then other letters by code point.
 SYMBOLS = 64
@@ -103,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Log probability of a symbol after two others, from all documents."""
-    rows = texts(docs).where("text IS NOT NULL").select("text").mapInArrow(_counts, "trigram long, n long")
+    rows = texts(docs).where("text IS NOT NULL").select("text").mapInArrow(handed_back(_counts), "trigram long, n long")
     n = np.zeros(SYMBOLS**3)
     for r in rows.groupBy("trigram").agg(F.sum("n").alias("n")).collect():  # at most one row a trigram
         n[r["trigram"]] = r["n"]
@@ -333,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
 
         yield from batches_from(rows(), pa.schema([("feature", pa.string()), ("y", pa.int32())]), 32_768)
 
-    counts = sample.mapInArrow(seen, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    counts = sample.mapInArrow(handed_back(seen), "feature string, y int").groupBy("feature").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     weight = F.log(a / (kinds[1] - a + 1)) - F.log(b / (kinds[0] - b + 1))
     every = float(kinds[0] + kinds[1])
@@ -353,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
         rows = ((scorer.inputs(text), y) for b in batches for text, y in rows_of(b, "text", "y"))
         yield from batches_from(rows, pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())]))
 
-    known = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInArrow(rated, "x array<double>, y int").collect())  # bounded by ``limit``
+    known = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInArrow(handed_back(rated), "x array<double>, y int").collect())  # bounded by ``limit``
     model.coefficients = logistic(np.array([x for x, _ in known]), np.array([y for _, y in known], float))
     return model
 
@@ -367,7 +367,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = sent.value.scorer()
         yield from batches_from(((d, scorer.score(t)) for b in batches for d, t in rows_of(b, "doc_id", "text")), schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(handed_back(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -381,4 +381,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 text = part.column(at).to_pylist()
                 yield part.filter(pa.array([scorer.score(t) < threshold for t in text], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(handed_back(run), docs.schema)
