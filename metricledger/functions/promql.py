@@ -599,6 +599,71 @@ def describe(query: Column) -> Column:
     return bind(_tokens(F.coalesce(query, F.lit(""))), with_tokens)
 
 
+# ---- shapes: texts that differ in metric names and label values only ---------------------
+#: Marks that stand for names and values in a shape begin with it. A text that holds it itself is its own shape.
+_HELD = "zqx"
+_WORD = r"[A-Za-z_][A-Za-z0-9_:]*+"
+_STEP = rf"{_DURATION}(?::(?:{_DURATION})?)?|\d++(?:\.\d++)?"
+_OPERATOR = r"(?:=~|!~|!=|=)"
+_MATCHERS = rf'\{{\s*+(?:{_LABEL}\s*+{_OPERATOR}\s*+"[^"\\\n]*+"\s*+(?:,\s*+|(?=\}})))*+\}}'
+#: Texts whose names and values may be held: strings in double quotes without escapes, braces with plain matchers, no comments, and
+#: no word that begins with a digit but for numbers and durations. Their words are then tokens as they stand.
+_PLAIN = rf'^(?:{_MATCHERS}|"[^"\\\n]*+"|{_WORD}(?!\.)|(?:{_STEP})(?![A-Za-z0-9_:.])|[-+*/%^()\[\],@<>=!~\s])*+$'
+#: A list of labels with its word; a word with what follows it if it is called, a label or followed by a string; a string; the rest.
+_SHAPE_PIECE = (
+    rf'(?i:{_LIST_WORDS})\s*+\((?:[^()"]|"[^"]*+")*+\)|{_WORD}(?:\s*+(?:{_OPERATOR}\s*+)?+(?:"[^"]*+"|(?<![=~])\())?+'
+    rf'|"[^"]*+"|[0-9.][A-Za-z0-9_:.]*+|[^A-Za-z0-9_".]++'
+)
+#: The value of a matcher, where it is not empty and, as a pattern, plain.
+_VALUE = rf'^(?!__name__(?![A-Za-z0-9_])){_LABEL}\s*+(?:!?=\s*+"|[=!]~\s*+"(?=[^"\\.+*?()|\[\]{{}}^$]*+"$))([^"]++)"$'
+
+
+def shape(query: Column) -> Column:
+    """struct(shape, held): the text with marks for its metric names and label values, and what the marks stand for.
+
+    What a text means hangs on neither: names stay where they are, values are masked, and both come back in the matchers. So texts
+    of one shape have one description but for the marks (:func:`filled`). Names and values on which anything may hang
+    (keywords, labels, what is sorted, patterns with operators) stay in the shape; a text that is not plain is its own.
+    """
+
+    def mark(i: Column) -> Column:
+        return F.concat(F.lit(_HELD), i.cast("string"), F.lit("_"))
+
+    def held(p: Column) -> Column:
+        """What of a piece is held; empty if nothing is."""
+        name = p.rlike(rf"^{_WORD}$") & ~F.lower(p).isin(*f"{_KEYWORDS}|{_ALL_AGGREGATORS}".split("|"))
+        return F.when(p.endswith('"'), F.regexp_extract(p, _VALUE, 1)).when(name, p).otherwise(F.lit(""))
+
+    def marked(pieces: Column, parts: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            part = F.get(parts, i)
+            return F.when(part == "", p).when(p.endswith('"'), F.replace(p, F.concat(F.lit('"'), part), F.concat(F.lit('"'), mark(i)))).otherwise(mark(i))
+
+        every = F.transform(parts, lambda part, i: F.struct(mark(i).alias("mark"), part.alias("text")))
+        return F.struct(F.array_join(F.transform(pieces, piece), "").alias("shape"), F.filter(every, lambda h: h.text != "").alias("held"))
+
+    nothing = F.struct(query.alias("shape"), F.array().cast("array<struct<mark:string,text:string>>").alias("held"))
+    plain = query.rlike(_PLAIN) & ~query.contains(_HELD)
+    pieces = F.regexp_extract_all(query, F.lit(_SHAPE_PIECE), F.lit(0))
+    return F.when(plain, bind(pieces, lambda x: bind(F.transform(x, held), lambda parts: marked(x, parts)))).otherwise(nothing)
+
+
+def filled(described: Column, held: Column) -> Column:
+    """The description of a text from that of its shape and what its marks stand for."""
+
+    def text(t: Column) -> Column:
+        return F.aggregate(held, t, lambda s, h: F.replace(s, h.mark, h.text))
+
+    def value(v: Column) -> Column:
+        return F.when(v.startswith(_HELD), F.coalesce(F.get(F.filter(held, lambda h: h.mark == v), F.lit(0))["text"], v)).otherwise(v)
+
+    return F.struct(
+        text(described["canonical"]).alias("canonical"),
+        text(described["canonical_any_range"]).alias("canonical_any_range"),
+        F.transform(described["matchers"], lambda m: F.transform_values(m, lambda _, v: value(v))).alias("matchers"),
+    )
+
+
 def hash_identity(canonical: Column) -> Column:
     """64-bit hex identity of a canonical text; '' stays ''."""
     return F.when(canonical == "", F.lit("")).otherwise(F.substring(F.md5(canonical), 1, 16))

@@ -37,21 +37,41 @@ def distinct_texts(log: DataFrame) -> DataFrame:
     return log.select(F.coalesce(F.col("query_param"), F.lit("")).alias("query_param")).distinct()
 
 
+def described_shapes(texts: DataFrame) -> DataFrame:
+    """(shape, _of): the shapes of texts, each once, and their descriptions.
+
+    A task gets the same number of shapes whatever their bytes: adaptive execution would put small texts that are costly to describe
+    into few tasks. A repartition by the shape itself would be dropped, the distinct shapes lie that way already."""
+    spread = texts.select("shape").distinct().repartition(_tasks(texts), F.xxhash64("shape"))
+    return _described(spread, "shape").withColumnRenamed("_d", "_of")
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def expression_dictionary(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per distinct text with its identity, with and without ranges, and its matchers.
 
+    Texts that differ in metric names and label values only have one shape (:func:`promql.shape`), which is described once; the
+    names and values are put back in. Shapes are joined by a plain shuffle: adaptive execution broadcasts them while they are
+    small, and otherwise splits a shape that many texts have.
+
     Identities never change, so with a ``known`` dictionary only new texts are worked out and
     returned; the whole dictionary is the union of both.
     """
     texts = distinct_texts(log)
     if known is not None:
         texts = texts.join(known.select("query_param"), "query_param", "left_anti")
-    # Adaptive execution sizes partitions by bytes, and texts are small but costly to describe. A repartition by the text itself
-    # would be dropped: the distinct texts lie that way already, in as few tasks as their bytes fill.
-    spark = log.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spread = texts if log.isStreaming else texts.repartition(tasks, F.xxhash64("query_param"))
-    return _described(spread, "query_param").select(
+    if log.isStreaming:
+        rows = _described(texts, "query_param")
+    else:
+        shaped = texts.repartition(_tasks(log), F.xxhash64("query_param")).withColumn("_s", promql.shape(F.col("query_param")))
+        # never null, so Spark does not look for nulls in the shapes of all rows of the log
+        shaped = shaped.select("query_param", "_s", F.coalesce("_s.shape", F.lit("")).alias("shape"))
+        rows = shaped.join(described_shapes(shaped), "shape", "left").withColumn("_d", promql.filled(F.col("_of"), F.col("_s.held")))
+    return rows.select(
         "query_param",
         F.col("_d.canonical").alias("canonical"),
         promql.hash_identity(F.col("_d.canonical")).alias("fingerprint"),
