@@ -69,6 +69,7 @@ def stream_query_log(
             words.settle(batch_id)
             found = words.known(enrich.distinct_texts(valid), batch_id).persist()
             held.append(found)
+            found.count()  # both branches of the dictionary read it; without it each would work it out
             fresh = words.add(enrich.expression_dictionary(found.where("part IS NULL")), batch_id)
             every = found.where("part IS NOT NULL").drop("part").unionByName(fresh)
             key = F.xxhash64("file", "batch_id", "line", "position").alias("query_id")
